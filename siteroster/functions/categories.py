@@ -20,9 +20,14 @@ from siteroster.functions.fixed_values import (
 from siteroster.functions.text import WORD, col, let
 
 
+def _tokens(tokens: list[str]) -> Column:
+    """A literal array; Spark folds the split away when it plans."""
+    return F.split(F.lit("\n".join(tokens)), "\n") if tokens else F.array().cast("array<string>")
+
+
 def _hits(tokens: list[str], where: Column) -> Column:
     """The tokens contained in a text, in rule order."""
-    return F.filter(F.array(*[F.lit(t) for t in tokens]), lambda t: where.contains(t))
+    return F.filter(_tokens(tokens), lambda t: where.contains(t))
 
 
 def _steps(count: Column, weight: float) -> Column:
@@ -54,7 +59,7 @@ def role_categories(email: Column | str, context: Column | str | None = None,
         name = F.substring_index(e, "@", 1)
         out = []
         for n, (category, words) in enumerate(keywords.items()):
-            signs = F.array(*[F.lit(p) for p in patterns.get(category, [])]).cast("array<string>")
+            signs = _tokens(patterns.get(category, []))
             in_mail = F.filter(signs, lambda p: e.startswith(p) if anchored else e.contains(p))
             in_name = _hits(words, name)
             in_context = _hits(words, around) if around is not None else F.array().cast("array<string>")

@@ -14,7 +14,7 @@ from siteroster.functions.text import SPACE, WORD, col, let, strip
 
 # A word boundary, spelled out so that it means the same on every Java version.
 EMAIL = rf"(?iu)(?<!{WORD}){EMAIL_LOCAL}@{EMAIL_HOST}(?!{WORD})"
-PHONE = PHONE_PARTS.format(d=r"\p{Nd}", s=SPACE[1:-1])
+PHONE = "(?U)" + PHONE_PARTS.format(d=r"\p{Nd}", s=SPACE[1:-1])
 SOCIAL = rf"(?iu){SOCIAL_URL}"
 
 # The shortest address has 6 characters, so 6 neighbours always fill the context of 30.
@@ -33,21 +33,30 @@ def deobfuscate(text: Column | str, plain_words: bool = True) -> Column:
 
     ``plain_words=False`` leaves the bare words `` at `` and `` dot `` alone.
     """
-    run = rf"(?:(?<!{SPACE}){SPACE}++)?+"
+    # A run of white space is tried from its first character only, so long runs cost no more.
+    begin = rf"{SPACE}(?<!{SPACE}{{2}}){SPACE}*+"
     out = col(text)
-    for word, sign in (("at", "@"), ("dot", ".")):
-        out = F.regexp_replace(out, rf"(?iu){run}\[{word}\]{SPACE}*+", sign)
-        out = F.regexp_replace(out, rf"(?iu){run}\({word}\){SPACE}*+", sign)
+    for word, spelled, sign in (("at", "[aA][tT]", "@"), ("dot", "[dD][oO][tT]", ".")):
+        def bracketed(t: Column, spelled: str = spelled, sign: str = sign) -> Column:
+            for left, right in ((r"\[", r"\]"), (r"\(", r"\)")):
+                t = F.regexp_replace(t, rf"(?U)(?:{begin})?+{left}{spelled}{right}{SPACE}*+", sign)
+            return t
+
+        def plain(t: Column, spelled: str = spelled, sign: str = sign) -> Column:
+            return F.regexp_replace(t, rf"(?U){begin}{spelled}{SPACE}++", sign)
+
+        # the tests in front are cheap, and most texts have no bracketed word
+        out = let(out, lambda t: F.when(t.rlike(rf"[\[(]{spelled}[\])]"), bracketed(t)).otherwise(t))
         if plain_words:
-            out = F.regexp_replace(out, rf"(?iu)(?<!{SPACE}){SPACE}++{word}{SPACE}++", sign)
+            out = plain(out) if word == "at" else let(
+                out, lambda t: F.when(t.rlike(spelled), plain(t)).otherwise(t))
     return out
 
 
 def email_matches(text: Column | str) -> Column:
     """All addresses as written, in text order."""
-    text = col(text)
-    return F.when(text.contains("@"), F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))).otherwise(
-        _empty("array<string>"))
+    return let(col(text), lambda t: F.when(
+        t.contains("@"), F.regexp_extract_all(t, F.lit(EMAIL), F.lit(0))).otherwise(_empty("array<string>")))
 
 
 def email_username(email: Column | str) -> Column:
@@ -127,8 +136,8 @@ def email_hits(text: Column | str, min_confidence: float = 0.0, remove_duplicate
             email_confidence(e).alias("confidence"), h["context"].alias("context"))))
         good = F.filter(scored, lambda h: ~is_junk_email(h["email"]) & (h["confidence"] >= min_confidence))
         return first_of_each(good) if remove_duplicates else good
-    text = col(text)
-    return F.when(text.contains("@"), accept(_with_context(text))).otherwise(_empty(EMAIL_STRUCT))
+    return let(col(text), lambda t: F.when(
+        t.contains("@"), accept(_with_context(t))).otherwise(_empty(EMAIL_STRUCT)))
 
 
 def mailto_hits(html: Column | str) -> Column:

@@ -41,31 +41,36 @@ def _weave(text: Column, pattern: str, group: int, show) -> Column:
 
 # --- character references ---------------------------------------------------------------
 
+# All names of the HTML standard, as one literal map.
+_NAMES = json.dumps({name.rstrip(";"): char for name, char in html5.items()})
+
+
 def _named_references() -> Column:
-    names = {name.rstrip(";"): char for name, char in html5.items()}
-    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    return F.from_json(F.lit(_NAMES), "map<string,string>")
 
 
 def _numbered_reference(name: Column) -> Column:
     code = F.when(name.rlike("(?i)^#x[0-9a-f]{1,8}$"), F.conv(F.substring(name, 3, 8), 16, 10)).when(
         name.rlike("^#[0-9]{1,9}$"), F.substring(name, 2, 9)).cast("bigint")
-    windows = F.decode(F.unhex(F.lpad(F.hex(code), 2, "0")), "ISO-8859-1")
-    for number, char in sorted(_windows_1252().items()):
-        windows = F.when(code == number, F.lit(char)).otherwise(windows)
-    wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    return (F.when(code.isNull(), F.concat(F.lit("&"), name))
-            .when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
-            .when(code < 256, windows)
-            .otherwise(wide))
+
+    def show(n: Column) -> Column:
+        # numbers 128 to 159 mean the characters of the Windows code page
+        latin = F.translate(F.decode(F.unhex(F.lpad(F.hex(n), 2, "0")), "ISO-8859-1"), *_WINDOWS)
+        wide = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return (F.when(n.isNull(), F.concat(F.lit("&"), name))
+                .when((n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+                .when(n < 256, latin).otherwise(wide))
+
+    return let(code, show)
+
+
+def _windows_1252() -> tuple[str, str]:
+    pairs = [(chr(n), _stdlib_html.unescape(f"&#{n};")) for n in range(128, 160)]
+    changed = [(a, b) for a, b in pairs if a != b]
+    return "".join(a for a, _ in changed), "".join(b for _, b in changed)
 
 
-def _windows_1252() -> dict[int, str]:
-    out = {}
-    for number in range(128, 160):
-        char = _stdlib_html.unescape(f"&#{number};")
-        if char != chr(number):
-            out[number] = char
-    return out
+_WINDOWS = _windows_1252()
 
 
 def decode_references(text: Column | str, unknown: str = "open") -> Column:
@@ -126,8 +131,8 @@ def page_text(html: Column | str, remove_nav: bool = True, keep_comments: bool =
     bare = F.regexp_replace(F.regexp_replace(bare, _TAG, " "), _ODD_TAG, " ")
     text = let(bare, decode_references)
     text = normalize_whitespace(F.translate(text, _HIDDEN, _MARKUP))
-    text = F.regexp_replace(text, rf"\[{SPACE}*\]", "")
-    return F.regexp_replace(text, rf"\({SPACE}*\)", "")
+    text = F.regexp_replace(text, rf"(?U)\[{SPACE}*\]", "")
+    return F.regexp_replace(text, rf"(?U)\({SPACE}*\)", "")
 
 
 def is_valid_content(text: Column | str, min_text_length: int = MIN_TEXT_LENGTH) -> Column:

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siteroster.functions.fixed_values import SPACE_CHARS, SPACE_RANGES
+from siteroster.functions.fixed_values import SPACE_CHARS
 
-SPACE = f"[{SPACE_RANGES}]"
-NOT_SPACE = f"[^{SPACE_RANGES}]"
+# The same white space as a class; patterns that use it start with the flag U.
+SPACE = r"[\s\x1c-\x1f]"
+NOT_SPACE = r"[^\s\x1c-\x1f]"
 WORD = r"[\p{L}\p{N}_]"
 
 
@@ -33,7 +34,7 @@ def strip(c: Column | str) -> Column:
 
 
 def squeeze(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), f"{SPACE}+", " ")
+    return F.regexp_replace(col(c), f"(?U){SPACE}+", " ")
 
 
 def normalize_whitespace(c: Column | str) -> Column:

@@ -19,7 +19,7 @@ _SHORT_HOST = (
     r"(?:(?:[a-zA-Z0-9]++\.(?![a-zA-Z]{2}))*+[a-zA-Z0-9]++\.(?=[a-zA-Z]{2}))++[a-zA-Z]{2,}"
 )
 URL_IN_TEXT = (
-    rf"(?:https?://(?:www\.|(?!www)){URL_LABEL}\.{NOT_SPACE}{{2,}}"
+    rf"(?U)(?:https?://(?:www\.|(?!www)){URL_LABEL}\.{NOT_SPACE}{{2,}}"
     rf"|www\.{URL_LABEL}\.{NOT_SPACE}{{2,}}"
     rf"|https?://{_SHORT_HOST})"
 )

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from siteroster.functions import categories as G
 from siteroster.functions.fixed_values import CATEGORY_THRESHOLD
+from siteroster.operators.rows import once, unnest
 
 
 def category_rows(df: DataFrame, keys: list[str], categories: str = "categories") -> DataFrame:
     """One row per category, ``rank`` 1 being the best."""
-    return df.select(*keys, F.posexplode(categories).alias("_p", "_c")).select(
+    return unnest(df, keys, categories, "_c", "_p").select(
         *keys, (F.col("_p") + 1).alias("rank"), F.col("_c.category").alias("category"),
         F.col("_c.confidence").alias("confidence"), F.col("_c.keywords").alias("keywords"))
 
@@ -19,12 +20,12 @@ def category_rows(df: DataFrame, keys: list[str], categories: str = "categories"
 def batch_categorize(df: DataFrame, email: str = "email", context: str | None = None,
                      threshold: float = CATEGORY_THRESHOLD) -> DataFrame:
     """Add ``categories`` to each address; an empty array where none fits."""
-    return df.withColumn("categories", G.role_categories(email, context, threshold))
+    return once(df, {"categories": G.role_categories(email, context, threshold)})
 
 
 def category_distribution(df: DataFrame, email: str = "email") -> DataFrame:
     """Number of addresses by best category; addresses without any are not counted."""
-    best = df.select(G.primary_category(G.role_categories(email)).alias("category"))
+    best = once(df.select(email), {"category": G.primary_category(G.role_categories(email))})
     return best.filter("category IS NOT NULL").groupBy("category").agg(F.count(F.lit(1)).alias("emails"))
 
 

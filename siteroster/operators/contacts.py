@@ -6,23 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteroster.functions import contacts as C
+from siteroster.operators.rows import once, unnest
 
 
 def extract_contacts(df: DataFrame, text: str = "text", html: str | None = None, min_confidence: float = 0.0,
                      remove_duplicates: bool = True, plain_words: bool = True) -> DataFrame:
     """Add ``emails`` (array of structs), ``phone_numbers`` (array) and ``social`` (struct)."""
-    clean = df.withColumn("_clean", C.deobfuscate(F.coalesce(F.col(text), F.lit("")), plain_words))
+    clean = once(df, {"_clean": C.deobfuscate(F.coalesce(F.col(text), F.lit("")), plain_words)})
     hits = C.email_hits("_clean", min_confidence, remove_duplicates)
+    others = {"phone_numbers": C.phone_numbers("_clean"), "social": C.social_links("_clean", html)}
     if html is None:
-        found = clean.withColumn("emails", hits)
-    else:
-        found = (clean.withColumns({"_hits": hits, "_mailto": C.mailto_hits(F.coalesce(F.col(html), F.lit("")))})
-                 .withColumn("emails", C.merge_hits("_hits", "_mailto", remove_duplicates)))
-    return found.withColumns({
-        "phone_numbers": C.phone_numbers("_clean"),
-        "social": C.social_links("_clean", html)}).drop("_clean", "_hits", "_mailto")
+        return once(clean, {"emails": hits, **others}).drop("_clean")
+    found = once(clean, {"_hits": hits, "_mailto": C.mailto_hits(F.coalesce(F.col(html), F.lit(""))), **others})
+    return once(found, {"emails": C.merge_hits("_hits", "_mailto", remove_duplicates)}).drop("_clean", "_hits", "_mailto")
 
 
 def email_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row per address out of ``extract_contacts``, in order of ``pos``."""
-    return df.select(*keys, F.explode("emails").alias("_e")).select(*keys, "_e.*")
+    return unnest(df, keys, "emails", "_e", "_p").select(*keys, "_e.*")

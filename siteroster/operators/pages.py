@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteroster.functions import html as H
 from siteroster.functions.fixed_values import MAX_PAGE_BYTES, MIN_TEXT_LENGTH
 from siteroster.functions.text import word_count
+from siteroster.operators.rows import once, unnest
 
 
 def page_size_guard(pages: DataFrame, max_bytes: int = MAX_PAGE_BYTES) -> DataFrame:
@@ -30,8 +31,8 @@ def parse_pages(pages: DataFrame, remove_nav: bool = True, extract_links: bool =
                 keep_comments: bool = True, base_url: Column | str = "url") -> DataFrame:
     """Add text, title, meta_description, links, headings and word_count."""
     none = F.array().cast("array<string>")
-    entries = pages.withColumn("_meta", H.meta_entries("html"))
-    parsed = entries.withColumns({
+    entries = once(pages, {"_meta": H.meta_entries("html")})
+    parsed = once(entries, {
         "text": H.page_text("html", remove_nav, keep_comments),
         "title": H.page_title("html", "_meta"),
         "meta_description": H.meta_description("_meta"),
@@ -42,22 +43,20 @@ def parse_pages(pages: DataFrame, remove_nav: bool = True, extract_links: bool =
 
 def link_edges(pages: DataFrame, source: str = "url", keep: list[str] | None = None) -> DataFrame:
     """Edge table (source, pos, target) of the links of each page."""
-    return pages.select(*(keep or []), F.col(source).alias("source"),
-                        F.posexplode(H.page_links("html", source)).alias("pos", "target"))
+    return unnest(pages, [*(keep or []), F.col(source).alias("source")], H.page_links("html", source), "target")
 
 
 def meta_rows(pages: DataFrame, key: str) -> DataFrame:
     """Metadata of each page, one row per entry: (key, section, name, value)."""
-    pairs = pages.select(key, F.explode(H.meta_pairs(H.meta_entries("html"))).alias("m"))
+    pairs = unnest(pages, [key], H.meta_pairs(H.meta_entries("html")), "m")
     return pairs.select(key, H.meta_group("m.key").alias("section"), F.col("m.key").alias("name"),
                         F.col("m.value").alias("value"))
 
 
 def json_ld_rows(pages: DataFrame, key: str) -> DataFrame:
     """Linked data of each page as VARIANT, one row per script that parses."""
-    return (pages.select(key, F.posexplode(H.json_ld("html")).alias("pos", "json"))
-            .withColumn("data", F.try_parse_json("json")))
+    return unnest(pages, [key], H.json_ld("html"), "json").withColumn("data", F.try_parse_json("json"))
 
 
 def element_rows(pages: DataFrame, key: str, tag: str, min_text_length: int = MIN_TEXT_LENGTH) -> DataFrame:
-    return pages.select(key, F.posexplode(H.element_texts("html", tag, min_text_length)).alias("pos", "text"))
+    return unnest(pages, [key], H.element_texts("html", tag, min_text_length), "text")

@@ -11,6 +11,7 @@ from siteroster.functions.fixed_values import REPORT_CONTEXT_CHARS
 from siteroster.functions.urls import netloc
 from siteroster.operators.contacts import extract_contacts
 from siteroster.operators.pages import page_ok
+from siteroster.operators.rows import once
 
 NETWORKS = ["facebook", "instagram", "linkedin", "twitter", "whatsapp"]
 REPORT_COLUMNS = ["email", "source_url", "domain", "confidence", "context", "phone_numbers",
@@ -19,12 +20,11 @@ REPORT_COLUMNS = ["email", "source_url", "domain", "confidence", "context", "pho
 
 def page_contacts(pages: DataFrame, min_confidence: float = 0.7, with_links: bool = False) -> DataFrame:
     """Contacts and business label of each page that was fetched well."""
-    text = page_ok(pages).withColumn("text", H.page_text("html"))
-    found = extract_contacts(text, "text", "html", min_confidence)
+    text = once(page_ok(pages), {"text": H.page_text("html")})
     columns = {"business_label": business_type("text")}
     if with_links:
         columns["links"] = H.page_links("html", "url")
-    return found.withColumns(columns).drop("text", "html")
+    return once(extract_contacts(text, "text", "html", min_confidence), columns).drop("text", "html")
 
 
 def report_rows(found: DataFrame, keep: list[str] | None = None, limit: Column | str | None = None) -> DataFrame:

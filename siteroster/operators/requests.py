@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteroster.functions.fixed_values import MODES, NO_CONTACTS_ERROR, NO_URLS_ERROR, OUTPUT_FORMATS
 from siteroster.functions.urls import extract_urls, is_valid_url
+from siteroster.operators.rows import once, unnest
 
 REQUEST_SCHEMA = (
     "job_id string, input_data string, mode string, output_formats array<string>, "
@@ -51,15 +52,15 @@ def validate_requests(requests: DataFrame) -> DataFrame:
 
 def request_seeds(requests: DataFrame, text: str = "input_data") -> DataFrame:
     """Valid target URLs of each request: (job_id, seed, mode)."""
-    return requests.select("job_id", "mode", F.explode(extract_urls(text)).alias("seed")).filter(
+    return unnest(requests, ["job_id", "mode"], extract_urls(text), "seed").filter(
         is_valid_url("seed")).select("job_id", "seed", "mode")
 
 
 def job_summary(requests: DataFrame, report: DataFrame, text: str = "input_data") -> DataFrame:
     """contacts_found, status and error per job. ``report`` has a job_id per row."""
     counts = report.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
-    targets = F.size(F.filter(extract_urls(text), is_valid_url))
-    error = F.when(targets == 0, F.lit(NO_URLS_ERROR)).when(F.col("n").isNull(), F.lit(NO_CONTACTS_ERROR))
-    return requests.join(counts, "job_id", "left").withColumn("error", error).select(
+    targets = once(requests, {"_targets": F.size(F.filter(extract_urls(text), is_valid_url))})
+    error = F.when(F.col("_targets") == 0, F.lit(NO_URLS_ERROR)).when(F.col("n").isNull(), F.lit(NO_CONTACTS_ERROR))
+    return targets.join(counts, "job_id", "left").withColumn("error", error).select(
         "job_id", F.coalesce("n", F.lit(0)).alias("contacts_found"),
         F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status"), "error")

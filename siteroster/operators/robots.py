@@ -23,7 +23,7 @@ def robots_rules(robots: DataFrame, agent: str = "mozilla") -> DataFrame:
     """
     token = agent.split("/")[0].lower()
     lines = (robots.filter("status_code = 200 AND body IS NOT NULL")
-             .select("host", F.posexplode(F.split("body", r"\r\n|\r|\n", -1)).alias("pos", "raw")))
+             .select("host", F.posexplode_outer(F.split("body", r"\r\n|\r|\n", -1)).alias("pos", "raw")))
     text = strip(F.regexp_replace("raw", "#.*", ""))
     parsed = lines.select(
         "host", "pos", (F.col("raw") == "").alias("blank"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from siteroster.functions.fixed_values import DEEP_MODE, WALK_MAX_EMAILS, WALK_MAX_PAGES
 from siteroster.functions.urls import netloc, url_root
 from siteroster.operators.report import page_contacts, report_rows
+from siteroster.operators.rows import once, unnest
 from siteroster.operators.tables import skew_safe_lookup
 from siteroster.session import bucketed, durable
 
@@ -74,7 +75,7 @@ def site_walk(seeds: DataFrame, facts: DataFrame, max_pages: int = WALK_MAX_PAGE
         reached = skew_safe_lookup(wanted, pages, "url", spread_by=["id", "pos"])
         gathered = reached.groupBy("id").agg(  # at most max_pages rows per seed
             F.sort_array(F.collect_list(F.struct("pos", "url", "n_emails", "links"))).alias("pages"))
-        visited = state.join(gathered, "id").withColumn("_v", _visit(max_emails, max_pages))
+        visited = once(state.join(gathered, "id"), {"_v": _visit(max_emails, max_pages)})
         got = F.col("_v.got")
         first = F.get(got, F.lit(0))
         root = url_root(first["url"])
@@ -96,7 +97,7 @@ def site_walk(seeds: DataFrame, facts: DataFrame, max_pages: int = WALK_MAX_PAGE
             break
 
     walks = reduce(DataFrame.unionByName, finished)
-    return walks.select("id", F.posexplode("seen").alias("_p", "_s")).select(
+    return unnest(walks, ["id"], "seen", "_s", "_p").select(
         "id.job_id", "id.seed", (F.col("_p") + 1).alias("visit"), "_s.url", "_s.ok", "_s.taken")
 
 

@@ -11,6 +11,7 @@ from siteroster.operators import categorize as K
 from siteroster.operators import contacts as E
 from siteroster.operators import tables as O
 from siteroster.operators.report import NETWORKS
+from siteroster.operators.rows import once, unnest
 from siteroster.plans import check_sql as Q
 from siteroster.plans.derived import ADDRESSES, derive, table_sql
 from siteroster.plans.page_queries import ALL_PAGES, all_pages
@@ -31,7 +32,7 @@ def documents(spark, sf):
 def match_rows(spark, sf):
     """(doc_id, pos, email) of every address match in the documents."""
     hits = F.transform(C.email_matches(C.deobfuscate("text")), lambda m: F.lower(m))
-    return documents(spark, sf).select("doc_id", F.posexplode(hits).alias("pos", "email"))
+    return unnest(documents(spark, sf), ["doc_id"], hits, "email")
 
 
 @query("deobfuscate", f"WITH {_CLEAN} SELECT doc_id, t AS text FROM clean")
@@ -107,13 +108,12 @@ def fmt_detailed(spark, sf):
     SELECT page_id, min(pos) - 1 AS pos, email FROM ({Q.mailto_rows('src', 'page_id', 'html')}) GROUP BY page_id, email""")
 def email_mailto(spark, sf):
     hits = C.first_of_each(C.mailto_hits("html"))
-    raw = all_pages(spark, sf).select("page_id", F.explode(hits).alias("h"))
-    return raw.select("page_id", "h.pos", "h.email")
+    return unnest(all_pages(spark, sf), ["page_id"], hits, "h", "_p").select("page_id", "h.pos", "h.email")
 
 
 @query("phone_extract", f"""WITH {_CLEAN}, {Q.phone_ctes('clean', 'doc_id', 't')} SELECT doc_id, pos, phone FROM phone_rows""")
 def phone_extract(spark, sf):
-    return documents(spark, sf).select("doc_id", F.posexplode(C.phone_numbers(C.deobfuscate("text"))).alias("pos", "phone"))
+    return unnest(documents(spark, sf), ["doc_id"], C.phone_numbers(C.deobfuscate("text")), "phone")
 
 
 @query("social_links", f"WITH src AS (SELECT page_id, html FROM {ALL_PAGES}) SELECT page_id, " + ", ".join(
@@ -147,7 +147,7 @@ def domain_valid(spark, sf):
     FROM pc LEFT JOIN (SELECT page_id, string_agg(email, ' ' ORDER BY pos) AS mails FROM found GROUP BY 1) f ON f.page_id = pc.page_id
     LEFT JOIN (SELECT page_id, string_agg(phone, '; ' ORDER BY pos) AS nums FROM phone_rows GROUP BY 1) n ON n.page_id = pc.page_id""")
 def contacts_extract(spark, sf):
-    texts = all_pages(spark, sf).filter("status_code = 200").withColumn("text", H.page_text("html"))
+    texts = once(all_pages(spark, sf).filter("status_code = 200"), {"text": H.page_text("html")})
     found = E.extract_contacts(texts, "text", "html")
     return found.select("page_id", F.concat_ws(" ", F.transform("emails", lambda e: e["email"])).alias("emails"),
                         F.concat_ws("; ", "phone_numbers").alias("phones"), "social.*")

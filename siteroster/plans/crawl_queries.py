@@ -11,6 +11,7 @@ from siteroster.operators import requests as R
 from siteroster.operators import robots as RB
 from siteroster.operators import tables as O
 from siteroster.operators.report import NETWORKS, contact_report, page_contacts
+from siteroster.operators.rows import unnest
 from siteroster.operators.walk import crawl_report, page_facts, site_walk
 from siteroster.plans import check_sql as Q
 from siteroster.plans.contact_queries import _PAGE_CLEAN
@@ -176,7 +177,7 @@ def report(spark, sf):
 
 @query("cap_emails", f"WITH {_REPORT_PARTS} SELECT page_id, pos, email FROM found WHERE pos < 5")
 def cap_emails(spark, sf):
-    mails = page_contacts(all_pages(spark, sf)).select("page_id", F.posexplode("emails").alias("pos", "e")).select("page_id", "pos", "e.email")
+    mails = unnest(page_contacts(all_pages(spark, sf)), ["page_id"], "emails", "e").select("page_id", "pos", "e.email")
     return O.cap_rows(mails, ["page_id"], ["pos"], 5).drop("rank")
 
 

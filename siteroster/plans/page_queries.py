@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siteroster.functions import html as H
 from siteroster.functions import text as T
 from siteroster.operators import pages as P
+from siteroster.operators.rows import unnest
 from siteroster.plans import check_sql as Q
 from siteroster.plans.derived import CONTACT_PAGES, RAW_PAGES, URL_TEXTS, derive, table_sql
 from siteroster.plans.registry import query
@@ -38,7 +39,7 @@ def src_pages(spark, sf):
 @query("src_decode", "SELECT doc_id, text || chr(65533) || ' end' AS text FROM documents")
 def src_decode(spark, sf):
     dirty = F.concat(F.unhex(F.lit("FF")), F.encode("text", "UTF-8"), F.unhex(F.lit("C3")),
-                     F.encode(F.lit("� end"), "UTF-8"), F.unhex(F.lit("E282")))
+                     F.encode(F.lit("\ufffd end"), "UTF-8"), F.unhex(F.lit("E282")))
     return read_table(spark, sf, "documents").select("doc_id", T.decode_utf8(dirty).alias("text"))
 
 
@@ -96,7 +97,7 @@ _HEADINGS = " UNION ALL ".join(
 @query("page_headings", f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY level, i) - 1 AS pos, heading FROM (
     SELECT page_id, level, i, {Q.element_text('inner_html')} AS heading FROM ({_HEADINGS})) WHERE length(heading) >= 10""")
 def page_headings(spark, sf):
-    return all_pages(spark, sf).select("page_id", F.posexplode(H.page_headings("html")).alias("pos", "heading"))
+    return unnest(all_pages(spark, sf), ["page_id"], H.page_headings("html"), "heading")
 
 
 _T = f"(SELECT page_id, {Q.page_text('html')} AS t FROM {ALL_PAGES})"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siteroster.functions import text as T
 from siteroster.functions import urls as U
 from siteroster.operators import tables as O
+from siteroster.operators.rows import unnest
 from siteroster.plans import check_sql as Q
 from siteroster.plans.derived import ADDRESSES, URL_TEXTS, derive, table_sql
 from siteroster.plans.registry import query
@@ -21,7 +22,7 @@ _CLEANED = Q.clean_url("u")
       SELECT page_id, unnest(regexp_extract_all(text, {Q.lit('(' + Q.URL + ')')}, 1)) AS u FROM {_TEXTS}))
     WHERE url IS NOT NULL""")
 def url_extract(spark, sf):
-    return derive(spark, sf, URL_TEXTS).select("page_id", F.explode(U.extract_urls("text")).alias("url"))
+    return unnest(derive(spark, sf, URL_TEXTS), ["page_id"], U.extract_urls("text"), "url").drop("pos")
 
 
 @query("url_clean", f"SELECT page_id, raw, {Q.clean_url('raw')} AS url FROM "
