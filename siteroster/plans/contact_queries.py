@@ -40,12 +40,12 @@ def deobfuscate(spark, sf):
     return documents(spark, sf).select("doc_id", C.deobfuscate("text").alias("text"))
 
 
-@query("email_match", f"WITH {_CLEAN}, {_MATCHES} SELECT doc_id, pos, email FROM matches")
+@query("email_match", f"WITH {_CLEAN}, {_MATCHES} SELECT doc_id, pos, email FROM matches", ints="pos")
 def email_match(spark, sf):
     return match_rows(spark, sf)
 
 
-@query("email_split", f"WITH {_CLEAN}, {_MATCHES} SELECT doc_id, pos, {Q.username('email')} AS username, {Q.domain('email')} AS domain FROM matches")
+@query("email_split", f"WITH {_CLEAN}, {_MATCHES} SELECT doc_id, pos, {Q.username('email')} AS username, {Q.domain('email')} AS domain FROM matches", ints="pos")
 def email_split(spark, sf):
     return match_rows(spark, sf).select("doc_id", "pos", C.email_username("email").alias("username"), C.email_domain("email").alias("domain"))
 
@@ -83,12 +83,12 @@ def document_emails(spark, sf, min_confidence=0.0):
     return E.email_rows(found, ["doc_id"])
 
 
-@query("email_context", f"{_DOC_HITS} SELECT doc_id, pos, email, left(context, 100) AS context FROM hits")
+@query("email_context", f"{_DOC_HITS} SELECT doc_id, pos, email, left(context, 100) AS context FROM hits", ints="pos")
 def email_context(spark, sf):
     return document_emails(spark, sf).select("doc_id", "pos", "email", F.left("context", F.lit(100)).alias("context"))
 
 
-@query("email_dedup", f"WITH {_CLEAN}, {_MATCHES} SELECT doc_id, email, min(pos) AS pos FROM matches WHERE NOT {Q.junk('email')} GROUP BY 1, 2")
+@query("email_dedup", f"WITH {_CLEAN}, {_MATCHES} SELECT doc_id, email, min(pos) AS pos FROM matches WHERE NOT {Q.junk('email')} GROUP BY 1, 2", ints="pos")
 def email_dedup(spark, sf):
     return document_emails(spark, sf).select("doc_id", "email", "pos")
 
@@ -105,13 +105,13 @@ def fmt_detailed(spark, sf):
 
 
 @query("email_mailto", f"""WITH src AS (SELECT page_id, html FROM {ALL_PAGES})
-    SELECT page_id, min(pos) - 1 AS pos, email FROM ({Q.mailto_rows('src', 'page_id', 'html')}) GROUP BY page_id, email""")
+    SELECT page_id, min(pos) - 1 AS pos, email FROM ({Q.mailto_rows('src', 'page_id', 'html')}) GROUP BY page_id, email""", ints="pos")
 def email_mailto(spark, sf):
     hits = C.first_of_each(C.mailto_hits("html"))
     return unnest(all_pages(spark, sf), ["page_id"], hits, "h", "_p").select("page_id", "h.pos", "h.email")
 
 
-@query("phone_extract", f"""WITH {_CLEAN}, {Q.phone_ctes('clean', 'doc_id', 't')} SELECT doc_id, pos, phone FROM phone_rows""")
+@query("phone_extract", f"""WITH {_CLEAN}, {Q.phone_ctes('clean', 'doc_id', 't')} SELECT doc_id, pos, phone FROM phone_rows""", ints="pos")
 def phone_extract(spark, sf):
     return unnest(documents(spark, sf), ["doc_id"], C.phone_numbers(C.deobfuscate("text")), "phone")
 
@@ -163,7 +163,7 @@ def _addresses(spark, sf):
     return derive(spark, sf, ADDRESSES)
 
 
-@query("cat_email", f"SELECT id, rank, category, confidence, keywords FROM ({_ROLE})")
+@query("cat_email", f"SELECT id, rank, category, confidence, keywords FROM ({_ROLE})", ints="rank")
 def cat_email(spark, sf):
     rows = K.category_rows(K.batch_categorize(_addresses(spark, sf), "email", "context"), ["id"])
     return rows.withColumn("keywords", F.concat_ws("|", "keywords"))
@@ -175,7 +175,7 @@ def cat_primary(spark, sf):
 
 
 @query("cat_batch", f"""SELECT a.id, coalesce(names, '') AS categories, coalesce(n, 0) AS n FROM {_ADDR} a LEFT JOIN (
-    SELECT id, string_agg(category, ',' ORDER BY rank) AS names, count(*) AS n FROM ({_ROLE_PLAIN}) GROUP BY 1) r ON r.id = a.id""")
+    SELECT id, string_agg(category, ',' ORDER BY rank) AS names, count(*) AS n FROM ({_ROLE_PLAIN}) GROUP BY 1) r ON r.id = a.id""", ints="n")
 def cat_batch(spark, sf):
     done = K.batch_categorize(_addresses(spark, sf))
     return done.select("id", F.concat_ws(",", F.transform("categories", lambda c: c["category"])).alias("categories"), F.size("categories").alias("n"))
@@ -197,7 +197,7 @@ def cat_person(spark, sf):
     return _addresses(spark, sf).select("id", G.contact_person(G.role_categories("email")).alias("person"))
 
 
-@query("cat_domain", f"""SELECT id, rank, category, confidence, keywords FROM ({Q.site_rows(f"(SELECT *, {Q.domain('email')} AS dom FROM {_ADDR})", 'id', 'dom', 'site_text')})""")
+@query("cat_domain", f"""SELECT id, rank, category, confidence, keywords FROM ({Q.site_rows(f"(SELECT *, {Q.domain('email')} AS dom FROM {_ADDR})", 'id', 'dom', 'site_text')})""", ints="rank")
 def cat_domain(spark, sf):
     found = _addresses(spark, sf).select("id", G.site_categories(C.email_domain("email"), "site_text").alias("categories"))
     return K.category_rows(found, ["id"]).withColumn("keywords", F.concat_ws("|", "keywords"))

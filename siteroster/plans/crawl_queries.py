@@ -84,7 +84,7 @@ _DOMAIN_STATS = (f"SELECT domain, sum({_OK}) AS pages_scraped, sum({_GOT}) AS to
                  f"sum({_BAD}) AS failed_requests, sum({_BAD}) >= 3 AS blocked FROM log GROUP BY 1")
 
 
-@query("domain_stats", f"WITH {_LOG} {_DOMAIN_STATS}")
+@query("domain_stats", f"WITH {_LOG} {_DOMAIN_STATS}", longs="pages_scraped total_bytes failed_requests")
 def domain_stats(spark, sf):
     return B.domain_stats(log(spark, sf)).withColumn("last_request_time", F.date_format("last_request_time", "yyyy-MM-dd HH:mm:ss"))
 
@@ -94,7 +94,7 @@ _SESSION = (f"session AS (SELECT sum({_OK}) AS pages, sum({_GOT}) AS bytes, sum(
 
 
 @query("session_stats", f"""WITH {_LOG}, {_SESSION} SELECT pages AS total_pages_scraped, bytes AS total_bytes_downloaded, pages AS successful_requests,
-    failed AS failed_requests, blocked AS blocked_requests, domains AS domains_accessed, minutes AS elapsed_minutes FROM session""")
+    failed AS failed_requests, blocked AS blocked_requests, domains AS domains_accessed, minutes AS elapsed_minutes FROM session""", longs="total_pages_scraped total_bytes_downloaded successful_requests failed_requests")
 def session_stats(spark, sf):
     return B.session_stats(log(spark, sf)).drop("start_time")
 
@@ -104,7 +104,7 @@ _CAPACITY = (f"SELECT greatest(0, 100000 - pages) AS pages_remaining, greatest(0
              f"pages / 100000 * 100 AS percent_pages_used, bytes / {_MB} / 4096 * 100 AS percent_size_used, minutes / 40000 * 100 AS percent_time_used FROM session")
 
 
-@query("capacity", f"WITH {_LOG}, {_SESSION} {_CAPACITY}")
+@query("capacity", f"WITH {_LOG}, {_SESSION} {_CAPACITY}", longs="pages_remaining")
 def capacity(spark, sf):
     return B.capacity(log(spark, sf), WIDE)
 
@@ -145,13 +145,13 @@ def limit_summary(spark, sf):
 
 @query("scrape_stats", f"""WITH {_LOG}, s AS (SELECT sum({_OK}) AS good, sum({_BAD}) AS bad, sum(CASE WHEN kind IN ('success', 'failure') THEN bytes ELSE 0 END) AS b FROM log)
     SELECT good + bad AS total_requests, good AS successful_requests, bad AS failed_requests, CASE WHEN good + bad > 0 THEN good / (good + bad) * 100 ELSE 0 END AS success_rate,
-    b AS total_bytes_downloaded, b / {_MB} AS total_mb_downloaded FROM s""")
+    b AS total_bytes_downloaded, b / {_MB} AS total_mb_downloaded FROM s""", longs="total_requests successful_requests failed_requests total_bytes_downloaded")
 def scrape_stats(spark, sf):
     return B.scrape_stats(log(spark, sf))
 
 
 @query("cap_pages", """SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rank FROM events
-    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 15""")
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 15""", ints="rank")
 def cap_pages(spark, sf):
     return O.cap_rows(read_table(spark, sf, "events").select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], 15).drop("ts")
 
@@ -175,7 +175,7 @@ def report(spark, sf):
     return contact_report(all_pages(spark, sf), keep=["page_id"])
 
 
-@query("cap_emails", f"WITH {_REPORT_PARTS} SELECT page_id, pos, email FROM found WHERE pos < 5")
+@query("cap_emails", f"WITH {_REPORT_PARTS} SELECT page_id, pos, email FROM found WHERE pos < 5", ints="pos")
 def cap_emails(spark, sf):
     mails = unnest(page_contacts(all_pages(spark, sf)), ["page_id"], "emails", "e").select("page_id", "pos", "e.email")
     return O.cap_rows(mails, ["page_id"], ["pos"], 5).drop("rank")
@@ -199,7 +199,7 @@ def robots_filter(spark, sf):
 
 @query("robots_blocked", f"""SELECT page_id, CASE WHEN ok THEN 200 ELSE 403 END AS status_code, CASE WHEN ok THEN length(html) ELSE 0 END AS chars,
     CASE WHEN NOT ok THEN 'Blocked by robots.txt' END AS error FROM (SELECT page_id, html, CASE {_SHAPE} WHEN 0 THEN NOT starts_with({_PATHQ}, '/en/')
-    WHEN 1 THEN starts_with({_PATHQ}, '/en/6') OR NOT (starts_with({_PATHQ}, '/en/') OR starts_with({_PATHQ}, '/fr/')) ELSE true END AS ok FROM pages)""")
+    WHEN 1 THEN starts_with({_PATHQ}, '/en/6') OR NOT (starts_with({_PATHQ}, '/en/') OR starts_with({_PATHQ}, '/fr/')) ELSE true END AS ok FROM pages)""", ints="chars")
 def robots_blocked(spark, sf):
     pages = read_table(spark, sf, "pages").withColumn("status_code", F.lit(200))
     return RB.blocked_pages(pages, _robots(spark, sf)).select("page_id", "status_code", F.char_length("html").alias("chars"), "error")
@@ -236,7 +236,7 @@ def _site_pages(spark, sf):
     return derive(spark, sf, CONTACT_PAGES)
 
 
-@query("frontier_bfs", f"WITH RECURSIVE {_WALK} SELECT job_id, seed, visit, url, ok, taken FROM walk WHERE visit > 0")
+@query("frontier_bfs", f"WITH RECURSIVE {_WALK} SELECT job_id, seed, visit, url, ok, taken FROM walk WHERE visit > 0", ints="taken")
 def frontier_bfs(spark, sf):
     found = page_contacts(_site_pages(spark, sf), with_links=True)
     return site_walk(derive(spark, sf, SEEDS), page_facts(found))

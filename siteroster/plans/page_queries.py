@@ -29,7 +29,7 @@ def src_raw_text(spark, sf):
     return read_texts(spark, path, whole_files=False).select("text")
 
 
-@query("src_pages", f"SELECT url, status_code, length(html) AS chars, md5(html) AS digest FROM {ALL_PAGES}")
+@query("src_pages", f"SELECT url, status_code, length(html) AS chars, md5(html) AS digest FROM {ALL_PAGES}", ints="chars")
 def src_pages(spark, sf):
     path = scratch_path(spark, "pages")
     all_pages(spark, sf).drop("page_id").write.json(path)
@@ -44,7 +44,7 @@ def src_decode(spark, sf):
 
 
 @query("page_size_guard", f"""SELECT page_id, CASE WHEN strlen(html) > 4000 THEN 0 ELSE length(html) END AS chars,
-    CASE WHEN strlen(html) > 4000 THEN 'Page size exceeds limit (' || strlen(html) || ' bytes)' END AS error FROM {ALL_PAGES}""")
+    CASE WHEN strlen(html) > 4000 THEN 'Page size exceeds limit (' || strlen(html) || ' bytes)' END AS error FROM {ALL_PAGES}""", ints="chars")
 def page_size_guard(spark, sf):
     return P.page_size_guard(all_pages(spark, sf), 4000).select("page_id", F.char_length("html").alias("chars"), "error")
 
@@ -84,7 +84,7 @@ LINKS = f"""SELECT page_id, url, target, row_number() OVER (PARTITION BY page_id
   GROUP BY page_id, url, target"""
 
 
-@query("page_links", f"SELECT url AS source, pos, target, page_id FROM ({LINKS})")
+@query("page_links", f"SELECT url AS source, pos, target, page_id FROM ({LINKS})", ints="pos")
 def page_links(spark, sf):
     return P.link_edges(all_pages(spark, sf), "url", keep=["page_id"])
 
@@ -95,7 +95,7 @@ _HEADINGS = " UNION ALL ".join(
 
 
 @query("page_headings", f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY level, i) - 1 AS pos, heading FROM (
-    SELECT page_id, level, i, {Q.element_text('inner_html')} AS heading FROM ({_HEADINGS})) WHERE length(heading) >= 10""")
+    SELECT page_id, level, i, {Q.element_text('inner_html')} AS heading FROM ({_HEADINGS})) WHERE length(heading) >= 10""", ints="pos")
 def page_headings(spark, sf):
     return unnest(all_pages(spark, sf), ["page_id"], H.page_headings("html"), "heading")
 
@@ -103,7 +103,7 @@ def page_headings(spark, sf):
 _T = f"(SELECT page_id, {Q.page_text('html')} AS t FROM {ALL_PAGES})"
 
 
-@query("page_word_count", f"SELECT page_id, {Q.word_count('t')} AS words FROM {_T}")
+@query("page_word_count", f"SELECT page_id, {Q.word_count('t')} AS words FROM {_T}", ints="words")
 def page_word_count(spark, sf):
     return all_pages(spark, sf).select("page_id", T.word_count(H.page_text("html")).alias("words"))
 
@@ -124,7 +124,7 @@ def page_meta(spark, sf):
 
 @query("page_json_ld", f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, json_extract_string(j, '$.name') AS name FROM (
     SELECT page_id, unnest(l) AS j, generate_subscripts(l, 1) AS i FROM (
-      SELECT page_id, regexp_extract_all(html, '(?s)<script type=.application/ld\\+json.>(.*?)</script>', 1) AS l FROM {ALL_PAGES})) WHERE json_valid(j)""")
+      SELECT page_id, regexp_extract_all(html, '(?s)<script type=.application/ld\\+json.>(.*?)</script>', 1) AS l FROM {ALL_PAGES})) WHERE json_valid(j)""", ints="pos")
 def page_json_ld(spark, sf):
     rows = P.json_ld_rows(all_pages(spark, sf), "page_id")
     return rows.select("page_id", "pos", F.try_variant_get("data", "$.name", "string").alias("name"))
@@ -132,12 +132,12 @@ def page_json_ld(spark, sf):
 
 @query("page_elements", f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, t AS text FROM (
     SELECT page_id, i, {Q.element_text('x')} AS t FROM (SELECT page_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (
-      SELECT page_id, regexp_extract_all(m, '(?is)<p(?:\\s[^>]*)?>(.*?)</p\\s*>', 1) AS l FROM {_M}))) WHERE length(t) >= 10""")
+      SELECT page_id, regexp_extract_all(m, '(?is)<p(?:\\s[^>]*)?>(.*?)</p\\s*>', 1) AS l FROM {_M}))) WHERE length(t) >= 10""", ints="pos")
 def page_elements(spark, sf):
     return P.element_rows(all_pages(spark, sf), "page_id", "p")
 
 
 @query("page_parse", f"""SELECT page_id, length(t) AS chars, {Q.word_count('t')} AS word_count, coalesce(n, 0) AS links FROM {_T}
-    LEFT JOIN (SELECT page_id AS k, count(*) AS n FROM ({LINKS}) GROUP BY 1) ON k = page_id""")
+    LEFT JOIN (SELECT page_id AS k, count(*) AS n FROM ({LINKS}) GROUP BY 1) ON k = page_id""", ints="chars word_count links")
 def page_parse(spark, sf):
     return P.parse_pages(all_pages(spark, sf)).select("page_id", F.char_length("text").alias("chars"), "word_count", F.size("links").alias("links"))

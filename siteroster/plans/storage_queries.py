@@ -75,7 +75,7 @@ _SCHEMA = "c_custkey bigint, c_name string, c_mktsegment string"
 _BODY = """strlen('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"}')"""
 
 
-@query("enc_rows", f"SELECT 'job-' || c_nationkey AS job_id, {_BODY} + 28 AS bytes, count(*) AS n, true AS no_repeats FROM customer GROUP BY 1, 2")
+@query("enc_rows", f"SELECT 'job-' || c_nationkey AS job_id, {_BODY} + 28 AS bytes, count(*) AS n, true AS no_repeats FROM customer GROUP BY 1, 2", ints="bytes")
 def enc_rows(spark, sf):
     done = X.encrypt_rows(_records(spark, sf), _keys(spark, sf))
     return done.groupBy("job_id", F.octet_length("payload").alias("bytes")).agg(

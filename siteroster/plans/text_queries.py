@@ -135,7 +135,7 @@ def chunk_rows(spark, sf):
 
 @query("flatten_rows", """
     SELECT conv_id, turn, unnest(w) AS item, generate_subscripts(w, 1) - 1 AS pos FROM (
-      SELECT conv_id, turn, flatten(list_transform(string_split(text, chr(10)), lambda x: string_split(x, ' '))) AS w FROM conversations)""")
+      SELECT conv_id, turn, flatten(list_transform(string_split(text, chr(10)), lambda x: string_split(x, ' '))) AS w FROM conversations)""", ints="pos")
 def flatten_rows(spark, sf):
     nested = read_table(spark, sf, "conversations").select(
         "conv_id", "turn", F.transform(F.split("text", "\n", -1), lambda x: F.split(x, " ", -1)).alias("nested"))
