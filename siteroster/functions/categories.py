@@ -91,11 +91,12 @@ def has_category(categories: Column | str, targets: list[str], min_confidence: f
 
 def contact_person(categories: Column | str) -> Column:
     """Label of the person behind an address."""
-    top = primary_category(categories)
-    out = F.lit(DEFAULT_PERSON)
-    for category, label in reversed(list(ROLE_PERSON.items())):
-        out = F.when(top == category, F.lit(label)).otherwise(out)
-    return out
+    def label(top: Column) -> Column:
+        out = F.lit(DEFAULT_PERSON)
+        for category, person in reversed(list(ROLE_PERSON.items())):
+            out = F.when(top == category, F.lit(person)).otherwise(out)
+        return out
+    return let(primary_category(categories), label)
 
 
 def site_categories(domain: Column | str, text: Column | str | None = None,

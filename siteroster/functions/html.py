@@ -22,7 +22,7 @@ from siteroster.functions.urls import resolve_url
 _ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 _TAG = rf"<[a-zA-Z/]{_ATTRS}>"
 _ODD_TAG = r"<[a-zA-Z/][^>]*+>"
-_RAW_BLOCK = r"(?is)<(script|style)\b[^>]*+>.*?(?:</\1\s*>|\z)"
+_RAW_BLOCK = r"(?i)<(script|style)\b[^>]*+>[^<]*+(?:<(?!/\1\b)[^<]*+)*+(?:</\1\s*>|\z)"
 _COMMENT = r"(?s)<!--(.*?)-->"
 _ENTITY = r"&(#?[a-zA-Z0-9]+);?"
 _NEST_PASSES = 4
@@ -170,24 +170,37 @@ def _only_string(inner: Column) -> Column:
 
 
 def element_texts(html: Column | str, tag: str, min_text_length: int = MIN_TEXT_LENGTH) -> Column:
-    """Texts of the elements with one tag name, in page order; short ones are dropped."""
+    """Texts of the elements with one tag name, in page order; short ones are dropped.
+
+    Elements nested in their own kind are read up to the first closing tag.
+    """
     inner = F.regexp_extract_all(markup(html), F.lit(rf"(?is)<{tag}\b[^>]*+>(.*?)</{tag}\s*>"), F.lit(1))
     return F.filter(F.transform(inner, _element_text), lambda t: F.char_length(t) >= min_text_length)
 
 
 def page_headings(html: Column | str, min_text_length: int = MIN_TEXT_LENGTH) -> Column:
     """Heading texts, all of level 1 first, then level 2 and so on."""
-    return let(markup(html), lambda m: F.concat(*[
+    return let(markup(html), lambda m: headings_in(m, min_text_length))
+
+
+# The functions ending in _in take the result of ``markup``, so that several can share it.
+
+def headings_in(m: Column, min_text_length: int = MIN_TEXT_LENGTH) -> Column:
+    return F.concat(*[
         F.filter(F.transform(
             F.regexp_extract_all(m, F.lit(rf"(?is)<h{n}\b[^>]*+>(.*?)</h{n}\s*>"), F.lit(1)),
             _element_text), lambda t: F.char_length(t) >= min_text_length)
-        for n in range(1, 7)]))
+        for n in range(1, 7)])
 
 
 def page_links(html: Column | str, base_url: Column | str | None = None) -> Column:
     """Link targets in page order, each once; relative ones resolved against ``base_url``."""
+    return links_in(markup(html), base_url)
+
+
+def links_in(m: Column, base_url: Column | str | None = None) -> Column:
     tags = F.regexp_extract_all(
-        markup(html), F.lit(rf"(?i)<a((?=[\s/]){_ATTRS})>"), F.lit(1))
+        m, F.lit(rf"(?i)<a((?=[\s/]){_ATTRS})>"), F.lit(1))
     hrefs = F.filter(F.transform(tags, lambda t: _value(t, "href")), lambda h: h.isNotNull() & (h != ""))
     wanted = F.filter(hrefs, lambda h: ~_any_start(h, SKIPPED_LINK_STARTS))
     if base_url is None:
@@ -208,7 +221,11 @@ def _any_start(c: Column, starts: list[str]) -> Column:
 
 def meta_entries(html: Column | str) -> Column:
     """``meta`` tags as structs (name, property, content) in page order."""
-    tags = F.regexp_extract_all(markup(html), F.lit(rf"(?i)<meta((?=[\s/]){_ATTRS})>"), F.lit(1))
+    return meta_entries_in(markup(html))
+
+
+def meta_entries_in(m: Column) -> Column:
+    tags = F.regexp_extract_all(m, F.lit(rf"(?i)<meta((?=[\s/]){_ATTRS})>"), F.lit(1))
     return F.transform(tags, lambda t: F.struct(
         _value(t, "name").alias("name"), _value(t, "property").alias("property"),
         _value(t, "content").alias("content")))
@@ -245,9 +262,12 @@ def _first_content(entries: Column, field: str, value: str) -> Column:
     return strip(F.nullif(first["content"], F.lit("")))
 
 
-def page_title(html: Column | str, entries: Column | str) -> Column:
-    """``title`` element, else ``og:title``, else first ``h1``; ``entries`` as of meta_entries."""
-    m = markup(html)
+def page_title(html: Column | str) -> Column:
+    """``title`` element, else ``og:title``, else first ``h1``."""
+    return let(markup(html), lambda m: let(meta_entries_in(m), lambda entries: title_in(m, entries)))
+
+
+def title_in(m: Column, entries: Column | str) -> Column:
     title = _only_string(F.regexp_extract(m, r"(?is)<title\b[^>]*+>(.*?)</title\s*>", 1))
     h1 = _only_string(F.regexp_extract(m, r"(?is)<h1\b[^>]*+>(.*?)</h1\s*>", 1))
     return F.coalesce(strip(decode_references(title)),

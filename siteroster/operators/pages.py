@@ -31,14 +31,14 @@ def parse_pages(pages: DataFrame, remove_nav: bool = True, extract_links: bool =
                 keep_comments: bool = True, base_url: Column | str = "url") -> DataFrame:
     """Add text, title, meta_description, links, headings and word_count."""
     none = F.array().cast("array<string>")
-    entries = once(pages, {"_meta": H.meta_entries("html")})
-    parsed = once(entries, {
-        "text": H.page_text("html", remove_nav, keep_comments),
-        "title": H.page_title("html", "_meta"),
+    tidy = once(pages, {"_markup": H.markup("html"), "text": H.page_text("html", remove_nav, keep_comments)})
+    m = F.col("_markup")
+    parsed = once(once(tidy, {"_meta": H.meta_entries_in(m)}), {
+        "title": H.title_in(m, "_meta"),
         "meta_description": H.meta_description("_meta"),
-        "links": H.page_links("html", base_url) if extract_links else none,
-        "headings": H.page_headings("html", min_text_length) if extract_headings else none})
-    return parsed.withColumn("word_count", word_count("text")).drop("_meta")
+        "links": H.links_in(m, base_url) if extract_links else none,
+        "headings": H.headings_in(m, min_text_length) if extract_headings else none})
+    return parsed.withColumn("word_count", word_count("text")).drop("_meta", "_markup")
 
 
 def link_edges(pages: DataFrame, source: str = "url", keep: list[str] | None = None) -> DataFrame:

@@ -20,3 +20,12 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 def unnest(df: DataFrame, keep: list[str | Column], array: Column | str, value: str, pos: str = "pos") -> DataFrame:
     """One row per array element with its position; rows with an empty array vanish."""
     return df.select(*keep, F.posexplode_outer(array).alias(pos, value)).filter(F.col(pos).isNotNull())
+
+
+def fan_out(df: DataFrame) -> DataFrame:
+    """Spread a table that arrives in fewer pieces than there are cores, as one small file does.
+
+    For row-local work that is heavy on CPU. A table of many splits stays as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

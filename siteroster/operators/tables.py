@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siteroster.functions.contacts import email_domain, email_username
 from siteroster.operators.running import running, with_index
+from siteroster.session import durable
 
 SALT_BUCKETS = 16
 
@@ -56,8 +57,12 @@ def standard_format(df: DataFrame, email: str, order: list[str], with_time: bool
 
 
 def detailed_format(df: DataFrame, order: list[str], with_time: bool = True) -> DataFrame:
-    """Detailed rows of columns email, username, domain, confidence, is_valid, context."""
-    out = with_index(df, order).select(
+    """Detailed rows of columns email, username, domain, confidence, is_valid, context.
+
+    The rows are written first: numbering samples its input, and hits are costly to find twice.
+    """
+    columns = dict.fromkeys([*order, "email", "username", "domain", "confidence", "is_valid", "context"])
+    out = with_index(durable(df.select(*columns), "hits"), order).select(
         "index", "email", "username", "domain", F.bround("confidence", 2).alias("confidence_score"),
         "is_valid", F.coalesce(F.left("context", F.lit(100)), F.lit("")).alias("context"))
     return out.withColumn("extracted_at", F.current_timestamp()) if with_time else out

@@ -11,7 +11,7 @@ from siteroster.operators import categorize as K
 from siteroster.operators import contacts as E
 from siteroster.operators import tables as O
 from siteroster.operators.report import NETWORKS
-from siteroster.operators.rows import once, unnest
+from siteroster.operators.rows import fan_out, once, unnest
 from siteroster.plans import check_sql as Q
 from siteroster.plans.derived import ADDRESSES, derive, table_sql
 from siteroster.plans.page_queries import ALL_PAGES, all_pages
@@ -26,7 +26,7 @@ _PAGE_CLEAN = (f"p AS (SELECT page_id, url, html, {Q.page_text('html')} AS t FRO
 
 
 def documents(spark, sf):
-    return read_table(spark, sf, "documents").select("doc_id", "text")
+    return fan_out(read_table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def match_rows(spark, sf):

@@ -11,7 +11,7 @@ from siteroster.operators import requests as R
 from siteroster.operators import robots as RB
 from siteroster.operators import tables as O
 from siteroster.operators.report import NETWORKS, contact_report, page_contacts
-from siteroster.operators.rows import unnest
+from siteroster.operators.rows import fan_out, unnest
 from siteroster.operators.walk import crawl_report, page_facts, site_walk
 from siteroster.plans import check_sql as Q
 from siteroster.plans.contact_queries import _PAGE_CLEAN
@@ -233,7 +233,7 @@ _WALK = f"""{_REPORT_PARTS},
 
 
 def _site_pages(spark, sf):
-    return derive(spark, sf, CONTACT_PAGES)
+    return fan_out(derive(spark, sf, CONTACT_PAGES))
 
 
 @query("frontier_bfs", f"WITH RECURSIVE {_WALK} SELECT job_id, seed, visit, url, ok, taken FROM walk WHERE visit > 0", ints="taken")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siteroster.functions import html as H
 from siteroster.functions import text as T
 from siteroster.operators import pages as P
-from siteroster.operators.rows import unnest
+from siteroster.operators.rows import fan_out, unnest
 from siteroster.plans import check_sql as Q
 from siteroster.plans.derived import CONTACT_PAGES, RAW_PAGES, URL_TEXTS, derive, table_sql
 from siteroster.plans.registry import query
@@ -19,7 +19,7 @@ ALL_PAGES = f"({table_sql(RAW_PAGES, CONTACT_PAGES)})"
 
 def all_pages(spark, sf):
     """Captured pages of both kinds: (page_id, url, html, status_code)."""
-    return derive(spark, sf, RAW_PAGES, CONTACT_PAGES)
+    return fan_out(derive(spark, sf, RAW_PAGES, CONTACT_PAGES))
 
 
 @query("src_raw_text", f"SELECT text FROM ({table_sql(URL_TEXTS)})")
@@ -66,7 +66,7 @@ _M = f"(SELECT page_id, {Q.markup('html')} AS m FROM {ALL_PAGES})"
     "coalesce(nullif(regexp_extract(m, '(?i)<title[^>]*>([^<]*)</title', 1), ''), nullif(regexp_extract(m, '<meta property=.og:title. content=.([^>]*).>', 1), ''), "
     "nullif(regexp_extract(m, '(?i)<h1[^>]*>([^<]*)</h1', 1), ''))"))} AS title FROM {_M}""")
 def page_title(spark, sf):
-    return all_pages(spark, sf).withColumn("meta", H.meta_entries("html")).select("page_id", H.page_title("html", "meta").alias("title"))
+    return all_pages(spark, sf).select("page_id", H.page_title("html").alias("title"))
 
 
 @query("page_meta_desc", f"""SELECT page_id, nullif({Q.strip(Q.references("regexp_extract(m, '<meta name=.description. content=.([^>]*).>', 1)"))}, '') AS description FROM {_M}""")

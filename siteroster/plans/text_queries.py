@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siteroster.functions import text as T
 from siteroster.functions import urls as U
 from siteroster.operators import tables as O
-from siteroster.operators.rows import unnest
+from siteroster.operators.rows import fan_out, unnest
 from siteroster.plans import check_sql as Q
 from siteroster.plans.derived import ADDRESSES, URL_TEXTS, derive, table_sql
 from siteroster.plans.registry import query
@@ -97,7 +97,7 @@ _NOISY = "chr(160) || text || chr(9) || chr(10) || ' ' || chr(8195) || lang || c
 
 
 def _noisy(spark, sf):
-    return read_table(spark, sf, "documents").select("doc_id", F.concat(
+    return fan_out(read_table(spark, sf, "documents")).select("doc_id", F.concat(
         F.lit("\xa0"), "text", F.lit("\t\n  "), "lang", F.lit("\n")).alias("text"))
 
 
@@ -137,7 +137,7 @@ def chunk_rows(spark, sf):
     SELECT conv_id, turn, unnest(w) AS item, generate_subscripts(w, 1) - 1 AS pos FROM (
       SELECT conv_id, turn, flatten(list_transform(string_split(text, chr(10)), lambda x: string_split(x, ' '))) AS w FROM conversations)""", ints="pos")
 def flatten_rows(spark, sf):
-    nested = read_table(spark, sf, "conversations").select(
+    nested = fan_out(read_table(spark, sf, "conversations")).select(
         "conv_id", "turn", F.transform(F.split("text", "\n", -1), lambda x: F.split(x, " ", -1)).alias("nested"))
     return O.flatten_rows(nested, "nested")
 
