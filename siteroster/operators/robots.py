@@ -64,7 +64,9 @@ def robots_rules(robots: DataFrame, agent: str = "mozilla") -> DataFrame:
 
 def robots_filter(urls: DataFrame, robots: DataFrame, url: str = "url", agent: str = "mozilla",
                   spread_by: list[str] | None = None) -> DataFrame:
-    """Add ``allowed``: the first rule that fits the path decides; no file or no rule allows.
+    """Add ``allowed``: the first rule whose path starts the URL's decides; no file or no rule allows.
+
+    Wildcards have no meaning in paths, so a rule for ``*`` fits nothing.
 
     ``spread_by`` names columns that tell rows of one host apart; by default the plain ones.
     """
@@ -74,7 +76,7 @@ def robots_filter(urls: DataFrame, robots: DataFrame, url: str = "url", agent: s
     target = _unquote(F.concat(full_path(url), F.when(query(url) != "", F.concat(F.lit("?"), query(url))).otherwise("")))
     keyed = urls.withColumns({"_host": netloc(url), "_target": F.when(target == "", F.lit("/")).otherwise(target)})
     joined = skew_safe_lookup(keyed, rules, "_host", spread_by=spread_by)
-    first = F.get(F.filter("rules", lambda r: (r["path"] == "*") | F.col("_target").startswith(r["path"])), F.lit(0))
+    first = F.get(F.filter("rules", lambda r: F.col("_target").startswith(r["path"])), F.lit(0))
     return joined.withColumn("allowed", F.coalesce(first["allow"], F.lit(True))).drop("_host", "_target", "rules")
 
 
