@@ -7,8 +7,6 @@ range and key carries the totals over to the next range.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,8 +24,10 @@ def running(df: DataFrame, order: list[str], keys: list[str] | None = None,
     ``order`` must not leave ties. Without ``keys`` the whole table is one sequence.
     """
     keys, sums, previous, earliest = keys or [], sums or {}, previous or {}, earliest or {}
+    # As one struct the key is never NULL: windows and the join below then agree on its hash.
+    group = ["_slice", "_key"] if keys else ["_slice"]
     measured = df.select(
-        "*", *[c.alias(f"_sum_{n}") for n, c in sums.items()],
+        "*", *([F.struct(*keys).alias("_key")] if keys else []), *[c.alias(f"_sum_{n}") for n, c in sums.items()],
         *[c.alias(f"_prev_{n}") for n, c in previous.items()],
         *[c.alias(f"_first_{n}") for n, c in earliest.items()])
     by = [F.col(c) for c in [*keys, *order]]
@@ -36,28 +36,26 @@ def running(df: DataFrame, order: list[str], keys: list[str] | None = None,
     parts = durable(ranged.withColumn("_slice", F.spark_partition_id()), "ranges")
 
     at = F.struct(*[F.col(c) for c in order])
-    totals = parts.groupBy("_slice", *keys).agg(
+    totals = parts.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(f"_sum_{n}").alias(f"_t_{n}") for n in sums],
         *[F.max_by(F.struct(f"_prev_{n}"), at).alias(f"_l_{n}") for n in previous],
         *[F.min_by(F.struct(f"_first_{n}"), at).alias(f"_f_{n}") for n in earliest])
-    chain = W.partitionBy(*keys).orderBy("_slice")
+    chain = W.partitionBy(*group[1:]).orderBy("_slice")
     earlier = chain.rowsBetween(W.unboundedPreceding, -1)
     carried = totals.select(
-        F.col("_slice").alias("_c_slice"), *[F.col(k).alias(f"_c_{k}") for k in keys],
+        *group,
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums],
         *[F.lag(f"_l_{n}").over(chain).alias(f"_last_{n}") for n in previous],
         *[F.first(f"_f_{n}").over(chain.rowsBetween(W.unboundedPreceding, 0)).alias(f"_start_{n}")
           for n in earliest])
 
-    inside = W.partitionBy("_slice", *keys).orderBy(*order)
+    inside = W.partitionBy(*group).orderBy(*order)
     local = parts.select(
         "*", *[F.coalesce(F.sum(f"_sum_{n}").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
                .alias(f"_local_{n}") for n in sums],
         *[F.lag(F.struct(f"_prev_{n}")).over(inside).alias(f"_lag_{n}") for n in previous])
-    same = reduce(lambda a, b: a & b, [F.col("_slice") == F.col("_c_slice")] + [
-        F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys])
-    return local.join(carried, same).select(
+    return local.join(carried, group).select(
         *[F.col(c) for c in df.columns],
         *[(F.col(f"_local_{n}") + F.col(f"_before_{n}")).alias(n) for n in sums],
         *[F.coalesce(F.col(f"_lag_{n}"), F.col(f"_last_{n}"))[f"_prev_{n}"].alias(n) for n in previous],

@@ -18,6 +18,9 @@ from siteroster.operators.rows import once, unnest
 from siteroster.operators.tables import skew_safe_lookup
 from siteroster.session import bucketed, durable
 
+# A page asked for by more seeds than this is spread over several tasks.
+HOT_ROWS = 1_000_000
+
 _STRINGS = "array<string>"
 _SEEN = "array<struct<url:string,ok:boolean,taken:int>>"
 
@@ -52,60 +55,61 @@ def _visit(max_emails: int, max_pages: int) -> Column:
 
 
 def site_walk(seeds: DataFrame, facts: DataFrame, max_pages: int = WALK_MAX_PAGES,
-              max_emails: int = WALK_MAX_EMAILS) -> DataFrame:
+              max_emails: int = WALK_MAX_EMAILS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pages visited per seed: (job_id, seed, visit, url, ok, taken).
 
     ``seeds`` is (job_id, seed, mode), ``facts`` comes from ``page_facts``. ``taken`` is the number of
     addresses the page may still give. When the first page fails or has no address, the root of its
     host is queued before its links. Links are followed in ``deep`` mode only.
     """
-    facts = bucketed(facts, "url", "facts")
-    key = F.struct("job_id", "seed")
-    none = F.array().cast(_STRINGS)
     state = durable(seeds.select("job_id", "seed", "mode").distinct().select(
-        key.alias("id"), "mode", F.array("seed").alias("queued"), F.array("seed").alias("next"),
+        F.struct("job_id", "seed").alias("id"), "mode", F.array("seed").alias("queued"), F.array("seed").alias("next"),
         F.array().cast(_SEEN).alias("seen"), F.lit(0).alias("n_emails")), "walk")
+    going = (F.size("next") > 0) & (F.col("n_emails") < max_emails) & (F.size("seen") < max_pages)
     finished = []
-
-    # Each round visits at least one page of every seed it holds, hence the bound.
-    for _ in range(max_pages):
-        wanted = state.select("id", F.posexplode("next").alias("pos", "url"))
-        # Look up each wanted page once, then hand it to all seeds that asked for it.
-        pages = facts.join(wanted.select("url").distinct(), "url", "left_semi")
-        reached = skew_safe_lookup(wanted, pages, "url", spread_by=["id", "pos"])
-        gathered = reached.groupBy("id").agg(  # at most max_pages rows per seed
-            F.sort_array(F.collect_list(F.struct("pos", "url", "n_emails", "links"))).alias("pages"))
-        visited = once(state.join(gathered, "id"), {"_v": _visit(max_emails, max_pages)})
-        got = F.col("_v.got")
-        first = F.get(got, F.lit(0))
-        root = url_root(first["url"])
-        fallback = F.when((F.size("seen") == 0) & (F.coalesce(first["taken"], F.lit(0)) == 0)
-                          & (root != first["url"]), F.array(root)).otherwise(none)
-        links = F.when(F.lower("mode") == DEEP_MODE, F.flatten(F.transform(got, lambda p: p["links"]))).otherwise(none)
-        fresh = F.array_except(F.concat(fallback, links), F.col("queued"))
-        room = F.greatest(F.lit(max_pages) - F.size("queued"), F.lit(0))
-        seen = F.concat("seen", F.transform(got, lambda p: F.struct(
-            p["url"].alias("url"), p["ok"].alias("ok"), p["taken"].alias("taken"))))
-        moved = visited.select("id", "mode", "queued", F.slice(fresh, F.lit(1), room).alias("next"),
-                               seen.alias("seen"), F.col("_v.n").alias("n_emails"))
-        moved = durable(moved.select("id", "mode", F.concat("queued", "next").alias("queued"), "next", "seen",
-                                     "n_emails"), "walk")
-        going = (F.size("next") > 0) & (F.col("n_emails") < max_emails) & (F.size("seen") < max_pages)
-        finished.append(moved.filter(~going))
-        state = moved.filter(going)
-        if state.isEmpty():
-            break
-
+    with bucketed(facts, "url", "facts") as pages:
+        # Each round visits at least one page of every seed it holds, hence the bound.
+        for _ in range(max_pages):
+            moved = durable(_round(state, pages, max_pages, max_emails, hot_rows), "walk")
+            finished.append(moved.filter(~going))
+            state = moved.filter(going)
+            if state.isEmpty():
+                break
     walks = reduce(DataFrame.unionByName, finished)
     return unnest(walks, ["id"], "seen", "_s", "_p").select(
         "id.job_id", "id.seed", (F.col("_p") + 1).alias("visit"), "_s.url", "_s.ok", "_s.taken")
 
 
+def _round(state: DataFrame, pages: DataFrame, max_pages: int, max_emails: int, hot_rows: int) -> DataFrame:
+    """Visit the next pages of every seed and queue the links they bring."""
+    none = F.array().cast(_STRINGS)
+    wanted = unnest(state, ["id"], "next", "url")
+    # Look up each wanted page once, then hand it to all seeds that asked for it.
+    stored = pages.join(wanted.select("url").distinct(), "url", "left_semi")
+    reached = skew_safe_lookup(wanted, stored, "url", spread_by=["id", "pos"], hot_rows=hot_rows)
+    gathered = reached.groupBy("id").agg(  # at most max_pages rows per seed
+        F.sort_array(F.collect_list(F.struct("pos", "url", "n_emails", "links"))).alias("pages"))
+    visited = once(state.join(gathered, "id"), {"_v": _visit(max_emails, max_pages)})
+    got = F.col("_v.got")
+    first = F.get(got, F.lit(0))
+    root = url_root(first["url"])
+    fallback = F.when((F.size("seen") == 0) & (F.coalesce(first["taken"], F.lit(0)) == 0)
+                      & (root != first["url"]), F.array(root)).otherwise(none)
+    links = F.when(F.lower("mode") == DEEP_MODE, F.flatten(F.transform(got, lambda p: p["links"]))).otherwise(none)
+    fresh = F.array_except(F.concat(fallback, links), F.col("queued"))
+    room = F.greatest(F.lit(max_pages) - F.size("queued"), F.lit(0))
+    seen = F.concat("seen", F.transform(got, lambda p: F.struct(
+        p["url"].alias("url"), p["ok"].alias("ok"), p["taken"].alias("taken"))))
+    moved = once(visited, {"_next": F.slice(fresh, F.lit(1), room)})
+    return moved.select("id", "mode", F.concat("queued", "_next").alias("queued"), F.col("_next").alias("next"),
+                        seen.alias("seen"), F.col("_v.n").alias("n_emails"))
+
+
 def walk_report(visits: DataFrame, found: DataFrame) -> DataFrame:
     """Contact report of a walk: what each visited page may give, keyed by job and seed."""
     good = visits.filter("ok").select("job_id", "seed", "visit", "url", "taken")
     contents = found.join(good.select("url").distinct(), "url", "left_semi")
-    joined = skew_safe_lookup(good, contents, "url", spread_by=["job_id", "seed"], how="inner")
+    joined = skew_safe_lookup(good, contents, "url", spread_by=["job_id", "seed"], how="inner", hot_rows=HOT_ROWS)
     return report_rows(joined, ["job_id", "seed", "visit"], "taken")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,11 +66,18 @@ def durable(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, label: str = "table") -> DataFrame:
-    """Like ``durable``, but bucketed by ``key``: repeated joins on it leave this side in place."""
+@contextmanager
+def bucketed(df: DataFrame, key: str, label: str = "table") -> Iterator[DataFrame]:
+    """Like ``durable``, but bucketed by ``key``: repeated joins on it leave this side in place.
+
+    The table's name leaves the catalog at the end of the block.
+    """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"siteroster_{label}_{uuid.uuid4().hex}"
     (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
      .option("path", scratch_path(spark, label)).saveAsTable(name))
-    return spark.table(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -58,7 +58,7 @@ def test_walk_agrees_with_a_plain_queue(spark):
 def test_many_seeds_asking_for_one_page(spark):
     found = spark.createDataFrame([("http://a.com", ["m"], []), ("http://b.com", [], [])], "url string, emails array<string>, links array<string>")
     seeds = spark.createDataFrame([(f"j{i}", "http://a.com/x" if i % 3 else "http://b.com", "quick") for i in range(300)], "job_id string, seed string, mode string")
-    visits = site_walk(seeds, page_facts(found))
+    visits = site_walk(seeds, page_facts(found), hot_rows=20)
     assert visits.filter("url = 'http://a.com' AND ok AND visit = 2").count() == 200 and visits.count() == 500
 
 
