@@ -40,7 +40,7 @@ def scratch_dir(spark: SparkSession) -> str:
     temporary folder of its own.
     """
     global _local_scratch
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
