@@ -153,6 +153,17 @@ def business_type(text: Column | str, keywords: dict | None = None,
     return let(F.lower(F.coalesce(col(text), F.lit(""))), pick)
 
 
+def _rule_of(category: str):
+    return lambda token: F.struct(F.lit(category).alias("category"), token.alias("token"))
+
+
+def matched_rules(text: Column | str, rules: dict) -> Column:
+    """Every (category, token) whose token occurs in the text, in rule order."""
+    return let(F.lower(col(text)), lambda t: F.concat(*[
+        F.transform(_hits(tokens, t), _rule_of(category))
+        for category, tokens in rules.items()]))
+
+
 def rule_rows() -> list[tuple[str, int, str, str, str]]:
     """The built-in rules as rows (family, ord, category, kind, token)."""
     rows = []

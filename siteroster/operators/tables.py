@@ -87,21 +87,25 @@ def summary_stats(df: DataFrame, value: str, keys: list[str] | None = None) -> D
         F.avg(value).alias("mean"), F.sum(value).alias("sum"))
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running(counts, [value], keys, sums={"_below": F.col("_n")})
-    sizes = basics.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("count").alias("_size"))
-
-    def same(other: str) -> Column:
-        return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{other}{k}")) for k in keys])
-
-    sized = ranked.join(sizes, same("_s_")) if keys else ranked.join(sizes)  # one row without keys
-    middle = sized.filter(
-        (F.col("_below") <= F.floor(F.col("_size") / 2))
-        & (F.col("_below") + F.col("_n") > F.floor((F.col("_size") - 1) / 2)))
-    # one or two distinct values are left per key
-    medians = middle.groupBy(*[F.col(k).alias(f"_m_{k}") for k in keys]).agg(
-        ((F.min(value) + F.max(value)) / 2).alias("median"))
-    joined = basics.join(medians, same("_m_"), "left") if keys else basics.join(medians, how="left")
-    return joined.select(*keys, *[F.coalesce(F.col(c), F.lit(0)).alias(c)
-                                  for c in ("count", "min", "max", "mean", "median", "sum")])
+    names = ("count", "min", "max", "mean", "median", "sum")
+
+    def median_of(rows: DataFrame, size: Column, *by: Column) -> DataFrame:
+        middle = rows.filter((F.col("_below") <= F.floor(size / 2))
+                             & (F.col("_below") + F.col("_n") > F.floor((size - 1) / 2)))
+        # one or two distinct values are left per key
+        return middle.groupBy(*by).agg(((F.min(value) + F.max(value)) / 2).alias("median"))
+
+    if keys:
+        def same(other: str) -> Column:
+            return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{other}{k}")) for k in keys])
+
+        sizes = basics.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("count").alias("_size"))
+        medians = median_of(ranked.join(sizes, same("_s_")), F.col("_size"), *[F.col(k).alias(f"_m_{k}") for k in keys])
+        joined = basics.join(medians, same("_m_"), "left")
+    else:
+        medians = median_of(ranked, basics.select("count").scalar())
+        joined = basics.withColumn("median", medians.scalar())
+    return joined.select(*keys, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in names])
 
 
 def skew_safe_lookup(rows: DataFrame, table: DataFrame, key: str, spread_by: list[str], how: str = "left",

@@ -217,8 +217,6 @@ _RULE_VALUES = ", ".join("(" + ", ".join(Q.lit(v) if isinstance(v, str) else str
 @query("cat_rules", f"""SELECT c_custkey, category, token FROM customer, (VALUES {_RULE_VALUES}) r(family, ord, category, kind, token)
     WHERE family = 'business' AND contains(lower(c_mktsegment), token)""")
 def cat_rules(spark, sf):
-    rules = K.rules_table(spark).filter("family = 'business'").select("category", "token")
-    segments = read_table(spark, sf, "customer").select("c_custkey", F.lower("c_mktsegment").alias("segment"))
-    # the few distinct segments meet the rules, then an equi-join brings the customers in
-    matched = segments.select("segment").distinct().join(rules, F.col("segment").contains(F.col("token")))
-    return segments.join(matched, "segment").select("c_custkey", "category", "token")
+    customers = read_table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    found = unnest(customers, ["c_custkey"], G.matched_rules("c_mktsegment", G.BUSINESS_KEYWORDS), "rule")
+    return found.select("c_custkey", "rule.category", "rule.token")

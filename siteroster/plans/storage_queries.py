@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteroster.operators import crypto as X
-from siteroster.operators.tables import simple_index
+from siteroster.operators.budgets import Limits
 from siteroster.plans import check_sql as Q
 from siteroster.plans.contact_queries import _DOC_HITS, document_emails
 from siteroster.plans.crawl_queries import _REPORT_PARTS, log
-from siteroster.plans.derived import ADDRESSES, derive, table_sql
+from siteroster.plans.derived import ADDRESSES, CRAWL_LOG, derive, table_sql
 from siteroster.plans.page_queries import all_pages
 from siteroster.plans.registry import query
 from siteroster.session import scratch_path
@@ -142,7 +142,22 @@ def stream_contacts(spark, sf):
     return _drain(contacts_of(pages), spark, "contacts", "url string, email string, domain string, confidence double")
 
 
-@query("stream_limiter")
+ADMISSION = Limits(max_pages_per_domain=20, max_retry_attempts=6, min_request_delay_seconds=3600)
+
+
+@query("stream_limiter", f"""WITH RECURSIVE log AS ({table_sql(CRAWL_LOG)}),
+    r AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY domain ORDER BY ts, event_id) AS i FROM log),
+    walk AS (
+      SELECT domain, 0::BIGINT AS i, 0::BIGINT AS pages, 0::BIGINT AS failed, NULL::BIGINT AS last, NULL::BIGINT AS event_id, NULL::VARCHAR AS reason
+      FROM (SELECT DISTINCT domain FROM log)
+      UNION ALL
+      SELECT domain, i, pages + CASE WHEN reason IS NULL AND kind = 'success' THEN 1 ELSE 0 END, failed + CASE WHEN reason IS NULL AND kind = 'failure' THEN 1 ELSE 0 END,
+        CASE WHEN reason IS NULL THEN us ELSE last END, event_id, reason
+      FROM (SELECT w.domain, r.i, pages, failed, last, r.event_id, kind, us, CASE WHEN failed >= 6 THEN 'Domain blocked: Too many failures (' || failed || ')'
+          WHEN pages >= 20 THEN 'Domain page limit reached (20 pages)'
+          WHEN 3600 - (us - last) / 1000000 > 0 THEN 'Rate limit: wait ' || printf('%.1f', 3600 - (us - last) / 1000000) || 's' END AS reason
+        FROM walk w JOIN r ON r.domain = w.domain AND r.i = w.i + 1))
+    SELECT event_id, domain, reason IS NULL AS allowed, reason FROM walk WHERE i > 0""")
 def stream_limiter(spark, sf):
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
@@ -151,6 +166,6 @@ def stream_limiter(spark, sf):
         source = scratch_path(spark, "log")
         log(spark, sf).write.parquet(source)
         stream = spark.readStream.schema("event_id long, ts timestamp_ntz, domain string, kind string, bytes long").parquet(source)
-        return _drain(admissions_of(stream), spark, "admitted", DECISIONS)
+        return _drain(admissions_of(stream, ADMISSION), spark, "admitted", DECISIONS).drop("ts")
     finally:
         spark.conf.set(provider, before)
