@@ -39,7 +39,7 @@ WIDTH = 5
 #: Similarity from which two documents are linked, as a fraction.
 NUM, DEN = 4, 5
 #: Size of the table of counts, and of the blocks in which it is summed.
-COUNTERS, BLOCK = 1 << 20, 1 << 16
+COUNTERS, BLOCK = 1 << 21, 1 << 16
 FRAGMENTS = 8
 #: Rows of one key that are worked on together.
 HOT = 1 << 17
@@ -89,7 +89,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     used = [b for b in range(COUNTERS // BLOCK) if counts[b * BLOCK:(b + 1) * BLOCK].any()]
     if used:
         n, none = len(used), pa.nulls(len(used), pa.int64())
-        data = [counts[b * BLOCK:(b + 1) * BLOCK].astype("<u4").tobytes() for b in used]
+        kind = "<u2" if counts.max() < 1 << 16 else "<u8"
+        data = [counts[b * BLOCK:(b + 1) * BLOCK].astype(kind).tobytes() for b in used]
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(used, pa.int32()), pa.array(data)], schema=_PROFILE)
 
 
@@ -98,9 +99,10 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-            counts = np.frombuffer(data.as_buffer(), "<u4")
+            raw = data.as_buffer()
+            counts = np.frombuffer(raw, "<u2" if len(raw) == 2 * BLOCK else "<u8")
             if block in total:
-                total[block] += counts
+                total[block] += counts.astype(np.int64)
             else:
                 total[block] = counts.astype(np.int64)
     if total:
@@ -117,7 +119,7 @@ def frequency_classes(profile: DataFrame) -> tuple[np.ndarray, float]:
     for block, data in blocks.collect():
         counts[block * BLOCK:(block + 1) * BLOCK] += np.frombuffer(data, np.int64)
     middle = float(np.median(counts))
-    least = middle + 6 * max(middle, 1) ** 0.5 + 8
+    least = middle + 3 * max(middle, 1) ** 0.5 + 4
     return np.where(counts > least, np.minimum(63, 1 + 2 * np.log2(np.maximum(counts, 1) / least)), 0).astype(np.uint8), least
 
 
@@ -184,7 +186,7 @@ def verified(docs: DataFrame, pairs: DataFrame, fragments: int = FRAGMENTS) -> D
 
     Segments of ``a`` (the hub) and its ``b`` meet by (a, salt, fragment); the number of salts grows with the members.
     """
-    pairs = durable(pairs.select("a", "b"), "pairs")
+    pairs = durable(pairs.select("a", "b").distinct(), "pairs")
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("salts"))
     members = pairs.join(salts, "a").select(
         F.col("b").alias("_id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"),
@@ -230,15 +232,17 @@ def _meetings(docs: DataFrame, classes, least: float) -> DataFrame:
 
 
 def _hub_pairs(met: DataFrame, kinds: DataFrame) -> DataFrame:
-    """For each document the hub that it meets most often, and for salted shingles the hubs among themselves."""
+    """For each document the hub that it meets most often, and for salted shingles the hubs among themselves;
+    ``likely`` where a fifth of the first shingles meet there, a tenth being the least."""
     second = met.filter("not whole").groupBy("token", "hub", "hub_n").agg(F.lit(1).alias("_one"))
     over = second.groupBy("token").agg(F.min(F.struct("hub", "hub_n")).alias("_top"))
     upper = second.join(over, "token").select(F.col("_top.hub").alias("a"), F.col("_top.hub_n").alias("na"), F.col("hub").alias("b"), F.col("hub_n").alias("nb"))
     lower = met.select(F.col("hub").alias("a"), F.col("hub_n").alias("na"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))
     often = (lower.unionByName(upper).filter((F.col("a") != F.col("b")) & _similar_sizes("na", "nb"))
              .groupBy("b", "a").agg(F.max("nb").alias("nb"), F.count(F.lit(1)).alias("times")))
-    best = (often.filter(DEN * F.col("times") >= prefix_length(F.col("nb")))
-            .groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")))
+    most = F.max_by(F.struct("a", "times", "nb"), F.struct("times", -F.col("a")))
+    best = (often.filter(10 * F.col("times") >= prefix_length(F.col("nb"))).groupBy("b").agg(most.alias("m"))
+            .select(F.col("m.a").alias("a"), "b", (5 * F.col("m.times") >= prefix_length(F.col("m.nb"))).alias("likely")))
     return _between_kinds(best, kinds)
 
 
@@ -247,25 +251,87 @@ def _between_kinds(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
     of = kinds.select("doc_id", "first")
     both = (pairs.join(of.select(F.col("doc_id").alias("a"), F.col("first").alias("_a")), "a")
             .join(of.select(F.col("doc_id").alias("b"), F.col("first").alias("_b")), "b").filter("_a != _b"))
-    return both.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
-
-
-def _open_pairs(met: DataFrame, kinds: DataFrame, component: DataFrame) -> DataFrame:
-    """Candidates in different components that no bound rules out."""
-    of = kinds.filter("doc_id = first").join(component.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
-        "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    return both.groupBy(F.col("_a").alias("a"), F.col("_b").alias("b")).agg(F.max("likely").alias("likely"))
+
+
+_TAKEN = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _counted(group: pa.Table) -> pa.Table:
+    """Candidates between the two sides of one pair of blocks, with the shared first shingles counted at once."""
+    rows = group.to_pydict()
+    side = np.array(rows["side"])
+    own, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(own) or not len(others):
+        return _TAKEN.empty_table()
+    lists = rows["tokens"]
+    known, slot = np.unique(np.concatenate([np.array(x, np.int64) for x in lists]), return_inverse=True)
+    table = np.zeros((len(lists), len(known)), np.float32)
+    table[np.repeat(np.arange(len(lists)), [len(x) for x in lists]), slot] = 1
+    times = (table[own] @ table[others].T).astype(np.int64)
+    doc, n, first, component, residual = (np.array(rows[c]) for c in ("doc_id", "n", "first", "component", "residual"))
+    na, nb = n[own][:, None], n[others][None]
+    needed = -(-NUM * (na + nb) // (NUM + DEN))
+    rest = np.maximum(n - prefix_size(n), 0)
+    good = (component[own][:, None] != component[others][None]) & (NUM * np.maximum(na, nb) <= DEN * np.minimum(na, nb)) & (times > 0)
+    good &= np.minimum(na - first[own][:, None], nb - first[others][None]) >= needed
+    good &= times + np.maximum(rest[own][:, None], rest[others][None]) >= needed
+    # two documents outside the main component meet twice
+    good &= ~residual[others][None] | (doc[own][:, None] < doc[others][None])
+    i, j = np.nonzero(good)
+    return pa.table([doc[own][i], doc[others][j]], schema=_TAKEN)
+
+
+def prefix_size(n: np.ndarray) -> np.ndarray:
+    return n - -(-n * NUM // DEN) + 1
+
+
+def _family_pairs(rows: DataFrame) -> DataFrame:
+    """Candidates inside families. Documents outside the largest component of their family meet all others of the
+    family, block by block; only pairs that may be similar leave a block."""
+    whole = rows.groupBy("family", "component", "doc_id", "n", "first").agg(F.collect_list("token").alias("tokens"))
+    whole = durable(whole, "family")  # a document's own first shingles only
+    sizes = whole.groupBy("family", "component").agg(F.count(F.lit(1)).alias("k"))
+    stats = sizes.groupBy("family").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("all"),
+                                        F.max("k").alias("top")).filter("all > top")
+    each = (whole.join(stats, "family").withColumn("residual", F.col("component") != F.col("main"))
+            .withColumn("_cuts", F.ceil((F.col("all") - F.col("top")) / 512)).withColumn("_parts", F.ceil(F.col("all") / 512))
+            .withColumn("_at", F.xxhash64("doc_id")))
+    kept = ["family", "doc_id", "n", "first", "component", "residual", "tokens"]
+    left = each.filter("residual").select(*kept, F.pmod("_at", "_cuts").alias("cut"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), F.lit(0).alias("side"))
+    right = each.select(*kept, F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)).alias("cut"), F.pmod("_at", "_parts").alias("part"), F.lit(1).alias("side"))
+    return left.unionByName(right).groupBy("family", "cut", "part").applyInArrow(_counted, "a long, b long")
+
+
+def _open_pairs(met: DataFrame, kinds: DataFrame, component: DataFrame, family: DataFrame) -> DataFrame:
+    """Candidates in different components that no bound rules out.
+
+    Documents that a common hub ties together are a family. Large groups of near copies are families, and are
+    counted block by block; between families shared shingles are joined.
+    """
+    of = (kinds.filter("doc_id = first").select("doc_id")
+          .join(component.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+          .join(family.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id", "left")
+          .select("doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("family", "doc_id").alias("family")))
     rows = met.select("token", "doc_id", "n", "place").join(of, "doc_id")
-    split = rows.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("token")
-    rows = durable(rows.join(split, "token").distinct(), "open")
-    left, right = (rows.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "place", "component")]) for side in "ab")
-    met_twice = left.join(right, "token").filter((F.col("component_a") < F.col("component_b")) & _similar_sizes("n_a", "n_b"))
+    split = (rows.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.min("family").alias("_one"),
+                                       F.max("family").alias("_other")).filter("_low < _high")
+             .select("token", (F.col("_one") < F.col("_other")).alias("mixed")))
+    # nothing that a document shares with another component stands before its first open place
+    rows = durable(rows.join(split, "token").distinct().withColumn("first", F.min("place").over(W.partitionBy("doc_id"))), "open")
+    left, right = (rows.filter("mixed").select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "place", "first", "component", "family")])
+                   for side in "ab")
+    met_twice = left.join(right, "token").filter(
+        (F.col("family_a") < F.col("family_b")) & (F.col("component_a") != F.col("component_b")) & _similar_sizes("n_a", "n_b")
+        & (F.least(F.col("n_a") - F.col("first_a"), F.col("n_b") - F.col("first_b")) >= _needed("n_a", "n_b")))
     # from the first shared place on, no more can be shared than what follows in the shorter rest
     fits = 1 + F.least(F.col("n_a") - F.col("place_a") - 1, F.col("n_b") - F.col("place_b") - 1) >= _needed("n_a", "n_b")
     # beyond the one's first shingles at most its rest is shared
     rest = F.greatest(F.col("n_a") - prefix_length(F.col("n_a")), F.col("n_b") - prefix_length(F.col("n_b")))
-    return (met_twice.groupBy("doc_id_a", "doc_id_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("times"), F.max(fits).alias("fits"))
-            .filter(F.col("fits") & (F.col("times") + rest >= _needed("n_a", "n_b")))
-            .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")))
+    between = (met_twice.groupBy("doc_id_a", "doc_id_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("times"), F.max(fits).alias("fits"))
+               .filter(F.col("fits") & (F.col("times") + rest >= _needed("n_a", "n_b")))
+               .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")))
+    return between.unionByName(_family_pairs(rows))
 
 
 def linked_components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -283,9 +349,11 @@ def linked_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
 
     texts = chosen.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     met = durable(_meetings(texts, shared, least), "met")
-    links = durable(verified(texts, _hub_pairs(met, kinds)).unionByName(equal), "links")
+    near = durable(_hub_pairs(met, kinds), "near")
+    links = durable(verified(texts, near.filter("likely")).unionByName(equal), "links")
     found = durable(components(links, "a", "b"), "component")
-    more = verified(texts, _open_pairs(met, kinds, found))
+    family = durable(components(near.select("a", "b").unionByName(links), "a", "b"), "component")
+    more = verified(texts, _open_pairs(met, kinds, found, family))
     component = components(links.unionByName(more), "a", "b")
     return (rows.join(component, F.col("doc_id") == F.col("node"), "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
