@@ -28,7 +28,7 @@ from siteroster.llm.common import add_columns
 #: Bytes become the letters from here on: one to one, none of them white space or special to sentencepiece.
 FIRST_LETTER = 0x100
 _LETTERS = {b: chr(FIRST_LETTER + b) for b in range(256)}
-_CACHE_ROOM = 400_000
+_CACHE_ROOM = 250_000
 
 
 def read_ranks(content: bytes) -> list[bytes]:
@@ -127,6 +127,9 @@ class Codec:
                 out.append(b"".join([*map(pre, heads[p[0]]), *map(words, islice(p, 1, None))]))
         return out
 
+    def forget(self) -> None:
+        self.words, self.pre = {}, {}
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -151,7 +154,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", name: str
         codec = _codec(path, pattern)
         ids = codec.encode([t or "" for t in texts])
         return {name: ids, "n_tokens": [len(x) // 4 for x in ids]}
-    return add_columns(df, text, f"{name} binary, n_tokens long", score)
+    return add_columns(df, text, f"{name} binary, n_tokens long", score, lambda: _codec(path, pattern).forget())
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -172,7 +175,8 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
             out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(codec.decode(ids)).hexdigest())
         return out
-    return add_columns(df, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", score)
+    return add_columns(df, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", score,
+                       lambda: _codec(path, pattern).forget())
 
 
 def unpacked(column: str):

@@ -34,7 +34,8 @@ def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
-def add_columns(df: DataFrame, text: str, schema: str, score: Callable[[list[str | None]], dict[str, object]]) -> DataFrame:
+def add_columns(df: DataFrame, text: str, schema: str, score: Callable[[list[str | None]], dict[str, object]],
+                finish: Callable[[], None] | None = None) -> DataFrame:
     """All columns of ``df`` and those of ``schema``, computed from the texts of a run of rows.
 
     ``score`` takes a list of texts (None for NULL) and returns one list or array per new column. New
@@ -52,6 +53,8 @@ def add_columns(df: DataFrame, text: str, schema: str, score: Callable[[list[str
                 columns = [part.column(i) for i in range(len(names))]
                 columns += [pa.array(new[f.name], ARROW[f.dataType.typeName()]) for f in added.fields]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *added.names])
+        if finish:
+            finish()
 
     text_at = len(names)
     chosen = df.select(*[F.col(f"`{n}`") for n in names], F.col(text).alias("_text"))
@@ -77,7 +80,7 @@ def runs(batch: pa.RecordBatch, text_at: int, limit: int = RUN_BYTES) -> Iterato
 class Hashes(dict):
     """64-bit hash of each word, remembered up to a number of words."""
 
-    def __init__(self, room: int = 200_000):
+    def __init__(self, room: int = 100_000):
         super().__init__()
         self.room = room
 
@@ -91,6 +94,9 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One for all operators of a worker.
+HASHES = Hashes()
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 

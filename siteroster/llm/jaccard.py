@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siteroster.llm.common import Hashes, rolling, runs
+from siteroster.llm.common import HASHES, rolling, runs
 from siteroster.llm.components import components
 from siteroster.session import durable
 
@@ -43,13 +43,12 @@ COUNTERS, BLOCK = 1 << 21, 1 << 16
 FRAGMENTS = 8
 #: Rows of one key that are worked on together.
 HOT = 1 << 17
-_hashes = Hashes()
 
 
 def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the shingles of each text."""
     words = [(t or "").encode().lower().split() for t in texts]
-    values = np.concatenate([np.zeros(0, np.uint64), *[_hashes.of(w) for w in words]])
+    values = np.concatenate([np.zeros(0, np.uint64), *[HASHES.of(w) for w in words]])
     grams = rolling(values, width)
     out, at = [], 0
     for w in words:

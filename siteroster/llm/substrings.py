@@ -26,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteroster.llm.common import Hashes, mix, rolling, runs
+from siteroster.llm.common import HASHES, mix, rolling, runs
 from siteroster.session import durable
 
 LENGTH, K = 50, 8
 _SALT = np.uint64(0x5851F42D4C957F2D)
-_hashes = Hashes()
 
 
 def version(text: str) -> Column:
@@ -42,7 +41,7 @@ def version(text: str) -> Column:
 def word_values(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in a row, and where each text begins (one more at the end)."""
     words = [(t or "").encode().split() for t in texts]
-    values = np.concatenate([np.zeros(0, np.uint64), *[_hashes.of(w) for w in words]])
+    values = np.concatenate([np.zeros(0, np.uint64), *[HASHES.of(w) for w in words]])
     return values, np.cumsum([0, *map(len, words)])
 
 
