@@ -80,7 +80,7 @@ def decode_references(text: Column | str, unknown: str = "open") -> Column:
     (``unknown="open"``) and stays as it is in attribute values (``unknown="keep"``).
     """
     def show(match: Column) -> Column:
-        name = F.rtrim(F.substring(match, 2, 64), F.lit(";"))
+        name = F.rtrim(F.substring(match, F.lit(2), F.length(match)), F.lit(";"))
         fallback = F.concat(F.lit("&"), name) if unknown == "open" else match
         return (F.when(name == "amp", F.lit("&"))
                 .when(name == "nbsp", F.lit("\xa0"))

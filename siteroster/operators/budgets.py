@@ -24,9 +24,7 @@ class Limits:
     max_total_pages: int = 50
     max_page_size_mb: float = 10.0
     max_total_size_mb: float = 100.0
-    max_request_timeout_seconds: int = 30
     max_execution_time_minutes: int = 10
-    max_concurrent_requests: int = 5
     min_request_delay_seconds: float = 1.0
     max_retry_attempts: int = 3
 

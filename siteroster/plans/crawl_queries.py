@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siteroster.functions.fixed_values import NO_CONTACTS_ERROR, NO_URLS_ERROR
@@ -242,11 +243,16 @@ def frontier_bfs(spark, sf):
     return site_walk(derive(spark, sf, SEEDS), page_facts(found))
 
 
-@query("frontier_fallback", f"WITH RECURSIVE {_WALK} SELECT job_id, seed, url, ok FROM walk WHERE visit = 2 AND url = regexp_extract(seed, '^(https?://[^/?#]*)', 1) AND mode = 'quick'")
+@query("frontier_fallback", f"""WITH RECURSIVE {_WALK} SELECT job_id, seed, url, ok FROM (SELECT *, max(CASE WHEN visit = 1 THEN taken END) OVER (PARTITION BY job_id, seed) AS first_taken
+    FROM walk WHERE visit > 0) WHERE visit = 2 AND first_taken = 0 AND url = regexp_extract(seed, '^(https?://[^/?#]*)', 1)""")
 def frontier_fallback(spark, sf):
+    """Visits of a root because the seed itself gave nothing; in every mode."""
     found = page_contacts(_site_pages(spark, sf), with_links=True)
-    visits = site_walk(derive(spark, sf, SEEDS).filter("mode = 'quick'"), page_facts(found))
-    return visits.filter((F.col("visit") == 2) & (F.col("url") == url_root("seed"))).select("job_id", "seed", "url", "ok")
+    visits = site_walk(derive(spark, sf, SEEDS), page_facts(found))
+    # a seed has 15 visits at most
+    first = F.max(F.when(F.col("visit") == 1, F.col("taken"))).over(Window.partitionBy("job_id", "seed"))
+    fallback = (F.col("visit") == 2) & (F.col("first_taken") == 0) & (F.col("url") == url_root("seed"))
+    return visits.withColumn("first_taken", first).filter(fallback).select("job_id", "seed", "url", "ok")
 
 
 @query("crawl_report", f"""WITH RECURSIVE {_WALK}, {_LABELS}, {_REPORT_ROWS}

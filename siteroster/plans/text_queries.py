@@ -33,7 +33,7 @@ def url_clean(spark, sf):
     pages = read_table(spark, sf, "pages")
     raw = F.explode(F.array(F.concat(F.lit("(["), "url", F.lit("],")),
                             F.concat(F.lit("<www."), F.split_part("url", F.lit("/"), F.lit(3)), F.lit("/doc.Pdf;v=1>")),
-                            F.substring("url", 2, 100000)))
+                            F.substring("url", F.lit(2), F.length("url"))))
     return pages.select("page_id", raw.alias("raw")).withColumn("url", U.clean_url("raw"))
 
 
@@ -41,7 +41,7 @@ def url_clean(spark, sf):
                     f"SELECT page_id, 'ftp' || substr(url, 5) FROM pages UNION ALL SELECT page_id, 'HTTP:' || url FROM pages "
                     f"UNION ALL SELECT page_id, split_part(url, '//', 2) FROM pages)")
 def url_valid(spark, sf):
-    variants = F.explode(F.array("url", F.concat(F.lit("ftp"), F.substring("url", 5, 100000)), F.concat(F.lit("HTTP:"), "url"),
+    variants = F.explode(F.array("url", F.concat(F.lit("ftp"), F.substring("url", F.lit(5), F.length("url"))), F.concat(F.lit("HTTP:"), "url"),
                                  F.split_part("url", F.lit("//"), F.lit(2))))
     return read_table(spark, sf, "pages").select("page_id", variants.alias("url")).withColumn("valid", U.is_valid_url("url"))
 
@@ -150,7 +150,7 @@ def hash_text(spark, sf):
 @query("json_parse_safe", "SELECT event_id, coalesce(CAST(json_extract(j, '$.k') AS BIGINT), -1) AS k FROM (SELECT event_id, CASE WHEN "
                           "json_valid(p) THEN p END AS j FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN substr(props, 2) ELSE props END AS p FROM events))")
 def json_parse_safe(spark, sf):
-    props = F.when(F.col("event_type") == "error", F.substring("props", 2, 100000)).otherwise(F.col("props"))
+    props = F.when(F.col("event_type") == "error", F.substring("props", F.lit(2), F.length("props"))).otherwise(F.col("props"))
     default = F.struct(F.lit(-1).cast("long").alias("k"))
     return read_table(spark, sf, "events").select("event_id", T.json_parse_safe(props, "k long", default)["k"].alias("k"))
 

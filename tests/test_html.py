@@ -128,3 +128,8 @@ def test_parse_pages_and_guards(spark):
     assert (parsed.text, parsed.title, parsed.word_count, parsed.links, parsed.headings) == ("Test", "Test", 1, [], [])
     big = page_size_guard(pages, 10).orderBy("url").collect()
     assert [(r.html, r.error) for r in big] == [("", "Page size exceeds limit (39 bytes)"), ("x", None), ("", None)]
+
+
+def test_long_reference_like_runs_stay_whole(evaluate):
+    long = "x&" + "ab9" * 50 + " end"
+    assert evaluate([f"<p>{long}</p>"], H.page_text) == [long]
