@@ -105,7 +105,7 @@ def test_labels_of_held_out_rows_are_not_read(spark):
 
 def test_toxicity_is_fair_to_groups():
     rng = random.Random(2)
-    filler = [f"word{i}" for i in range(200)]
+    filler = ["w" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(200)]
     pairs = []
     for i in range(600):
         w = rng.choices(filler, k=20)
