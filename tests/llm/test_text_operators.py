@@ -110,7 +110,7 @@ def test_toxicity_is_fair_to_groups():
     for i in range(600):
         w = rng.choices(filler, k=20)
         toxic = i % 3 == 0
-        w += ["insult"] * toxic + ["muslims"] * (rng.random() < (0.6 if toxic else 0.05))
+        w += ["insult"] * (toxic and rng.random() < 0.6) + ["muslims"] * (rng.random() < (0.6 if toxic else 0.05))
         pairs.append((" ".join(w) + ".", int(toxic)))
     fair, plain = toxicity.fit(pairs), toxicity.fit(pairs, fairness=0.0)
 
