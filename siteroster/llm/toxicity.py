@@ -166,6 +166,8 @@ def _counterfactuals(texts: list[str], made: int = 300) -> tuple[list[set[str]],
         for s in _SENTENCE.findall(text):
             terms = words(s)
             if terms & _PLACE.keys():
+                before.append(terms)  # a mention alone is no sign either
+                after.append(terms - _PLACE.keys())
                 for shift in (0, 1, 2):
                     before.append(terms)
                     after.append(swapped(terms, shift))
