@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from siteroster.llm.common import HASHES, rolling, runs
 from siteroster.llm.components import components
+from siteroster.llm.sift import sift
 from siteroster.session import durable
 
 WIDTH = 5
@@ -204,7 +205,8 @@ def verified(docs: DataFrame, pairs: DataFrame, fragments: int = FRAGMENTS) -> D
              part.column(4).take(row), part.column(0).take(row), pa.array(np.repeat([len(s) for s in sets], fragments).astype(np.int32)),
              pa.array(segments, pa.binary())], names=["hub", "salt", "fragment", "part", "doc_id", "n", "segment"])
 
-    segments = (docs.join(wanted, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "hub", "salt", "part")
+    # only the texts that are compared move
+    segments = (sift(docs, "doc_id", wanted, "_id").join(wanted, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "hub", "salt", "part")
                 .mapInArrow(_mapper(work, 1), "hub long, salt int, fragment int, part int, doc_id long, n int, segment binary"))
     met = segments.repartition("hub", "salt", "fragment").sortWithinPartitions("hub", "salt", "fragment", "part")
     partial = met.mapInArrow(_overlaps, "a long, b long, fragment int, na int, nb int, shared int")

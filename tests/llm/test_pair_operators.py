@@ -11,6 +11,7 @@ import corpus_pipeline
 from siteroster.llm import decontaminate, jaccard, substrings
 from siteroster.llm.components import components
 from siteroster.llm.queries import QUERIES
+from siteroster.llm.sift import sift
 from tests.conftest import DATA
 
 
@@ -215,3 +216,12 @@ def test_pipeline_stage_by_stage(spark):
     assert sorted(cut) == sorted((d, texts.get(d, t), *r, len(texts.get(d, t))) for d, t, *r, _ in single)
     assert set(clean) <= set(cut) and {r[0] for r in coded} == {r[0] for r in clean}
     assert sorted(tuples(corpus_pipeline.run(spark, folder))) == sorted(coded)
+
+
+def test_sift_keeps_all_that_is_wanted_and_little_else(spark):
+    rows = spark.range(20000).selectExpr("CASE WHEN id % 1000 = 7 THEN NULL ELSE id - 10000 END AS k", "id AS text")
+    wanted = spark.range(0, 20000, 40).selectExpr("id - 10000 AS w").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS w"))
+    kept = [r.k for r in sift(rows, "k", wanted, "w").collect()]
+    expected = {i - 10000 for i in range(0, 20000, 40)}
+    assert expected <= set(kept) and None not in kept and len(kept) == len(set(kept)) < 4 * len(expected)
+    assert sift(rows, "k", wanted.limit(0), "w").count() == 0
