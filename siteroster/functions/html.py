@@ -19,7 +19,9 @@ from siteroster.functions.fixed_values import (
 from siteroster.functions.text import SPACE, col, is_json, let, normalize_whitespace, strip, word_count
 from siteroster.functions.urls import resolve_url
 
-_ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+# A quote opens a value only right after the equals sign.
+_QUOTED = r"""(?:"[^"]*+"|'[^']*+')"""
+_ATTRS = rf"""(?:[^>=]++|=\s*+{_QUOTED}?+)*+"""
 _TAG = rf"<[a-zA-Z/]{_ATTRS}>"
 _ODD_TAG = r"<[a-zA-Z/][^>]*+>"
 _RAW_BLOCK = r"(?i)<(script|style)\b[^>]*+>[^<]*+(?:<(?!/\1\b)[^<]*+)*+(?:</\1\s*>|\z)"
@@ -152,7 +154,9 @@ def markup(html: Column | str) -> Column:
 
 def _value(attrs: Column, name: str) -> Column:
     """Value of one attribute out of the inside of a tag; NULL when absent."""
-    pattern = rf"""(?is)(?:^|[\s"'/]){name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    # attributes before it are passed as a whole, so that nothing inside their values is read
+    other = rf"""(?!{name}\s*+=)(?:[^\s/="']++|=)(?:\s*+=\s*+(?:{_QUOTED}|[^\s"'>]*+))?+"""
+    pattern = rf"""(?is)^[\s/"']*+(?:{other}[\s/"']*+)*+{name}\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+)"""
     quoted = F.nullif(F.regexp_extract(attrs, pattern, 1), F.lit(""))
     return decode_references(F.regexp_replace(quoted, r"""(?s)^(["'])(.*)\1$""", "$2"), unknown="keep")
 

@@ -215,14 +215,18 @@ def robots_delay(spark, sf):
 # --- walks ---------------------------------------------------------------------------------------
 
 _OWN = "CASE WHEN {u} LIKE '%://%' THEN split_part({u}, '/', 3) ELSE '' END"
-_WALK = f"""{_REPORT_PARTS},
+
+
+def _walk(seeds: str) -> str:
+    """CTEs ending in ``walk``; ``seeds`` selects (job_id, seed, mode), each once."""
+    return f"""{_REPORT_PARTS},
     counts AS (SELECT page_id, count(*) AS n FROM found GROUP BY 1),
     linked AS (SELECT page_id, list(target ORDER BY pos) AS links FROM ({LINKS}) WHERE {Q.part('target', 2)} = {Q.part('url', 2)} GROUP BY 1),
     facts AS (SELECT pc.page_id, pc.url, coalesce(n, 0) AS n, coalesce(links, []::VARCHAR[]) AS links FROM pc LEFT JOIN counts USING (page_id) LEFT JOIN linked USING (page_id)
       WHERE page_id >= 1000000),
     walk AS (
       SELECT job_id, seed, mode, [seed] AS queue, []::VARCHAR[] AS visited, 0::BIGINT AS mails, 0 AS visit, ''::VARCHAR AS url, false AS ok, 0::BIGINT AS taken
-      FROM (SELECT DISTINCT job_id, seed, mode FROM ({table_sql(SEEDS)}))
+      FROM ({seeds})
       UNION ALL
       SELECT job_id, seed, mode, list_concat(list_concat(rest, fb), list_filter(CASE WHEN mode = 'deep' AND ok AND mails + taken < 5 THEN links ELSE []::VARCHAR[] END,
           lambda x: NOT list_contains(visited, x) AND x <> url AND NOT list_contains(rest, x) AND NOT list_contains(fb, x))),
@@ -233,6 +237,9 @@ _WALK = f"""{_REPORT_PARTS},
           FROM walk w LEFT JOIN facts f ON f.url = w.queue[1] WHERE len(w.queue) > 0 AND visit < 15 AND mails < 5)))"""
 
 
+_WALK = _walk(f"SELECT DISTINCT job_id, seed, mode FROM ({table_sql(SEEDS)})")
+
+
 def _site_pages(spark, sf):
     return fan_out(derive(spark, sf, CONTACT_PAGES))
 
@@ -285,14 +292,17 @@ def request_validate(spark, sf):
     return done.select("job_id", "mode", F.col("config.max_urls_per_domain").alias("max_urls"), F.concat_ws(",", "errors").alias("errors"), "valid")
 
 
-@query("job_summary", f"""WITH {_REPORT_PARTS}, {_LABELS}, {_REPORT_ROWS}, req AS (SELECT job_id, list_filter(list_transform(regexp_extract_all(input_data, {Q.lit('(' + Q.URL + ')')}, 1),
-      lambda u: {Q.clean_url('u')}), lambda u: u IS NOT NULL)[1] AS target FROM {_REQ}),
-    got AS (SELECT job_id, count(source_url) AS n, any_value(target) AS target FROM req LEFT JOIN rows ON source_url = target AND page_id >= 1000000 GROUP BY 1)
+_TARGETS = (f"list_filter(list_transform(regexp_extract_all(input_data, {Q.lit('(' + Q.URL + ')')}, 1), lambda u: {Q.clean_url('u')}), "
+            f"lambda u: u IS NOT NULL)")
+_JOB_SEEDS = f"SELECT DISTINCT job_id, seed, mode FROM (SELECT job_id, mode, unnest({_TARGETS}) AS seed FROM {_REQ})"
+
+
+@query("job_summary", f"""WITH RECURSIVE {_walk(_JOB_SEEDS)}, {_LABELS}, {_REPORT_ROWS},
+    got AS (SELECT job_id, count(*) AS n FROM walk JOIN rows ON source_url = walk.url AND page_id >= 1000000 WHERE visit > 0 AND ok AND (pos < taken OR email = '') GROUP BY 1),
+    job AS (SELECT job_id, len({_TARGETS}) AS targets, coalesce(n, 0) AS n FROM {_REQ} LEFT JOIN got USING (job_id))
     SELECT job_id, n AS contacts_found, CASE WHEN n > 0 THEN 'completed' ELSE 'failed' END AS status,
-    CASE WHEN target IS NULL THEN {Q.lit(NO_URLS_ERROR)} WHEN n = 0 THEN {Q.lit(NO_CONTACTS_ERROR)} END AS error FROM got""")
+    CASE WHEN targets = 0 THEN {Q.lit(NO_URLS_ERROR)} WHEN n = 0 THEN {Q.lit(NO_CONTACTS_ERROR)} END AS error FROM job""")
 def job_summary(spark, sf):
+    """Each job walks from its own targets in its own mode; what the walk reports is counted."""
     requests = _requests(spark, sf)
-    rows = contact_report(_site_pages(spark, sf)).select(F.col("source_url").alias("seed"))
-    counted = rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
-    contacts = R.request_seeds(requests).join(counted, "seed").select("job_id", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("one"))
-    return R.job_summary(requests, contacts)
+    return R.job_summary(requests, crawl_report(_site_pages(spark, sf), R.request_seeds(requests)))

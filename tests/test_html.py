@@ -133,3 +133,15 @@ def test_parse_pages_and_guards(spark):
 def test_long_reference_like_runs_stay_whole(evaluate):
     long = "x&" + "ab9" * 50 + " end"
     assert evaluate([f"<p>{long}</p>"], H.page_text) == [long]
+
+
+def test_attributes_are_read_one_by_one(spark):
+    html = ('<a data-x="see href=/bad now" href="/good">1</a><a title=it\'s href = /two>2</a><a disabled href=\'/three\' x>3</a>'
+            '<meta content="set name=foo please" name="description"><meta content=plain name=description>')
+    df = spark.createDataFrame([(html,)], "html string").withColumn("e", H.meta_entries("html"))
+    links, desc = df.select(H.page_links("html"), H.meta_description("e")).first()
+    assert links == ["/good", "/two", "/three"] and desc == "set name=foo please"
+
+
+def test_quotes_outside_of_values_open_nothing(evaluate):
+    assert evaluate(["<p title=it's>hello don't</p><p>z</p>", '<a "x>y</a> z', '<a t = "a>b">c'], H.page_text) == ["hello don't z", "y z", "c"]
