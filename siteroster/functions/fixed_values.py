@@ -63,6 +63,11 @@ CONTENT_TAGS = [
     "svg", "math",
 ]
 NAV_TAGS = ["nav", "header", "footer", "aside", "menu"]
+# Elements that never have content
+VOID_TAGS = [
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link",
+    "meta", "param", "source", "track", "wbr",
+]
 SKIPPED_LINK_STARTS = ["#", "javascript:", "mailto:"]
 MIN_TEXT_LENGTH = 10
 MIN_WORDS = 10

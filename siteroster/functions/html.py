@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siteroster.functions.fixed_values import (
-    CONTENT_TAGS, MIN_TEXT_LENGTH, MIN_WORDS, NAV_TAGS, SKIPPED_LINK_STARTS,
+    CONTENT_TAGS, MIN_TEXT_LENGTH, MIN_WORDS, NAV_TAGS, SKIPPED_LINK_STARTS, VOID_TAGS,
 )
 from siteroster.functions.text import SPACE, col, is_json, let, normalize_whitespace, strip, word_count
 from siteroster.functions.urls import resolve_url
@@ -27,10 +27,6 @@ _ODD_TAG = r"<[a-zA-Z/][^>]*+>"
 _RAW_BLOCK = r"(?i)<(script|style)\b[^>]*+>[^<]*+(?:<(?!/\1\b)[^<]*+)*+(?:</\1\s*>|\z)"
 _COMMENT = r"(?s)<!--(.*?)-->"
 _ENTITY = r"&(#?[a-zA-Z0-9]+);?"
-_NEST_PASSES = 4
-
-# Markup characters inside a comment are shown as text; these noncharacters hide them meanwhile.
-_MARKUP, _HIDDEN = "<>&", "\ufdd1\ufdd2\ufdd3"
 
 
 def _weave(text: Column, pattern: str, group: int, show) -> Column:
@@ -97,42 +93,104 @@ def decode_references(text: Column | str, unknown: str = "open") -> Column:
 
 # --- page text ----------------------------------------------------------------------------
 
-def _block_tags(remove_nav: bool) -> list[str]:
-    # script and style go first with rules of their own; embed never has content
-    content = [t for t in CONTENT_TAGS if t not in ("script", "style", "embed")]
-    return content + (NAV_TAGS if remove_nav else [])
+# Comments, code, declarations and tags, in page order; what stands in quotes belongs to its tag.
+_TOKEN = (rf"(?is)<!--.*?-->|<(script|style)\b{_ATTRS}>[^<]*+(?:<(?!/\1\b)[^<]*+)*+(?:</\1\s*>|\z)"
+          rf"|<[!?][^>]*+>|{_TAG}|{_ODD_TAG}")
+_OPEN, _HIDES, _END = 0, 1, -1
+
+
+def _tags(tokens: Column, hidden: list[str]) -> Column:
+    """Tags that open or close an element, as (i, kind, name); those that cannot matter are left out."""
+    def read(t: Column, i: Column) -> Column:
+        name = F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][^\s/>]*)", 1))
+        kind = (F.when((name == "") | name.isin("script", "style", *VOID_TAGS), F.lit(None))
+                .when(t.startswith("</"), _END).when(t.endswith("/>"), F.lit(None))
+                .when(name.isin(*hidden), _HIDES).otherwise(_OPEN))
+        return F.struct(i.alias("i"), kind.alias("kind"), name.alias("name"))
+
+    def wanted(tags: Column) -> Column:
+        ends = F.array_distinct(F.transform(F.filter(tags, lambda t: t["kind"] == _END), lambda t: t["name"]))
+        return let(ends, lambda e: F.filter(
+            tags, lambda t: (t["kind"] != _OPEN) | F.array_contains(e, t["name"])))
 
+    tags = F.filter(F.transform(tokens, read), lambda t: t["kind"].isNotNull())
+    return let(tags, lambda all_tags: F.when(
+        F.exists(all_tags, lambda t: t["kind"] == _HIDES), wanted(all_tags)).otherwise(F.slice(all_tags, 1, 0)))
 
-def _drop_blocks(html: Column, tags: list[str]) -> Column:
-    names = "|".join(tags)
-    opened = rf"(?i)<(?:{names})\b"
-    closed = rf"(?is)<({names})\b[^>]*+>[^<]*+(?:<(?!/?\1\b)[^<]*+)*+</\1\s*>"
-    out = F.regexp_replace(html, rf"(?is)<(?:{names})\b[^>]*+(?<=/)>", " ")
-    out = F.regexp_replace(out, closed, " ")
-    for _ in range(_NEST_PASSES - 1):
-        out = let(out, lambda h: F.when(h.rlike(opened), F.regexp_replace(h, closed, " ")).otherwise(h))
-    # what is still open was never closed and hides the rest of the page
-    return let(out, lambda h: F.when(
-        h.rlike(opened), F.regexp_replace(h, rf"(?is)<(?:{names})\b[^>]*+>.*\z", " ")).otherwise(h))
+
+def _hidden_ranges(tokens: Column, hidden: list[str]) -> Column:
+    """Token ranges (first, last) of the outermost hidden elements.
+
+    One pass with the open elements as a string, innermost first. An end tag closes the nearest element of its
+    name and all inside it, or nothing. An element never closed ends with the page.
+    """
+    start = F.struct(F.lit(">").alias("open"), F.lit(-1).alias("outside"), F.lit(-1).alias("first"),
+                     F.array().cast("array<struct<first:int,last:int>>").alias("ranges"))
+
+    def step(s: Column, t: Column) -> Column:
+        key = F.concat(F.lit(">"), t["name"], F.lit(">"))
+        after = F.when(t["kind"] != _END, F.concat(F.lit(">"), t["name"], s["open"])).when(
+            s["open"].contains(key),
+            F.substring(s["open"], F.position(key, s["open"]) + F.length(key) - 1, F.length(s["open"]))
+        ).otherwise(s["open"])
+
+        def move(now: Column) -> Column:
+            begins = (s["outside"] < 0) & (t["kind"] == _HIDES)
+            ends = (s["outside"] >= 0) & (F.length(now) <= s["outside"])
+            return F.struct(
+                now.alias("open"),
+                F.when(begins, F.length(s["open"])).when(ends, -1).otherwise(s["outside"]).alias("outside"),
+                F.when(begins, t["i"]).otherwise(s["first"]).alias("first"),
+                F.when(ends, F.concat(s["ranges"], F.array(F.struct(
+                    s["first"].alias("first"), t["i"].alias("last"))))).otherwise(s["ranges"]).alias("ranges"))
+        return let(after, move)
+
+    def finish(s: Column) -> Column:
+        return F.when(s["outside"] >= 0, F.concat(s["ranges"], F.array(F.struct(
+            s["first"].alias("first"), F.size(tokens).alias("last"))))).otherwise(s["ranges"])
+
+    return F.aggregate(_tags(tokens, hidden), start, step, finish)
+
+
+def _without(units: Column, ranges: Column) -> Column:
+    """``units`` after each ``last`` up to the next ``first``, and those up to the first one."""
+    def kept(r: Column, k: Column) -> Column:
+        following = F.coalesce(F.get(ranges, k + 1)["first"], F.size(units) - 1)
+        return F.slice(units, r["last"] + 2, F.greatest(F.lit(0), following - r["last"]))
+    return F.when(F.size(ranges) == 0, units).otherwise(F.concat(
+        F.slice(units, 1, F.get(ranges, F.lit(0))["first"] + 1), F.flatten(F.transform(ranges, kept))))
+
+
+def _shown(token: Column, keep_comments: bool) -> Column:
+    """A comment or declaration as text; a space for all else."""
+    if not keep_comments:
+        return F.lit(" ")
+    inner = F.when(token.startswith("<!--") & token.endswith("-->") & (F.length(token) >= 7),
+                   F.substring(token, F.lit(5), F.length(token) - 7)).when(
+        token.startswith("<!") | token.startswith("<?"),
+        F.regexp_replace(token, r"(?is)^<[!?](?:(?<=!)doctype\b\s*+)?(.*)>$", "$1"))
+    return F.coalesce(F.concat(F.lit(" "), inner, F.lit(" ")), F.lit(" "))
 
 
 def page_text(html: Column | str, remove_nav: bool = True, keep_comments: bool = True) -> Column:
     """Visible text of a page, one space between words.
 
-    Text of comments and declarations counts as text unless ``keep_comments`` is off.
+    Text of comments and declarations counts as text unless ``keep_comments`` is off. Hidden elements end where a
+    tree parser ends them: at their end tag, at that of an element around them, or at the end of the page.
     """
-    raw = F.regexp_replace(F.coalesce(col(html), F.lit("")), _RAW_BLOCK, " ")
-    if keep_comments:
-        shown = let(raw, lambda h: F.when(h.contains("<!--"), _weave(
-            h, _COMMENT, 1, lambda m: F.concat(F.lit(" "), F.translate(m, _MARKUP, _HIDDEN), F.lit(" "))
-        )).otherwise(h))
-        shown = F.regexp_replace(shown, r"(?i)<!(?:doctype\b\s*+)?([^>]*)>|<\?([^>]*)>", " $1$2 ")
-    else:
-        shown = F.regexp_replace(F.regexp_replace(raw, _COMMENT, " "), r"<[!?][^>]*>", " ")
-    bare = _drop_blocks(shown, _block_tags(remove_nav))
-    bare = F.regexp_replace(F.regexp_replace(bare, _TAG, " "), _ODD_TAG, " ")
-    text = let(bare, decode_references)
-    text = normalize_whitespace(F.translate(text, _HIDDEN, _MARKUP))
+    hidden = [t for t in CONTENT_TAGS if t not in ("script", "style", "embed")] + (NAV_TAGS if remove_nav else [])
+
+    def visible(found: Column) -> Column:
+        tokens = found["tokens"]
+        units = F.zip_with(found["pieces"], tokens, lambda p, t: F.concat(
+            decode_references(p), F.when(t.isNull(), F.lit("")).otherwise(_shown(t, keep_comments))))
+        return F.array_join(let(F.struct(units.alias("u"), _hidden_ranges(tokens, hidden).alias("r")),
+                                lambda x: _without(x["u"], x["r"])), "")
+
+    text = let(F.coalesce(col(html), F.lit("")), lambda h: let(F.struct(
+        F.split(h, _TOKEN, -1).alias("pieces"),
+        F.regexp_extract_all(h, F.lit(_TOKEN), F.lit(0)).alias("tokens")), visible))
+    text = normalize_whitespace(text)
     text = F.regexp_replace(text, rf"(?U)\[{SPACE}*\]", "")
     return F.regexp_replace(text, rf"(?U)\({SPACE}*\)", "")
 

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 from html import unescape
 from html.parser import HTMLParser
 
@@ -19,9 +21,12 @@ class Visible(HTMLParser):
         self.nodes, self.stack, self.hidden = [], [], set(V.CONTENT_TAGS) | set(V.NAV_TAGS)
 
     def handle_starttag(self, tag, attrs):
-        if tag not in ("br", "hr", "img", "meta", "link", "input", "embed", "wbr"):
+        if tag not in V.VOID_TAGS:
             self.stack.append(tag)
 
+    def handle_startendtag(self, tag, attrs):
+        pass
+
     def handle_endtag(self, tag):
         if tag in self.stack:
             while self.stack.pop() != tag:
@@ -145,3 +150,52 @@ def test_attributes_are_read_one_by_one(spark):
 
 def test_quotes_outside_of_values_open_nothing(evaluate):
     assert evaluate(["<p title=it's>hello don't</p><p>z</p>", '<a "x>y</a> z', '<a t = "a>b">c'], H.page_text) == ["hello don't z", "y z", "c"]
+
+
+def test_hidden_blocks_end_where_a_tree_ends_them(evaluate):
+    cases = {
+        "<div><nav>menu</div><p>body a@b.org</p>": "body a@b.org",
+        "<menu>" * 50 + "deep" + "</menu>" * 50 + "body a@b.org": "body a@b.org",
+        '<div data-t="<nav>">body a@b.org</div><p>more</p>': "body a@b.org more",
+        "<nav>a<div>b</nav>c</div>d": "c d",
+        "a</div></nav>b<nav>c<div>d</div>e": "a b",
+        "<p>x<nav><p>y</p>z</nav>v</p>w<aside>u</aside>": "x v w",
+        '<i title="<script>">y</i><!-- <script> -->z': "y <script> z",
+        "\ufdd1<b>\ufdd2</b><!-- \ufdd3 -->": "\ufdd1 \ufdd2 \ufdd3",
+        "<nav/>x<br><wbr/><img src=a>y</br>": "x y",
+    }
+    assert evaluate(list(cases), H.page_text) == list(cases.values())
+
+
+def broken(html, rng):
+    """A page with end tags taken out, blocks nested fifty deep, or tags put into attributes."""
+    for _ in range(rng.randint(1, 4)):
+        kind, marks = rng.randint(0, 3), [m.start() for m in re.finditer("<", html)]
+        at = rng.choice(marks) if marks else 0
+        if kind == 0:
+            ends = [m.span() for m in re.finditer(r"</(?!script|style)\w+>", html)]
+            if ends:
+                a, b = rng.choice(ends)
+                html = html[:a] + html[b:]
+        elif kind == 1 and "<script" not in html[at:] and "<style" not in html[at:]:
+            tag = rng.choice([*V.NAV_TAGS, "div", "svg"])
+            html = html[:at] + f"<{tag}>w " * 50 + "deep" + f"</{tag}>" * rng.choice([49, 50, 51]) + html[at:]
+        elif kind == 2:
+            html = re.sub("<(p|div)>", lambda m: f'<{m[1]} data-t="{rng.choice(["<nav>", "</div>", "<!-- x"])}">', html, count=2)
+        elif "<script" not in html[at:] and "<style" not in html[at:]:
+            html = html[:at] + rng.choice(["<nav>", "</div>", "<aside><p>", "</p></section>", "<li>"]) + html[at:]
+    return html
+
+
+def test_broken_pages_agree_with_a_real_parser(evaluate):
+    rng = random.Random(7)
+    pages = [h for h in pd.read_parquet(f"{DATA}/sf0.01/pages.parquet")["html"] if len(h) < 20000][:1000]
+    pages = [broken(h, rng) for h in pages]
+    assert evaluate(pages, H.page_text) == [visible(h) for h in pages]
+
+
+def test_long_runs_of_unclosed_tags_take_no_square_of_time(evaluate):
+    begin = time.monotonic()
+    page = "<nav>x</nav>" + "<p>" * 100000 + "<li>w" * 50000
+    assert evaluate([page], lambda v: word_count(H.page_text(v))) == [50000]
+    assert time.monotonic() - begin < 20
