@@ -170,6 +170,8 @@ NO_URLS_ERROR = "No valid URLs found in input data."
 NO_CONTACTS_ERROR = "No contacts could be extracted from the provided URLs."
 MAX_PAGE_BYTES = 10 * 1024 * 1024
 BYTES_PER_MB = 1024 * 1024
+# Reason of a block set by hand; a log gives none
+MANUAL_BLOCK = "Manual block"
 
 # Encryption
 KEY_BYTES = 32

@@ -1,6 +1,7 @@
 """Crawl budgets and crawl-log analytics over a log (event_id, ts, domain, kind, bytes).
 
-``kind`` is success, failure, blocked, start, block or unblock. Sequence questions go through
+``kind`` is success, failure, blocked, start, block or unblock. A refusal (``blocked``) is no request: it moves no
+clock. ``unblock`` lifts a block until the next failure at or over the limit sets it again. Sequence questions go through
 ``running``, which keeps a hot domain (or the whole session) off a single task.
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siteroster.functions.fixed_values import BYTES_PER_MB
+from siteroster.functions.fixed_values import BYTES_PER_MB, MANUAL_BLOCK
 from siteroster.operators.running import running
 
 ORDER = ["ts", "event_id"]
@@ -33,6 +34,28 @@ def _is(kind: str) -> Column:
     return (F.col("kind") == kind).cast("long")
 
 
+def _real(value: str) -> Column:
+    """``value`` on rows that are requests, else NULL."""
+    return F.when(F.col("kind").isin("start", "success", "failure"), F.col(value))
+
+
+def _failed_at() -> Column:
+    return F.when(F.col("kind") == "failure", F.struct(*ORDER))
+
+
+def _switched() -> Column:
+    """(order, kind) of a block or unblock by hand."""
+    return F.when(F.col("kind").isin("block", "unblock"), F.struct(*ORDER, "kind"))
+
+
+def _block_reason(failures: Column, failed_at: str, switched: str, limits: Limits) -> Column:
+    """Why a domain is blocked, or NULL: a failure at the limit later than any switch, or a block as last switch."""
+    since = F.struct(*[F.col(f"{switched}.{c}").alias(c) for c in ORDER])
+    renewed = (failures >= limits.max_retry_attempts) & (F.col(switched).isNull() | (F.col(failed_at) > since))
+    return (F.when(renewed, F.concat(F.lit("Too many failures ("), failures.cast("string"), F.lit(")")))
+            .when(F.col(f"{switched}.kind") == "block", F.lit(MANUAL_BLOCK)))
+
+
 def _success_bytes() -> Column:
     return F.when(F.col("kind") == "success", F.col("bytes")).otherwise(F.lit(0)).cast("long")
 
@@ -49,16 +72,16 @@ def budget_check(log: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Would each request have been let through, given all that was logged before it? Adds
     ``allowed`` and ``reason``; the tests run in a fixed order and the first that fails speaks."""
     per_domain = running(log, ORDER, ["domain"], sums={"_pages": _is("success"), "_failed": _is("failure")},
-                         previous={"_last": F.col("ts")})
+                         latest={"_last": _real("ts"), "_failed_at": _failed_at(), "_switched": _switched()})
     both = running(per_domain, ORDER, sums={"_total": _is("success")}, earliest={"_start": F.col("ts")})
     minutes = _gap_seconds("ts", "_start") / 60
     wait = F.lit(float(limits.min_request_delay_seconds)) - _gap_seconds("ts", "_last")
+    block = _block_reason(F.col("_failed"), "_failed_at", "_switched", limits)
     reason = (
         F.when(F.col("_total") >= limits.max_total_pages, F.lit(f"Total page limit reached ({limits.max_total_pages})"))
         .when(minutes >= limits.max_execution_time_minutes,
               F.lit(f"Execution time limit reached ({limits.max_execution_time_minutes} minutes)"))
-        .when(F.col("_failed") >= limits.max_retry_attempts,
-              F.concat(F.lit("Domain blocked: Too many failures ("), F.col("_failed").cast("string"), F.lit(")")))
+        .when(block.isNotNull(), F.concat(F.lit("Domain blocked: "), block))
         .when(F.col("_pages") >= limits.max_pages_per_domain,
               F.lit(f"Domain page limit reached ({limits.max_pages_per_domain} pages)"))
         .when(wait > 0, F.concat(F.lit("Rate limit: wait "), F.format_string("%.1f", F.bround(wait, 1)), F.lit("s"))))
@@ -84,7 +107,7 @@ def size_budget(log: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def rate_gap(log: DataFrame, min_delay_seconds: float = 1.0) -> DataFrame:
     """Seconds each request should have waited for its domain. Adds ``gap`` and ``wait``."""
-    seen = running(log, ORDER, ["domain"], previous={"_last": F.col("ts")})
+    seen = running(log, ORDER, ["domain"], latest={"_last": _real("ts")})
     gap = _gap_seconds("ts", "_last")
     return seen.withColumn("gap", gap).withColumn(
         "wait", F.coalesce(F.greatest(F.lit(0.0), F.lit(float(min_delay_seconds)) - F.col("gap")), F.lit(0.0))).drop("_last")
@@ -115,10 +138,12 @@ def domain_unblock(log: DataFrame) -> DataFrame:
 
 def domain_stats(log: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """pages, bytes, failures, last request and block state per domain."""
-    return log.groupBy("domain").agg(
+    totals = log.groupBy("domain").agg(
         F.sum(_is("success")).alias("pages_scraped"), F.sum(_success_bytes()).alias("total_bytes"),
-        F.max("ts").alias("last_request_time"), F.sum(_is("failure")).alias("failed_requests"),
-    ).withColumn("blocked", F.col("failed_requests") >= limits.max_retry_attempts)
+        F.max(_real("ts")).alias("last_request_time"), F.sum(_is("failure")).alias("failed_requests"),
+        F.max(_failed_at()).alias("_failed_at"), F.max(_switched()).alias("_switched"))
+    block = _block_reason(F.col("failed_requests"), "_failed_at", "_switched", limits)
+    return totals.withColumn("blocked", block.isNotNull()).drop("_failed_at", "_switched")
 
 
 def session_stats(log: DataFrame) -> DataFrame:
@@ -130,7 +155,7 @@ def session_stats(log: DataFrame) -> DataFrame:
         F.coalesce(F.sum(_is("success")), F.lit(0)).alias("successful_requests"),
         F.coalesce(F.sum(_is("failure")), F.lit(0)).alias("failed_requests"),
         F.coalesce(F.sum(_is("blocked")), F.lit(0)).alias("blocked_requests"),
-        F.count_distinct("domain").alias("domains_accessed"),
+        F.count_distinct(_real("domain")).alias("domains_accessed"),
         F.coalesce((F.max(_micros("ts")) - F.min(_micros("ts"))) / F.lit(6e7), F.lit(0.0)).alias("elapsed_minutes"))
 
 

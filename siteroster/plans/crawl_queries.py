@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from siteroster.functions.fixed_values import NO_CONTACTS_ERROR, NO_URLS_ERROR
+from siteroster.functions.fixed_values import MANUAL_BLOCK, NO_CONTACTS_ERROR, NO_URLS_ERROR
 from siteroster.functions.urls import url_root
 from siteroster.operators import budgets as B
 from siteroster.operators import requests as R
@@ -17,13 +17,15 @@ from siteroster.operators.walk import crawl_report, page_facts, site_walk
 from siteroster.plans import check_sql as Q
 from siteroster.plans.contact_queries import _PAGE_CLEAN
 from siteroster.plans.derived import (
-    BLOCK_LOG, CONTACT_PAGES, CRAWL_LOG, REQUESTS, ROBOTS_PAGES, SEEDS, derive, table_sql,
+    ADMISSION_LOG, BLOCK_LOG, CONTACT_PAGES, CRAWL_LOG, REQUESTS, ROBOTS_PAGES, SEEDS, derive, table_sql,
 )
 from siteroster.plans.page_queries import LINKS, all_pages
 from siteroster.plans.registry import query
 from siteroster.sources.readers import read_table
 
 _LOG = f"log AS ({table_sql(CRAWL_LOG)})"
+_MIXED = f"log AS ({table_sql(ADMISSION_LOG)})"
+_REAL = "kind IN ('start', 'success', 'failure')"
 _ORD = "ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 _OK, _BAD = "CASE WHEN kind = 'success' THEN 1 ELSE 0 END", "CASE WHEN kind = 'failure' THEN 1 ELSE 0 END"
 _GOT = "CASE WHEN kind = 'success' THEN bytes ELSE 0 END"
@@ -38,18 +40,28 @@ def log(spark, sf):
     return derive(spark, sf, CRAWL_LOG)
 
 
-@query("budget_check", f"""WITH {_LOG}, s AS (SELECT *, coalesce(sum({_OK}) OVER ({_ORD}), 0) AS total, min(ts) OVER () AS start,
+def mixed_log(spark, sf):
+    return derive(spark, sf, ADMISSION_LOG)
+
+
+def _latest(value: str, when: str) -> str:
+    return f"last_value(CASE WHEN {when} THEN {value} END IGNORE NULLS) OVER (PARTITION BY domain {_ORD})"
+
+
+@query("budget_check", f"""WITH {_MIXED}, s AS (SELECT *, coalesce(sum({_OK}) OVER ({_ORD}), 0) AS total, min(ts) OVER () AS start,
       coalesce(sum({_OK}) OVER (PARTITION BY domain {_ORD}), 0) AS pages, coalesce(sum({_BAD}) OVER (PARTITION BY domain {_ORD}), 0) AS failed,
-      lag(ts) OVER (PARTITION BY domain ORDER BY ts, event_id) AS last FROM log),
+      {_latest('ts', _REAL)} AS last, {_latest("(ts, event_id)", "kind = 'failure'")} AS bad_at,
+      {_latest("(ts, event_id)", "kind IN ('block', 'unblock')")} AS set_at, {_latest("kind", "kind IN ('block', 'unblock')")} AS set_to FROM log),
     r AS (SELECT event_id, domain, CASE WHEN total >= 5000 THEN 'Total page limit reached (5000)'
       WHEN (epoch_us(ts) - epoch_us(start)) / 1000000 / 60 >= 38000 THEN 'Execution time limit reached (38000 minutes)'
-      WHEN failed >= 6 THEN 'Domain blocked: Too many failures (' || failed || ')'
+      WHEN failed >= 6 AND (set_to IS NULL OR bad_at > set_at) THEN 'Domain blocked: Too many failures (' || failed || ')'
+      WHEN set_to = 'block' THEN 'Domain blocked: ' || {Q.lit(MANUAL_BLOCK)}
       WHEN pages >= 12 THEN 'Domain page limit reached (12 pages)'
       WHEN 7200 - (epoch_us(ts) - epoch_us(last)) / 1000000 > 0 THEN
         'Rate limit: wait ' || printf('%.1f', 7200 - (epoch_us(ts) - epoch_us(last)) / 1000000) || 's' END AS reason FROM s)
     SELECT event_id, domain, reason IS NULL AS allowed, reason FROM r""")
 def budget_check(spark, sf):
-    return B.budget_check(log(spark, sf), LIMITS).select("event_id", "domain", "allowed", "reason")
+    return B.budget_check(mixed_log(spark, sf), LIMITS).select("event_id", "domain", "allowed", "reason")
 
 
 @query("size_budget", f"""WITH {_LOG}, s AS (SELECT *, coalesce(sum({_GOT}) OVER ({_ORD}), 0) AS total,
@@ -62,10 +74,10 @@ def size_budget(spark, sf):
     return B.size_budget(log(spark, sf), LIMITS).select("event_id", "allowed", "reason")
 
 
-@query("rate_gap", f"""WITH {_LOG}, s AS (SELECT event_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY domain ORDER BY ts, event_id))) / 1000000 AS gap FROM log)
+@query("rate_gap", f"""WITH {_MIXED}, s AS (SELECT event_id, (epoch_us(ts) - epoch_us({_latest('ts', _REAL)})) / 1000000 AS gap FROM log)
     SELECT event_id, gap, coalesce(greatest(0, 7200 - gap), 0) AS wait FROM s""")
 def rate_gap(spark, sf):
-    return B.rate_gap(log(spark, sf), 7200).select("event_id", "gap", "wait")
+    return B.rate_gap(mixed_log(spark, sf), 7200).select("event_id", "gap", "wait")
 
 
 @query("domain_block", f"""WITH {_LOG}, f AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY domain) AS failures
@@ -81,17 +93,19 @@ def domain_unblock(spark, sf):
     return B.domain_unblock(derive(spark, sf, BLOCK_LOG)).withColumn("since", F.date_format("since", "yyyy-MM-dd HH:mm:ss"))
 
 
-_DOMAIN_STATS = (f"SELECT domain, sum({_OK}) AS pages_scraped, sum({_GOT}) AS total_bytes, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_request_time, "
-                 f"sum({_BAD}) AS failed_requests, sum({_BAD}) >= 3 AS blocked FROM log GROUP BY 1")
+_DOMAIN_STATS = (f"SELECT domain, sum({_OK}) AS pages_scraped, sum({_GOT}) AS total_bytes, strftime(max(ts) FILTER (WHERE {_REAL}), '%Y-%m-%d %H:%M:%S') AS last_request_time, "
+                 f"sum({_BAD}) AS failed_requests, coalesce(sum({_BAD}) >= 3 AND (max(CASE WHEN kind IN ('block', 'unblock') THEN (ts, event_id) END) IS NULL "
+                 f"OR max(CASE WHEN kind = 'failure' THEN (ts, event_id) END) > max(CASE WHEN kind IN ('block', 'unblock') THEN (ts, event_id) END)), false) "
+                 f"OR coalesce(arg_max(kind, (ts, event_id)) FILTER (WHERE kind IN ('block', 'unblock')) = 'block', false) AS blocked FROM log GROUP BY 1")
 
 
-@query("domain_stats", f"WITH {_LOG} {_DOMAIN_STATS}", longs="pages_scraped total_bytes failed_requests")
+@query("domain_stats", f"WITH {_MIXED} {_DOMAIN_STATS}", longs="pages_scraped total_bytes failed_requests")
 def domain_stats(spark, sf):
-    return B.domain_stats(log(spark, sf)).withColumn("last_request_time", F.date_format("last_request_time", "yyyy-MM-dd HH:mm:ss"))
+    return B.domain_stats(mixed_log(spark, sf)).withColumn("last_request_time", F.date_format("last_request_time", "yyyy-MM-dd HH:mm:ss"))
 
 
 _SESSION = (f"session AS (SELECT sum({_OK}) AS pages, sum({_GOT}) AS bytes, sum({_BAD}) AS failed, count(*) FILTER (WHERE kind = 'blocked') AS blocked, "
-            f"count(DISTINCT domain) AS domains, (max(epoch_us(ts)) - min(epoch_us(ts))) / 60000000 AS minutes FROM log)")
+            f"count(DISTINCT domain) FILTER (WHERE {_REAL}) AS domains, (max(epoch_us(ts)) - min(epoch_us(ts))) / 60000000 AS minutes FROM log)")
 
 
 @query("session_stats", f"""WITH {_LOG}, {_SESSION} SELECT pages AS total_pages_scraped, bytes AS total_bytes_downloaded, pages AS successful_requests,

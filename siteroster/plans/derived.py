@@ -86,6 +86,14 @@ CRAWL_LOG = ("events", {
     "bytes": "CAST(round(value * 1000) AS BIGINT)",
 })
 
+# A crawl log in which domains are also blocked and unblocked by hand.
+ADMISSION_LOG = ("events", {
+    "event_id": "event_id", "ts": "ts", "domain": "'d' || user_id || '.com'",
+    "kind": ("CASE WHEN event_id % 29 = 0 THEN 'unblock' WHEN event_id % 97 = 0 THEN 'block' WHEN event_type = 'error' THEN 'failure' "
+             "WHEN event_type = 'signup' THEN 'blocked' ELSE 'success' END"),
+    "bytes": "CAST(round(value * 1000) AS BIGINT)",
+})
+
 BLOCK_LOG = ("events", {
     "event_id": "event_id", "ts": "ts", "domain": "'d' || user_id || '.com'",
     "kind": "CASE event_type WHEN 'error' THEN 'block' WHEN 'purchase' THEN 'unblock' ELSE 'success' END",

@@ -127,12 +127,12 @@ def test_robots_agree_with_the_standard_library(spark):
 
 # --- budgets ------------------------------------------------------------------------------------
 
-def make_log(n=1500):
+def make_log(n=1500, kinds=("success",) * 6 + ("failure", "blocked")):
     t, rows = datetime(2024, 1, 1), []
     for i in range(n):
         t += timedelta(milliseconds=random.choice([0, 200, 700, 1500, 4000]))
         rows.append((i, t, random.choice(["hot.com"] * 5 + [f"d{k}.com" for k in range(8)]),
-                     random.choice(["success"] * 6 + ["failure", "blocked"]), random.randint(1000, 90000)))
+                     random.choice(kinds), random.randint(1000, 90000)))
     return rows
 
 
@@ -140,22 +140,23 @@ LIMITS = B.Limits(max_total_pages=900, max_execution_time_minutes=25, max_pages_
                   min_request_delay_seconds=1.0, max_page_size_mb=0.08, max_total_size_mb=25.0)
 
 
-def test_budgets_agree_with_a_plain_audit(spark):
-    rows = make_log()
+@pytest.mark.parametrize("extra", [(), ("start", "block") + ("unblock",) * 3])
+def test_budgets_agree_with_a_plain_audit(spark, extra):
+    rows = make_log(kinds=("success",) * 6 + ("failure", "blocked", *extra))
     df = spark.createDataFrame(rows, "event_id int, ts timestamp, domain string, kind string, bytes long")
     got = {r.event_id: r.reason for r in B.budget_check(df, LIMITS).collect()}
     sizes = {r.event_id: r.reason for r in B.size_budget(df, LIMITS).collect()}
     waits = {r.event_id: r.wait for r in B.rate_gap(df, 1.0).collect()}
     start, total, size, domains = rows[0][1], 0, 0, {}
     for i, ts, domain, kind, n in rows:
-        d = domains.setdefault(domain, {"pages": 0, "failed": 0, "last": None, "size": 0})
+        d = domains.setdefault(domain, {"pages": 0, "failed": 0, "last": None, "size": 0, "block": None})
         gap = (ts - d["last"]).total_seconds() if d["last"] else None
         if total >= 900:
             want = "Total page limit reached (900)"
         elif (ts - start).total_seconds() / 60 >= 25:
             want = "Execution time limit reached (25 minutes)"
-        elif d["failed"] >= 4:
-            want = f"Domain blocked: Too many failures ({d['failed']})"
+        elif d["block"]:
+            want = f"Domain blocked: {d['block']}"
         elif d["pages"] >= 40:
             want = "Domain page limit reached (40 pages)"
         elif gap is not None and gap < 1.0:
@@ -174,12 +175,19 @@ def test_budgets_agree_with_a_plain_audit(spark):
         else:
             want = None
         assert sizes[i] == want, i
-        d["last"] = ts
+        if kind in ("start", "success", "failure"):
+            d["last"] = ts
         if kind == "success":
             total, size = total + 1, size + n
             d["pages"] += 1
             d["size"] += n
         d["failed"] += kind == "failure"
+        if kind == "failure" and d["failed"] >= 4:
+            d["block"] = f"Too many failures ({d['failed']})"
+        elif kind in ("block", "unblock"):
+            d["block"] = "Manual block" if kind == "block" else None
+    stats = {r.domain: (r.pages_scraped, r.failed_requests, r.last_request_time, r.blocked) for r in B.domain_stats(df, LIMITS).collect()}
+    assert stats == {k: (d["pages"], d["failed"], d["last"], d["block"] is not None) for k, d in domains.items()}
     assert len(set(got.values())) > 5
 
 
@@ -190,7 +198,7 @@ def test_log_summaries(spark):
     block = {r.domain: r for r in B.domain_block(df).collect()}["hot.com"]
     assert (block.block_event, block.reason) == (failures[2][0], f"Too many failures ({len(failures)})")
     stats = B.session_stats(df).first()
-    assert stats.total_pages_scraped == sum(r[3] == "success" for r in rows) and stats.domains_accessed == len({r[2] for r in rows})
+    assert stats.total_pages_scraped == sum(r[3] == "success" for r in rows) and stats.domains_accessed == len({r[2] for r in rows if r[3] != "blocked"})
     empty = df.filter("false")
     assert B.scrape_stats(empty).first().success_rate == 0.0 and B.session_stats(empty).first().total_pages_scraped == 0
     assert tuple(B.stop_check(df, B.Limits(max_total_pages=10)).first()) == (True, "Total page limit reached")
