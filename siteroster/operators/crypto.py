@@ -49,11 +49,18 @@ def encrypt_rows(df: DataFrame, keys: DataFrame, columns: list[str] | None = Non
     return joined.select("job_id", *keep, "salt", F.aes_encrypt("_body", "key", F.lit("GCM")).alias("payload"))
 
 
-def decrypt_rows(encrypted: DataFrame, keys: DataFrame, schema: str, keep: list[str] | None = None) -> DataFrame:
-    """Rows back in ``schema``, with ``decrypted`` false where the key is wrong or data was changed."""
+def decrypt_rows(encrypted: DataFrame, keys: DataFrame, schema: str, keep: list[str] | None = None,
+                 spread_by: list[str] | None = None) -> DataFrame:
+    """Rows back in ``schema``, with ``decrypted`` false where the key is wrong or data was changed.
+
+    Rows of a hot job spread by ``spread_by``, or by the kept plain columns and the length of the payload. Name the
+    payload itself only when it is stored: encrypting anew gives other bytes, and a repeated task would send rows elsewhere.
+    """
     keep = keep or []
     known = keys.select("job_id", "key")
-    joined = skew_safe_lookup(encrypted.select("job_id", *keep, "payload"), known, "job_id", spread_by=["payload"])
+    held = encrypted.select("job_id", *keep, "payload", F.octet_length("payload").alias("_bytes"))
+    spread = spread_by or [*_plain_columns(encrypted.select(*keep)), "_bytes"]
+    joined = skew_safe_lookup(held, known, "job_id", spread_by=spread)
     body = F.try_aes_decrypt("payload", "key", F.lit("GCM")).cast("string")
     return joined.select("job_id", *keep, body.alias("_body")).select(
         "job_id", *keep, F.col("_body").isNotNull().alias("decrypted"), F.from_json("_body", schema).alias("_r")
@@ -91,7 +98,7 @@ def read_encrypted(spark, path: str, keys: DataFrame, schema: str, job_ids: list
     stored = spark.read.schema("job_id string, salt binary, payload binary").parquet(path)
     if job_ids is not None:
         stored = stored.filter(F.col("job_id").isin(job_ids))
-    return decrypt_rows(stored, keys, schema)
+    return decrypt_rows(stored, keys, schema, spread_by=["payload"])
 
 
 def list_outputs(spark, path: str) -> DataFrame:

@@ -18,11 +18,14 @@ def _unquote(c):
 def robots_rules(robots: DataFrame, agent: str = "mozilla") -> DataFrame:
     """Rules that hold for one agent: a row (host, rules, delay) per host with a usable file.
 
-    ``robots`` is (host, status_code, body). Groups follow the usual reading: agent lines in a row
+    ``robots`` is (host, status_code, body) and may have ``fetched_at``: of several usable files of a host the latest
+    holds (without times, or at equal ones, the greatest body). Groups follow the usual reading: agent lines in a row
     share the rules after them, an empty line ends a group, a group naming the agent wins over ``*``.
     """
     token = agent.split("/")[0].lower()
-    lines = (robots.filter("status_code = 200 AND body IS NOT NULL")
+    usable = robots.filter("status_code = 200 AND body IS NOT NULL")
+    age = ["fetched_at"] if "fetched_at" in robots.columns else []
+    lines = (usable.groupBy("host").agg(F.max(F.struct(*age, "body"))["body"].alias("body"))
              .select("host", F.posexplode_outer(F.split("body", r"\r\n|\r|\n", -1)).alias("pos", "raw")))
     text = strip(F.regexp_replace("raw", "#.*", ""))
     parsed = lines.select(

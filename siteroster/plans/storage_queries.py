@@ -85,9 +85,10 @@ def enc_rows(spark, sf):
 @query("dec_rows", """SELECT 'job-' || c_nationkey AS job_id, c_nationkey % 5 <> 0 AS decrypted, CASE WHEN c_nationkey % 5 <> 0 THEN c_custkey END AS c_custkey,
     CASE WHEN c_nationkey % 5 <> 0 THEN c_name END AS c_name, CASE WHEN c_nationkey % 5 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer""")
 def dec_rows(spark, sf):
-    sealed = X.encrypt_rows(_records(spark, sf), _keys(spark, sf))
+    rows = _records(spark, sf).withColumn("id", F.col("c_custkey"))
+    sealed = X.encrypt_rows(rows, _keys(spark, sf), ["c_custkey", "c_name", "c_mktsegment"], keep=["id"])
     wrong = _keys(spark, sf, "CASE WHEN n_nationkey % 5 = 0 THEN 'guess' ELSE 'pass ' || n_name END")
-    return X.decrypt_rows(sealed, wrong, _SCHEMA)
+    return X.decrypt_rows(sealed, wrong, _SCHEMA, keep=["id"]).drop("id")
 
 
 @query("enc_envelope", f"""SELECT c_custkey, 4 * ceil({_BODY} / 3) AS ciphertext, 24 AS salt, 16 AS iv, 24 AS tag, 'v1' AS version, c_name FROM customer""")

@@ -8,7 +8,7 @@ import pytest
 from siteroster.operators import budgets as B
 from siteroster.operators import requests as R
 from siteroster.operators.report import contact_report
-from siteroster.operators.robots import robots_delay, robots_filter
+from siteroster.operators.robots import robots_delay, robots_filter, robots_rules
 from siteroster.operators.walk import crawl_report, page_facts, site_walk
 
 random.seed(3)
@@ -125,6 +125,16 @@ def test_robots_agree_with_the_standard_library(spark):
     assert all(got[f"https://{h}{p}"] for h in ("gone.com", "none.com") for p in PATHS)
 
 
+def test_latest_robots_file_of_a_host_holds(spark):
+    files = [("a.com", 200, "User-agent: *\nDisallow: /old", 1), ("a.com", 200, "User-agent: *\nDisallow: /new", 2),
+             ("a.com", 404, "User-agent: *\nDisallow: /", 3), ("b.com", 200, "", None), ("b.com", 200, "User-agent: *\nDisallow: /", 0)]
+    robots = spark.createDataFrame(files, "host string, status_code int, body string, fetched_at int")
+    got = {r.host: [(x.path, x.allow) for x in r.rules] for r in robots_rules(robots).collect()}
+    assert got == {"a.com": [("/new", False)], "b.com": [("/", False)]}
+    plain = {r.host: [x.path for x in r.rules] for r in robots_rules(robots.drop("fetched_at")).collect()}
+    assert plain == {"a.com": ["/old"], "b.com": ["/"]}
+
+
 # --- budgets ------------------------------------------------------------------------------------
 
 def make_log(n=1500, kinds=("success",) * 6 + ("failure", "blocked")):
