@@ -5,14 +5,15 @@ Each query applies its operator, with production parameters, to its whole table.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteroster.llm import (byte_bpe, cascade, decontaminate, jaccard, language, perspectives, quality_cnn, samples, substrings,
-                            token_counts, toxicity)
+from siteroster.llm import (byte_bpe, cascade, check_sql, decontaminate, jaccard, language, merkle, perspectives, quality_cnn, samples,
+                            substrings, token_counts, toxicity)
 from siteroster.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +144,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).drop("text")
+
+
+@query("op11_merkle_manifest", check_sql.merkle_manifest())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    return merkle.audit(table(spark, sf_dir, "documents"), lower, fold("doc_id", 3) == 0)
