@@ -59,3 +59,34 @@ start AS (SELECT g.doc_id, g.tree, g.p, g.h, s.h AS subroot, s.p AS place, '' AS
 {_up("b", f"a_up{depth - 1}", root_depth, "x.place", "'all'")}
 SELECT u.doc_id, u.h AS leaf, u.subroot, t.h AS root, sha256(u.proof) AS proof_sha256, u.folded AS folded_root, u.folded = t.h AS verified
 FROM b_up{root_depth - 1} u CROSS JOIN b_{root_depth} t"""
+
+
+def prefix_trie() -> str:
+    return f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 5 AS base, {crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+o AS (
+  SELECT c.conv_id, 0 AS part, t.i, t.r, t.x FROM c JOIN t ON t.conv_id = c.base AND t.i <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.i, t.r, t.x FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h),
+s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, i) AS depth, r, x FROM o),
+k AS MATERIALIZED (
+  SELECT conv_id, 0 AS depth, '' AS key, 0 AS bytes FROM c
+  UNION ALL SELECT conv_id, depth, sha256(string_agg(strlen(r) || ':' || r || strlen(x) || ':' || x, '')
+    OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), strlen(x) FROM s),
+m AS MATERIALIZED (SELECT conv_id, depth, bytes, min(conv_id) OVER (PARTITION BY depth, key) AS node, max(depth) OVER (PARTITION BY conv_id) AS length FROM k),
+n AS MATERIALIZED (
+  SELECT node AS conv_id, depth, count(*) AS n_convs, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = length), '')) AS ends_sha256
+  FROM m GROUP BY node, depth),
+p AS (SELECT n.*, m.node AS parent_conv_id FROM n LEFT JOIN m ON m.conv_id = n.conv_id AND m.depth = n.depth - 1),
+f AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM p WHERE depth > 0 GROUP BY 1, 2),
+q AS (SELECT p.*, coalesce(f.n_children, 0) AS n_children FROM p LEFT JOIN f ON f.conv_id = p.conv_id AND f.depth = p.depth),
+u AS (
+  SELECT m.node AS conv_id, m.depth, count(*) FILTER (WHERE q.n_children = 0) AS n_leaves, sum((q.n_convs - 1) * q.bytes) AS saved_tokens
+  FROM q JOIN m ON m.conv_id = q.conv_id AND m.depth <= q.depth GROUP BY m.node, m.depth)
+SELECT q.conv_id, CAST(q.depth AS BIGINT) AS depth, q.parent_conv_id, q.n_convs, q.n_children, u.n_leaves,
+  CAST(u.saved_tokens AS BIGINT) AS saved_tokens, q.ends_sha256
+FROM q JOIN u ON u.conv_id = q.conv_id AND u.depth = q.depth"""

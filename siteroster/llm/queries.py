@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteroster.llm import (byte_bpe, cascade, check_sql, decontaminate, jaccard, language, merkle, perspectives, quality_cnn, samples,
-                            substrings, token_counts, toxicity)
+from siteroster.llm import (byte_bpe, cascade, check_sql, decontaminate, jaccard, language, merkle, perspectives, prefix_trie, quality_cnn,
+                            samples, substrings, token_counts, toxicity)
 from siteroster.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
     return merkle.audit(table(spark, sf_dir, "documents"), lower, fold("doc_id", 3) == 0)
+
+
+@query("op13_prefix_trie", check_sql.prefix_trie())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.shared_prefixes(prefix_trie.reopened(turns))
