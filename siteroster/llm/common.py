@@ -57,9 +57,16 @@ def add_columns(df: DataFrame, text: str, schema: str, score: Callable[[list[str
             finish()
 
     text_at = len(names)
-    chosen = df.select(*[F.col(f"`{n}`") for n in names], F.col(text).alias("_text"))
-    out = chosen.mapInArrow(work, T.StructType([*[T.StructField(f.name, f.dataType) for f in kept], *added.fields]))
-    return out
+    chosen = df.select(*[F.col(f"`{n}`") for n in names], F.col(text).alias(free_name(df, "_text")))
+    return chosen.mapInArrow(work, T.StructType([*[T.StructField(f.name, f.dataType) for f in kept], *added.fields]))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first longer name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 ARROW = {"long": pa.int64(), "integer": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(),
@@ -78,16 +85,20 @@ def runs(batch: pa.RecordBatch, text_at: int, limit: int = RUN_BYTES) -> Iterato
 
 
 class Hashes(dict):
-    """64-bit hash of each word, remembered up to a number of words."""
+    """64-bit hash of each word, remembered for a number of words of a bounded length."""
+
+    longest = 64
 
     def __init__(self, room: int = 100_000):
         super().__init__()
         self.room = room
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.room:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.room:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:

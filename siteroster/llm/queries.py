@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteroster.llm import (byte_bpe, cascade, check_sql, decontaminate, jaccard, language, merkle, perspectives, prefix_trie, quality_cnn,
+from siteroster.llm import (byte_bpe, cascade, check_sql, decontaminate, jaccard, kneser_ney, language, merkle, perspectives, prefix_trie, quality_cnn,
                             samples, substrings, token_counts, toxicity)
 from siteroster.llm.common import fold, table
 
@@ -152,6 +152,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"), lower, fold("doc_id", 3) == 0)
 
 
+@query("op12_kneser_ney")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out(10, 0).alias("held_out"), "text")
+    return kneser_ney.score(docs, kneser_ney.fit(docs.filter("NOT held_out"))).drop("text")
+
+
 @query("op13_prefix_trie", check_sql.prefix_trie())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
