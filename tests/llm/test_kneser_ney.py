@@ -110,11 +110,14 @@ def test_unmounted_folders_are_refused(spark, monkeypatch):
 
 
 def test_query_scores_held_out_texts_better_than_word_counts(spark):
-    rows = QUERIES["op12_kneser_ney"](spark, f"{DATA}/sf0.01").collect()
-    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()}
-    plain = Plain([t for d, t in texts.items() if zlib.crc32(str(d).encode()) % 10])
+    rows = QUERIES["op12_kneser_ney"](spark, f"{DATA}/sf0.001").collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()}
+    count = Counter(w for d, t in texts.items() if zlib.crc32(str(d).encode()) % 10 for w in tokens_of(t))
+    n = sum(count.values())
+    assert len(rows) == len(texts)
     for r in rows:
+        tokens = tokens_of(texts[r["doc_id"]])
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0)
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (plain.row(texts[r["doc_id"]]))[:3]
-    assert len(rows) == len(texts)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(w in count for w in tokens), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (len(count) + 1))) for w in tokens))
     assert sum(r["score"] for r in rows if r["held_out"]) > sum(r["base_score"] for r in rows if r["held_out"])
