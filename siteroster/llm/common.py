@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], s
         for batch in batches:
             if batch.num_rows:
                 yield work(batch)
+        give_back()
     return df.mapInArrow(run, schema)
 
 
@@ -55,12 +58,42 @@ def add_columns(df: DataFrame, text: str, schema: str, score: Callable[[list[str
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *added.names])
         if finish:
             finish()
+        give_back()
 
     text_at = len(names)
     chosen = df.select(*[F.col(f"`{n}`") for n in names], F.col(text).alias(free_name(df, "_text")))
     return chosen.mapInArrow(work, T.StructType([*[T.StructField(f.name, f.dataType) for f in kept], *added.fields]))
 
 
+def give_back() -> None:
+    """Return what a reused worker has freed to the system: its next task may need little, its neighbour much."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` for ``mapInArrow``, which gives freed memory back at the end of a task."""
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        give_back()
+    return run
+
+
+def mounted(folder: str) -> str:
+    """The plain path of a folder that tasks open as files; ``ValueError`` for any other kind of store."""
+    place = urlparse(folder)
+    if place.scheme not in ("", "file"):
+        raise ValueError("tasks open files there: spark.checkpoint.dir has to be a mounted folder")
+    return place.path
+
+
+def whole_number(df: DataFrame, key: str) -> None:
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} has to be a column of whole numbers")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or the first longer name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -7,31 +7,44 @@ overlap by half), regions that reach the bound are kept, and a banded alignment
 within the edit budget is missed, and nothing beyond it is reported.
 
 Texts are compared as UTF-8 bytes with A-Z in lower case and every run of ASCII signs and white space as
-one space; the reported ranges are bytes of the original text. The benchmark is the query set: it is read
-in blocks of bounded size, and each block is searched in all documents.
+one space; the reported ranges are bytes of the original text. A passage of m compared bytes may have
+min(m * edits / 100, (m - 7 - shared) / 8) edits: 9 at 96 bytes, 3 at 48, 1 at 32 (``Settings``). Items under
+``least`` bytes are found exactly and on word edges, and items under 8, which has no q-gram, only as a whole text.
 
-NULL and empty texts hold no passage; NULL items and items of fewer than ``least`` compared bytes are not
-searched, as they cannot be told from chance. An item that is listed twice is reported for each id.
-Repeated documents give repeated rows. Of equally good alignments the first in the text is reported.
+The benchmark is the query set. It is written once, in files of bounded size below the checkpoint folder, which
+has to be a mounted one; each task walks the files over its rows, so documents are read once whatever the size of the
+benchmark, and no process holds all of it. Long texts are searched in pieces that overlap by more than a passage.
+
+NULL and empty texts hold no passage, and NULL and empty items are in no text. An item that is listed twice is
+reported for each id. Repeated documents give repeated rows. Of equally good alignments the first in the text is
+reported. Empty tables on either side give no passage, and ``without_passages`` then keeps every document.
 """
 
 from __future__ import annotations
 
+import glob
+import math
+from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from siteroster.llm.common import runs
+from siteroster.llm.common import give_back, mounted, runs
+from siteroster.session import scratch_path
 
 #: A q-gram is one unsigned 64-bit integer.
 Q = 8
-#: Bytes of benchmark text per block.
-BLOCK_BYTES = 1 << 20
+#: Bytes of benchmark text per block, and of document text that is searched at once.
+BLOCK_BYTES, PIECE = 1 << 20, 1 << 20
+#: Blocks that a worker keeps indexed.
+MOST_OPEN = 2
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -39,7 +52,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class Settings:
     """Length of a passage, step between passages, edits per hundred bytes, q-grams that an occurrence shares
-    at least (the budget of short passages is lowered for it), and the shortest item."""
+    at least (the budget of short passages is lowered for it), and the shortest item that may have edits."""
 
     passage: int = 96
     step: int = 48
@@ -69,9 +82,16 @@ class Index:
 
     def __init__(self, items: list[tuple[object, str]], settings: Settings):
         self.items, self.starts, self.texts = [], [], []
+        self.short: dict[int, list[tuple[bytes, object]]] = defaultdict(list)
+        self.tiny: dict[bytes, list[object]] = defaultdict(list)
         for key, text in items:
             data, _ = plain(text.encode())
+            if len(data) < Q:
+                if len(data):
+                    self.tiny[data.tobytes()].append(key)
+                continue
             if len(data) < settings.least:
+                self.short[int(grams(data)[0])].append((data.tobytes(), key))
                 continue
             last = max(0, len(data) - settings.passage)
             for start in [*range(0, last, settings.step), last]:
@@ -92,7 +112,10 @@ class Index:
         self.flags = np.zeros(1 << (64 - int(self.shift)), bool)
         with np.errstate(over="ignore"):
             self.flags[(self.grams * _ODD) >> self.shift] = True
+        self.short_grams = np.sort(np.array(list(self.short), np.uint64))
         width = int(self.size.max(initial=0))
+        #: Compared bytes that pieces of a text have to share so that an occurrence lies in one of them.
+        self.overlap = max(settings.least, width + int(self.budget.max(initial=0))) + 2
         self.padded = np.zeros((len(self.texts), width), np.uint8)
         for i, t in enumerate(self.texts):
             self.padded[i, :len(t)] = t
@@ -161,58 +184,110 @@ class Index:
             yield int(passage[j]), int(low[j] + start[j]), int(low[j] + end[j] + size[j]), int(edits[j])
 
 
-_open: dict[str, Index] = {}
-
-
-def _index(name: str, items: list[tuple[object, str]], settings: Settings) -> Index:
-    if name not in _open:
-        _open.clear()
-        _open[name] = Index(items, settings)
-    return _open[name]
+    def exact(self, data: np.ndarray) -> Iterator[tuple[object, int, int]]:
+        """(item, begin, end) of every short item that stands in ``data`` as whole words."""
+        g = grams(data)
+        if not len(self.short_grams) or not len(g):
+            return
+        slot = np.minimum(np.searchsorted(self.short_grams, g), len(self.short_grams) - 1)
+        edge = np.isin(np.concatenate([[np.uint8(32)], data[:-1]])[:len(g)], (0, 32))
+        for begin in np.flatnonzero((self.short_grams[slot] == g) & edge).tolist():
+            for item, key in self.short[int(g[begin])]:
+                end = begin + len(item)
+                if data[begin:end].tobytes() == item and (end == len(data) or data[end] in (0, 32)):
+                    yield key, begin, end
+
+
+_indexed: OrderedDict[tuple[str, Settings], Index] = OrderedDict()
+
+
+def _index(path: str, settings: Settings) -> Index:
+    """The index of a block's file. Each benchmark is written to a folder of its own, so a path names its contents."""
+    if (path, settings) not in _indexed:
+        while len(_indexed) >= MOST_OPEN:
+            _indexed.popitem(last=False)
+        rows = pq.read_table(path)
+        _indexed[path, settings] = Index(list(zip(rows.column("item").to_pylist(), rows.column("text").to_pylist())), settings)
+    _indexed.move_to_end((path, settings))
+    return _indexed[path, settings]
+
+
+def pieces(data: bytes, overlap: int, size: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The compared bytes of a text and their places in it, in pieces that share ``overlap`` compared bytes."""
+    begin, wide = 0, max(size, 4 * overlap)
+    while True:
+        end = min(len(data), begin + wide)
+        seen, place = plain(data[begin:end])
+        if end < len(data) and len(seen) <= 2 * overlap:
+            wide *= 2  # hardly anything but signs
+            continue
+        yield seen, place + begin
+        if end == len(data):
+            return
+        begin, wide = begin + int(place[len(seen) - overlap]), max(size, 4 * overlap)
 
 
 def search(index: Index, texts: list[str | None]) -> Iterator[tuple[int, object, int, int, int, int, int]]:
-    """(text number, item, passage start and end in the item, start, end, edits) of every passage found.
+    """(text number, item, passage start and end in the item, start, end, edits) of every passage found."""
+    found: dict[tuple, tuple] = {}
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+    size = 0
+    for number, text in enumerate(texts):
+        for seen, place in pieces((text or "").encode(), index.overlap):
+            if index.tiny and len(seen) < Q:
+                for key in index.tiny.get(seen.tobytes(), ()):
+                    found[number, key, len(seen), -1] = (0, int(place[0]), int(place[-1]) + 1)
+            held.append((number, seen, place))
+            size += len(seen)
+            if size >= PIECE:
+                _search(index, held, found)
+                held, size = [], 0
+    _search(index, held, found)
+    for (number, passage, length, _), (edits, a, b) in sorted(found.items(), key=lambda f: (f[0][0], f[1])):
+        if length:
+            yield number, passage, 0, length, a, b, edits
+        else:
+            start = index.starts[passage]
+            yield number, index.items[passage], start, start + int(index.size[passage]), a, b, edits
 
-    Texts are searched in one go, with a zero byte between them that no passage has.
-    """
-    if not index.texts:
+
+def _search(index: Index, held: list[tuple[int, np.ndarray, np.ndarray]], found: dict[tuple, tuple]) -> None:
+    """Search pieces in one go, with a zero byte between them that no passage has, and keep the best of each occurrence."""
+    if not held:
         return
-    parts = [plain((t or "").encode()) for t in texts]
     gap = np.zeros(1, np.uint8)
-    data = np.concatenate([x for p in parts for x in (p[0], gap)])
-    begins = np.cumsum([0, *[len(p[0]) + 1 for p in parts]])
-    found: dict[tuple, tuple] = {}
-    for passage, begin, end, edits in index.align(data, *index.regions(data)):
-        doc = int(np.searchsorted(begins, begin, "right")) - 1
-        a, b = begin - int(begins[doc]), end - int(begins[doc])
-        here = parts[doc][1]
-        if a < 0 or b > len(here) or b <= a:
+    data = np.concatenate([x for _, seen, _ in held for x in (seen, gap)])
+    begins = np.cumsum([0, *[len(seen) + 1 for _, seen, _ in held]])
+    hits = [(p, 0, begin, end, edits) for p, begin, end, edits in index.align(data, *index.regions(data))] if index.texts else []
+    hits += [(key, end - begin, begin, end, 0) for key, begin, end in index.exact(data)]
+    for passage, length, begin, end, edits in hits:
+        part = int(np.searchsorted(begins, begin, "right")) - 1
+        number, seen, place = held[part]
+        a, b = begin - int(begins[part]), end - int(begins[part])
+        if a < 0 or b > len(seen) or b <= a:
             continue
-        a, b = int(here[a]), int(here[b - 1]) + 1
-        # neighbouring bands find the same occurrence: keep the better
-        for key in ((doc, passage, a // 16), (doc, passage, a // 16 - 1), (doc, passage, a // 16 + 1)):
+        a, b = int(place[a]), int(place[b - 1]) + 1
+        if length:
+            found[number, passage, length, a] = (0, a, b)
+            continue
+        # neighbouring bands and overlapping pieces find the same occurrence: keep the better
+        for near in (a // 16, a // 16 - 1, a // 16 + 1):
+            key = (number, passage, length, near)
             if key in found:
                 found[key] = min(found[key], (edits, a, b))
                 break
         else:
-            found[doc, passage, a // 16] = (edits, a, b)
-    for (doc, passage, _), (edits, a, b) in sorted(found.items()):
-        start = index.starts[passage]
-        yield doc, index.items[passage], start, start + int(index.size[passage]), a, b, edits
+            found[number, passage, length, a // 16] = (edits, a, b)
 
 
-def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", size: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str]]]:
-    """The items in lists of about ``size`` bytes, fetched one partition at a time."""
-    block, held = [], 0
-    for row in benchmark.filter(F.col(text).isNotNull()).select(F.col(item).alias("i"), F.col(text).alias("t")).toLocalIterator():
-        block.append((row["i"], row["t"]))
-        held += len(row["t"].encode())
-        if held >= size:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
+def written(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> str:
+    """Write the items to files of about ``BLOCK_BYTES`` each; the folder they are in."""
+    items = benchmark.filter(F.col(text).isNotNull()).select(F.col(item).alias("item"), F.col(text).alias("text"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    folder = scratch_path(benchmark.sparkSession, "benchmark")
+    path = mounted(folder)
+    items.repartition(max(1, math.ceil(size / BLOCK_BYTES))).write.parquet(folder)
+    return path
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), key: str = "doc_id",
@@ -220,44 +295,36 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
     """(key, item, item_start, item_end, start, end, edits): every benchmark passage found in a document."""
     kinds = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField(item, benchmark.schema[item].dataType),
                           *[T.StructField(n, T.LongType()) for n in ("item_start", "item_end", "start", "end", "edits")]])
-    chosen = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    out = None
-    for n, items in enumerate(blocks(benchmark, item)):
-        part = chosen.mapInArrow(_searcher(f"{id(docs)}-{n}-{settings}", items, settings, kinds), kinds)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], kinds)
-
-
-def _searcher(name: str, items: list[tuple[object, str]], settings: Settings, kinds: T.StructType):
-    names = kinds.names
+    folder, schema = written(benchmark, item), to_arrow_schema(kinds)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(name, items, settings)
         for batch in batches:
-            for part in runs(batch, 1):
-                hits = list(search(index, part.column(1).to_pylist()))
-                keys = part.column(0).take(pa.array([h[0] for h in hits], pa.int64()))
-                rest = [pa.array([h[i] for h in hits]) if hits else pa.array([], pa.int64()) for i in range(1, 7)]
-                if hits:
-                    yield pa.RecordBatch.from_arrays([keys, *rest], names=names)
-    return work
+            for path in sorted(glob.glob(f"{folder}/*.parquet")):
+                index = _index(path, settings)
+                for part in runs(batch, 1):
+                    hits = list(search(index, part.column(1).to_pylist()))
+                    if hits:
+                        keys = part.column(0).take(pa.array([h[0] for h in hits], pa.int64()))
+                        rest = [pa.array([h[i] for h in hits], schema.field(i).type) for i in range(1, 7)]
+                        yield pa.RecordBatch.from_arrays([keys, *rest], names=schema.names)
+        give_back()
+    # by other names, as key and text may be one column
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(work, kinds)
 
 
 def without_passages(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), text: str = "text",
                      item: str = "item_id") -> DataFrame:
     """The documents that hold no benchmark passage, with all their columns."""
-    out = docs
-    at = docs.columns.index(text)
+    folder, at = written(benchmark, item), docs.columns.index(text)
 
-    def keeper(name: str, items: list[tuple[object, str]]):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = _index(name, items, settings)
-            for batch in batches:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in sorted(glob.glob(f"{folder}/*.parquet")):
+                index, kept = _index(path, settings), []
                 for part in runs(batch, at):
                     bad = {h[0] for h in search(index, part.column(at).to_pylist())}
-                    yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
-        return work
-
-    for n, items in enumerate(blocks(benchmark, item)):
-        out = out.mapInArrow(keeper(f"{id(docs)}-{n}-{settings}", items), docs.schema)
-    return out
+                    kept.append(part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_())))
+                batch = pa.concat_batches(kept) if kept else batch
+            yield batch
+        give_back()
+    return docs.mapInArrow(work, docs.schema)

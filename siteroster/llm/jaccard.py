@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siteroster.llm.common import HASHES, rolling, runs
+from siteroster.llm.common import HASHES, free_name, rolling, runs, tidy, whole_number
 from siteroster.llm.components import components
 from siteroster.llm.sift import sift
 from siteroster.session import durable
@@ -114,7 +114,7 @@ def frequency_classes(profile: DataFrame) -> tuple[np.ndarray, float]:
     """Class of each counter (0: no more than chance makes of rare shingles; each next class 1.4 times as
     many), and the count at which class 1 begins. The table has a fixed size, whatever the input."""
     blocks = (profile.filter(F.col("block").isNotNull()).select("block", "counts").repartition(COUNTERS // BLOCK, "block")
-              .mapInArrow(_summed, "block int, counts binary"))
+              .mapInArrow(tidy(_summed), "block int, counts binary"))
     counts = np.zeros(COUNTERS, np.int64)
     for block, data in blocks.collect():
         counts[block * BLOCK:(block + 1) * BLOCK] += np.frombuffer(data, np.int64)
@@ -146,7 +146,7 @@ def prefixes(docs: DataFrame, classes) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(tokens).view(np.int64)), part.column(0).take(pa.array(np.concatenate(docs_at))),
              pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "doc_id", "n", "place"])
-    return docs.mapInArrow(_mapper(work, 1), "token long, doc_id long, n int, place int")
+    return docs.mapInArrow(tidy(_mapper(work, 1)), "token long, doc_id long, n int, place int")
 
 
 def _similar_sizes(a: str, b: str) -> Column:
@@ -207,9 +207,9 @@ def verified(docs: DataFrame, pairs: DataFrame, fragments: int = FRAGMENTS) -> D
 
     # only the texts that are compared move
     segments = (sift(docs, "doc_id", wanted, "_id").join(wanted, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "hub", "salt", "part")
-                .mapInArrow(_mapper(work, 1), "hub long, salt int, fragment int, part int, doc_id long, n int, segment binary"))
+                .mapInArrow(tidy(_mapper(work, 1)), "hub long, salt int, fragment int, part int, doc_id long, n int, segment binary"))
     met = segments.repartition("hub", "salt", "fragment").sortWithinPartitions("hub", "salt", "fragment", "part")
-    partial = met.mapInArrow(_overlaps, "a long, b long, fragment int, na int, nb int, shared int")
+    partial = met.mapInArrow(tidy(_overlaps), "a long, b long, fragment int, na int, nb int, shared int")
     per_fragment = partial.groupBy("a", "b", "fragment").agg(  # repeated rows of a document count once
         F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("shared").alias("shared"))
     return (per_fragment.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"))
@@ -336,9 +336,13 @@ def _open_pairs(met: DataFrame, kinds: DataFrame, component: DataFrame, family:
 
 
 def linked_components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: the smallest id that a document reaches by links."""
+    """(doc_id, n_shingles, component_id) of every row: the smallest id that a document reaches by links.
+
+    ``TypeError`` for keys that are no whole numbers.
+    """
+    whole_number(docs, key)
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    profile = durable(chosen.mapInArrow(_profile, "doc_id long, n long, s1 long, s2 long, block int, counts binary"), "profile")
+    profile = durable(chosen.mapInArrow(tidy(_profile), "doc_id long, n long, s1 long, s2 long, block int, counts binary"), "profile")
     rows = profile.filter(F.col("block").isNull()).select("doc_id", "n", "s1", "s2")
     classes, least = frequency_classes(profile)
     shared = docs.sparkSession.sparkContext.broadcast(classes)
@@ -365,5 +369,6 @@ def one_per_component(docs: DataFrame, text: str = "text", key: str = "doc_id")
 
     Rows with a NULL id stay, and so do repeated rows of an id that stays.
     """
-    dropped = linked_components(docs, text, key).filter("component_id < doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(key).cast("long") == F.col("_dropped"), "left_anti")
+    gone = free_name(docs, "_dropped")
+    dropped = linked_components(docs, text, key).filter("component_id < doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, F.col(key).cast("long") == F.col(gone), "left_anti")

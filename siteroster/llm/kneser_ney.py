@@ -29,7 +29,6 @@ import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteroster.llm.common import HASHES, add_columns, mix, runs
+from siteroster.llm.common import HASHES, add_columns, give_back, mix, mounted, runs
 from siteroster.session import scratch_path
 
 #: Pairs in a shard, on average and at most about; tokens that a task counts at once; bytes of a text split at once.
@@ -168,16 +167,14 @@ def discounts(n: list[int]) -> tuple[float, ...]:
 def fit(docs: DataFrame, text: str = "text", shard_rows: int = SHARD_ROWS) -> KneserNey:
     """Count all texts of ``docs`` and write the arrays, pairs in shards of about ``shard_rows``."""
     spark = docs.sparkSession
-    place = urlparse(scratch_path(spark, "ngrams"))
-    if place.scheme not in ("", "file"):
-        raise ValueError("arrays are mapped from files: spark.checkpoint.dir has to be a mounted folder")
+    folder = mounted(scratch_path(spark, "ngrams"))
     word_bits = math.ceil(math.log2(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    words = Shards(place.path, "word", word_bits)
+    words = Shards(folder, "word", word_bits)
     texts = docs.select(F.col(text).cast("string").alias("text"))
     tokens, types = _sums(_dealt(texts.mapInArrow(_counting(_word_rows(words)), "shard int, key long, n long"), word_bits)
                           .mapInArrow(_write_words(words), "tokens long, types long"), 2)
     pair_bits = max(0, math.ceil(math.log2(max(1, tokens / (2 * shard_rows)))))
-    pairs = Shards(place.path, "pair", pair_bits)
+    pairs = Shards(folder, "pair", pair_bits)
     counted = _dealt(texts.mapInArrow(_counting(_pair_rows(words, pairs, shard_rows)), "shard int, first long, second long, n long"), pair_bits)
     names = ["id", *FACTS, "thrice", "four"]
     facts = counted.mapInArrow(_write_pairs(words, pairs, shard_rows), ", ".join(f"{n} long" for n in names))
@@ -186,7 +183,7 @@ def fit(docs: DataFrame, text: str = "text", shard_rows: int = SHARD_ROWS) -> Kn
     word_n, pair_n, kinds, seen = sums[0:4], sums[4:8], sums[8], sums[9]
     low = discounts(word_n)
     spare = (low[1] * word_n[0] + low[2] * word_n[1] + low[3] * (seen - word_n[0] - word_n[1])) / kinds if kinds else 1.0
-    return KneserNey(place.path, word_bits, pair_bits, shard_rows, tokens, types, kinds, (low, discounts(pair_n)), spare)
+    return KneserNey(folder, word_bits, pair_bits, shard_rows, tokens, types, kinds, (low, discounts(pair_n)), spare)
 
 
 def _dealt(rows: DataFrame, bits: int) -> DataFrame:
@@ -212,6 +209,7 @@ def _counting(count: Callable[[np.ndarray], pa.RecordBatch]) -> Callable:
                     held, size = [], 0
         if held:
             yield count(np.concatenate(held))
+        give_back()
     return work
 
 

@@ -48,24 +48,30 @@ class QualityNet:
         return sigmoid(np.tanh(z @ self.head["w1"] + self.head["b1"]) @ self.head["w2"] + self.head["b2"]).astype(float)
 
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 4e-3,
-            most_chunks: int = 16, seed: int = 3) -> QualityNet:
-        """Train on whole labelled texts; of a text with more chunks than ``most_chunks``, each epoch draws others."""
+            most_chunks: int = 16, least_steps: int = 500, seed: int = 3) -> QualityNet:
+        """Train on whole labelled texts, as many of each label in a step, so that the rarer one is learned too.
+
+        Of a text with more chunks than ``most_chunks``, each step draws others. Few texts are gone over until there were
+        ``least_steps`` steps.
+        """
         labels = np.asarray(labels, np.float32)
         if len(set(labels.tolist())) < 2:
             self.constant = float(labels.mean()) if len(labels) else 0.5
             return self
         rng = np.random.default_rng(seed)
-        params = self.filters.params | self.head
-        adam = Adam(params, rate)
-        steps, done = max(epochs * -(-len(texts) // batch), 150), 0
-        order = np.zeros(0, int)
-        while done < steps:
-            if len(order) < min(batch, len(texts)):
-                order = rng.permutation(len(texts))
-            pick, order = order[:batch], order[batch:]
+        adam = Adam(self.filters.params | self.head, rate)
+        steps = max(epochs * -(-len(texts) // batch), least_steps)
+        kinds = [np.flatnonzero(labels == k) for k in (0, 1)]
+        order = [np.zeros(0, int), np.zeros(0, int)]
+        for done in range(steps):
+            pick = []
+            for k, rows in enumerate(kinds):
+                while len(order[k]) < batch // 2:
+                    order[k] = np.concatenate([order[k], rng.permutation(rows)])
+                pick += order[k][:batch // 2].tolist()
+                order[k] = order[k][batch // 2:]
             adam.rate = rate * (1 - done / steps) + rate * 0.05
             self._step(adam, [texts[i] for i in pick], labels[pick], rng, most_chunks)
-            done += 1
         return self
 
     def _step(self, adam: Adam, texts: list[bytes], y: np.ndarray, rng: np.random.Generator, most: int) -> None:

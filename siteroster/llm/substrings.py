@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteroster.llm.common import HASHES, mix, rolling, runs
+from siteroster.llm.common import HASHES, free_name, mix, rolling, runs, tidy, whole_number
 from siteroster.session import durable
 
 LENGTH, K = 50, 8
@@ -142,11 +142,12 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     """(doc_id, version, spans): word ranges of each document that repeat documents with smaller ids.
 
     ``spans`` is an array of (start, end), end exclusive; ranges may touch or overlap. Only documents with
-    a repeat have a row.
+    a repeat have a row. ``TypeError`` for keys that are no whole numbers.
     """
+    whole_number(docs, key)
     rows = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).cast("long").alias("doc_id"), version(text).alias("version"), F.col(text).alias("text"))
-    seeds = durable(rows.mapInArrow(_seed, "anchor long, doc_id long, version long, start int, size int, s1 long, s2 long"), "seeds")
+    seeds = durable(rows.mapInArrow(tidy(_seed), "anchor long, doc_id long, version long, start int, size int, s1 long, s2 long"), "seeds")
 
     # anchors of one document only are dropped before anything else is joined
     shared = (seeds.groupBy("anchor").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"))
@@ -163,7 +164,7 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
               .agg(F.collect_list(F.struct(F.col("first.start").alias("start"), "size", "c1", "s1")).alias("listed")))
     opened = durable(rows.join(listed, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
                      .select("doc_id", "text", "listed")
-                     .mapInArrow(_extend, "w1 long, w2 long, doc_id long, c1 long, s1 long, offset int"), "opened")
+                     .mapInArrow(tidy(_extend), "w1 long, w2 long, doc_id long, c1 long, s1 long, offset int"), "opened")
     earliest = (opened.groupBy("w1", "w2").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"))
                 .filter("_low < _high").select("w1", "w2", "_low"))
     inside = (opened.join(earliest, ["w1", "w2"]).filter(F.col("doc_id") > F.col("_low"))
@@ -194,8 +195,9 @@ def kept_words(text: str | None, spans: list[dict] | None) -> tuple[list[bytes],
 
 
 def _with_spans(docs: DataFrame, text: str, key: str) -> DataFrame:
-    found = repeats(docs, text, key).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("spans").alias("_spans"))
-    return docs.join(found, (F.col(key).cast("long") == F.col("_id")) & (version(text) == F.col("_version")), "left").drop("_id", "_version")
+    number, same, spans = (free_name(docs, n) for n in ("_id", "_version", "_spans"))
+    found = repeats(docs, text, key).select(F.col("doc_id").alias(number), F.col("version").alias(same), F.col("spans").alias(spans))
+    return docs.join(found, (F.col(key).cast("long") == F.col(number)) & (version(text) == F.col(same)), "left").drop(number, same)
 
 
 def removal_digest(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -211,7 +213,7 @@ def removal_digest(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                     [part.column(0), pa.array([n for _, n in kept], pa.int64()), pa.array([n - len(w) for w, n in kept], pa.int64()),
                      pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w, _ in kept], pa.string())], names=names)
     kind = docs.schema[key].dataType.simpleString()
-    return joined.mapInArrow(work, f"`{key}` {kind}, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(tidy(work), f"`{key}` {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -232,4 +234,4 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                 columns = [part.column(i) for i in range(spans_at)]
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:spans_at])
-    return joined.mapInArrow(work, docs.schema)
+    return joined.mapInArrow(tidy(work), docs.schema)

@@ -3,7 +3,8 @@
 No piece of such a vocabulary has the space sign after another sign. A text can therefore be cut in
 front of every run of spaces, and its count is the sum over the cuts. Cuts are encoded in calls of
 about the same number of bytes, and the count of a cut is remembered, so that a frequent word is
-encoded once. A model that does have pieces across words gets its texts uncut.
+encoded once; words over ``LONGEST`` characters are not remembered. A model that does have pieces across words
+gets its texts uncut.
 
 NULL texts count as empty and have no tokens. Special strings inside a text are plain text.
 """
@@ -20,7 +21,7 @@ from siteroster.llm.common import add_columns
 SPACE = "▁"
 #: Bytes of text per call of the tokenizer.
 CALL_BYTES = 1 << 18
-_CACHE_ROOM = 400_000
+_CACHE_ROOM, LONGEST = 400_000, 64
 
 
 class Counter:
@@ -54,7 +55,7 @@ class Counter:
         call, size = [], 0
         for word in words:
             call.append(word)
-            size += len(word) + 8
+            size += len(word.encode()) + 8
             if size >= CALL_BYTES:
                 self._encode(call)
                 call, size = [], 0
@@ -72,8 +73,13 @@ class Counter:
             self.known.clear()
         known = self.known
         known[""] = self.lone_space  # a cut that is one space
-        self.learn({w for p in parts for w in p if w not in known})
-        return [sum(map(known.__getitem__, p)) for p in parts]
+        new = {w for p in parts for w in p if w not in known}
+        self.learn(new)
+        counts = [sum(map(known.__getitem__, p)) for p in parts]
+        for word in new:
+            if len(word) > LONGEST:
+                del known[word]
+        return counts
 
 
 _open: dict[str, Counter] = {}

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import resource
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -199,6 +200,59 @@ def test_documents_without_passages(spark):
     assert decontaminate.find_passages(docs, bench.limit(0)).count() == 0 == decontaminate.find_passages(docs.limit(0), bench).count()
 
 
+def test_each_benchmark_has_its_own_answer(spark):
+    """One frame searched for two benchmarks, in both orders."""
+    one, two = ("the quick brown fox jumps over the lazy dog and runs far away", "seven grey owls were sitting on a fence in the cold morning rain")
+    docs = spark.createDataFrame([(1, f"intro {one} end"), (2, f"intro {two} end"), (3, "nothing here")], "doc_id long, text string")
+    benches = {k: spark.createDataFrame([(10 * k, t)], "item_id long, text string") for k, t in ((1, one), (2, two))}
+    for order in ((1, 2), (2, 1)):
+        for k in order:
+            assert [(r["doc_id"], r["item_id"]) for r in decontaminate.find_passages(docs, benches[k]).collect()] == [(k, 10 * k)]
+            assert {r["doc_id"] for r in decontaminate.without_passages(docs, benches[k]).collect()} == {1, 2, 3} - {k}
+    both = benches[1].unionByName(benches[2])
+    assert {r["doc_id"] for r in decontaminate.without_passages(docs, both).collect()} == {3}
+
+
+def test_short_items_are_found_exactly(spark):
+    items = [(1, "What is it?"), (2, "blue whale"), (3, "yes"), (4, "no"), (5, "")]
+    docs = [(1, "He asked: WHAT -- is it, then"), (2, "what is itching"), (3, "a blue whales"), (4, "Blue\nwhale"), (5, "Yes!"), (6, "yes or no"), (7, "whatis it"),
+            (8, "the blue whale, a blue whale")]
+    found = decontaminate.find_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string"))
+    rows = sorted((r["doc_id"], r["item_id"], dict(docs)[r["doc_id"]][r["start"]:r["end"]], r["edits"]) for r in found.collect())
+    assert rows == [(1, 1, "WHAT -- is it", 0), (4, 2, "Blue\nwhale", 0), (5, 3, "Yes", 0), (8, 2, "blue whale", 0), (8, 2, "blue whale", 0)]
+
+
+def test_long_texts_and_many_blocks(monkeypatch):
+    """Pieces and blocks change nothing, and a long text needs little memory."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
+    items = [(i, " ".join(rng.choices(words, k=40))) for i in range(30)]
+    text = " ".join(rng.choices(words, k=20000))
+    for i, (_, t) in enumerate(items):
+        at = 4500 * i + rng.randrange(3000)
+        text = text[:at] + " " + t + " \n .. " * rng.randrange(4) + text[at:]
+    index = decontaminate.Index(items, decontaminate.Settings())
+    whole = list(decontaminate.search(index, [text, None, text[:3000]]))
+    monkeypatch.setattr(decontaminate, "PIECE", 700)
+    assert list(decontaminate.search(index, [text, None, text[:3000]])) == whole
+    assert {h[1] for h in whole} == set(range(30))
+    monkeypatch.undo()
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert {h[1] for h in decontaminate.search(index, [text * 200])} == set(range(30))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+
+
+def test_clashing_columns_and_other_ids(spark):
+    text = " ".join(f"w{i}" for i in range(70))
+    docs = spark.createDataFrame([(1, text, 5, "a", "b", "c"), (2, text, 6, "d", "e", "f")],
+                                 "doc_id int, text string, _id int, _version string, _spans string, _dropped string")
+    assert [tuple(r) for r in jaccard.one_per_component(docs).collect()] == [(1, text, 5, "a", "b", "c")]
+    assert tuples(substrings.without_repeats(docs)) == [(1, text, 5, "a", "b", "c"), (2, "", 6, "d", "e", "f")]
+    for run in (jaccard.linked_components, substrings.repeats):
+        with pytest.raises(TypeError):
+            run(docs.withColumn("doc_id", docs["text"]))
+
+
 def test_pipeline_stage_by_stage(spark):
     folder = f"{DATA}/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
