@@ -14,6 +14,11 @@ from siteroster.functions.text import SPACE, WORD, col, let, strip
 
 # A word boundary, spelled out so that it means the same on every Java version.
 EMAIL = rf"(?iu)(?<!{WORD}){EMAIL_LOCAL}@{EMAIL_HOST}(?!{WORD})"
+# The same matches as group 1, in linear time. All starts in one run of the characters before an @ meet the same @ and the same
+# host, so only the first that may be one is tried; a run begins after any other character or where a match ended.
+_RUN = "[A-Za-z0-9._%+-]"
+_FIRST = rf"(?:\G|(?<!{_RUN}))(?:(?!(?<!{WORD})[A-Za-z0-9]){_RUN})*+"
+EMAIL_IN_TEXT = rf"(?iu){_FIRST}([A-Za-z0-9]{_RUN}*+@{EMAIL_HOST})(?!{WORD})"
 PHONE = "(?U)" + PHONE_PARTS.format(d=r"\p{Nd}", s=SPACE[1:-1])
 SOCIAL = rf"(?iu){SOCIAL_URL}"
 
@@ -56,7 +61,7 @@ def deobfuscate(text: Column | str, plain_words: bool = True) -> Column:
 def email_matches(text: Column | str) -> Column:
     """All addresses as written, in text order."""
     return let(col(text), lambda t: F.when(
-        t.contains("@"), F.regexp_extract_all(t, F.lit(EMAIL), F.lit(0))).otherwise(_empty("array<string>")))
+        t.contains("@"), F.regexp_extract_all(t, F.lit(EMAIL_IN_TEXT), F.lit(1))).otherwise(_empty("array<string>")))
 
 
 def email_username(email: Column | str) -> Column:
@@ -123,8 +128,14 @@ def _with_context(text: Column) -> Column:
         around = F.translate(F.concat(before, match, after), "\n", " ")
         return F.concat(F.lit("..."), strip(around), F.lit("..."))
 
-    return let(F.split(text, EMAIL, -1), lambda p: let(
-        F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), lambda f: assemble(p, f)))
+    def between(pieces: Column, whole: Column, found: Column) -> Column:
+        # what a match has before its address belongs to the text between
+        return F.zip_with(pieces, F.arrays_zip(whole.alias("w"), found.alias("f")), lambda p, m: F.when(m.isNull(), p).otherwise(
+            F.concat(p, F.left(m["w"], F.char_length(m["w"]) - F.char_length(m["f"])))))
+
+    whole, inner = (F.regexp_extract_all(text, F.lit(EMAIL_IN_TEXT), F.lit(g)) for g in (0, 1))
+    return let(F.struct(F.split(text, EMAIL_IN_TEXT, -1).alias("p"), whole.alias("w"), inner.alias("f")),
+               lambda x: let(between(x["p"], x["w"], x["f"]), lambda p: assemble(p, x["f"])))
 
 
 def email_hits(text: Column | str, min_confidence: float = 0.0, remove_duplicates: bool = True) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from siteroster.functions.fixed_values import (
     CONTENT_TAGS, MIN_TEXT_LENGTH, MIN_WORDS, NAV_TAGS, SKIPPED_LINK_STARTS, VOID_TAGS,
 )
+from siteroster.functions.tag_tree import nodes_column, outermost_column
 from siteroster.functions.text import SPACE, col, is_json, let, normalize_whitespace, strip, word_count
 from siteroster.functions.urls import resolve_url
 
@@ -96,60 +97,23 @@ def decode_references(text: Column | str, unknown: str = "open") -> Column:
 # Comments, code, declarations and tags, in page order; what stands in quotes belongs to its tag.
 _TOKEN = (rf"(?is)<!--.*?-->|<(script|style)\b{_ATTRS}>[^<]*+(?:<(?!/\1\b)[^<]*+)*+(?:</\1\s*>|\z)"
           rf"|<[!?][^>]*+>|{_TAG}|{_ODD_TAG}")
-_OPEN, _HIDES, _END = 0, 1, -1
 
 
-def _tags(tokens: Column, hidden: list[str]) -> Column:
-    """Tags that open or close an element, as (i, kind, name); those that cannot matter are left out."""
-    def read(t: Column, i: Column) -> Column:
+def _codes(tokens: Column) -> Column:
+    """Tags as ``functions.tag_tree`` reads them, joined by spaces; void tags, code and all else are empty."""
+    def code(t: Column) -> Column:
         name = F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][^\s/>]*)", 1))
-        kind = (F.when((name == "") | name.isin("script", "style", *VOID_TAGS), F.lit(None))
-                .when(t.startswith("</"), _END).when(t.endswith("/>"), F.lit(None))
-                .when(name.isin(*hidden), _HIDES).otherwise(_OPEN))
-        return F.struct(i.alias("i"), kind.alias("kind"), name.alias("name"))
+        return F.when(name.isin("", "script", "style", *VOID_TAGS) | t.endswith("/>") & ~t.startswith("</"), "").when(
+            t.startswith("</"), F.concat(F.lit("/"), name)).otherwise(name)
+    return F.array_join(F.transform(tokens, code), " ")
 
-    def wanted(tags: Column) -> Column:
-        ends = F.array_distinct(F.transform(F.filter(tags, lambda t: t["kind"] == _END), lambda t: t["name"]))
-        return let(ends, lambda e: F.filter(
-            tags, lambda t: (t["kind"] != _OPEN) | F.array_contains(e, t["name"])))
 
-    tags = F.filter(F.transform(tokens, read), lambda t: t["kind"].isNotNull())
-    return let(tags, lambda all_tags: F.when(
-        F.exists(all_tags, lambda t: t["kind"] == _HIDES), wanted(all_tags)).otherwise(F.slice(all_tags, 1, 0)))
-
-
-def _hidden_ranges(tokens: Column, hidden: list[str]) -> Column:
-    """Token ranges (first, last) of the outermost hidden elements.
-
-    One pass with the open elements as a string, innermost first. An end tag closes the nearest element of its
-    name and all inside it, or nothing. An element never closed ends with the page.
-    """
-    start = F.struct(F.lit(">").alias("open"), F.lit(-1).alias("outside"), F.lit(-1).alias("first"),
-                     F.array().cast("array<struct<first:int,last:int>>").alias("ranges"))
-
-    def step(s: Column, t: Column) -> Column:
-        key = F.concat(F.lit(">"), t["name"], F.lit(">"))
-        after = F.when(t["kind"] != _END, F.concat(F.lit(">"), t["name"], s["open"])).when(
-            s["open"].contains(key),
-            F.substring(s["open"], F.position(key, s["open"]) + F.length(key) - 1, F.length(s["open"]))
-        ).otherwise(s["open"])
-
-        def move(now: Column) -> Column:
-            begins = (s["outside"] < 0) & (t["kind"] == _HIDES)
-            ends = (s["outside"] >= 0) & (F.length(now) <= s["outside"])
-            return F.struct(
-                now.alias("open"),
-                F.when(begins, F.length(s["open"])).when(ends, -1).otherwise(s["outside"]).alias("outside"),
-                F.when(begins, t["i"]).otherwise(s["first"]).alias("first"),
-                F.when(ends, F.concat(s["ranges"], F.array(F.struct(
-                    s["first"].alias("first"), t["i"].alias("last"))))).otherwise(s["ranges"]).alias("ranges"))
-        return let(after, move)
-
-    def finish(s: Column) -> Column:
-        return F.when(s["outside"] >= 0, F.concat(s["ranges"], F.array(F.struct(
-            s["first"].alias("first"), F.size(tokens).alias("last"))))).otherwise(s["ranges"])
-
-    return F.aggregate(_tags(tokens, hidden), start, step, finish)
+def _hidden_ranges(html: Column, hidden: list[str]) -> Column:
+    """Token ranges (first, last) of the outermost hidden elements; pages that have none are not looked at."""
+    some = rf"(?i)<(?:{'|'.join(hidden)})[\s/>]"
+    flat = outermost_column(tuple(hidden))(F.when(html.rlike(some), _codes(F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0)))))
+    return let(flat, lambda f: F.transform(
+        F.filter(f, lambda _, i: i % 2 == 0), lambda first, k: F.struct(first.alias("first"), F.get(f, 2 * k + 1).alias("last"))))
 
 
 def _without(units: Column, ranges: Column) -> Column:
@@ -180,16 +144,16 @@ def page_text(html: Column | str, remove_nav: bool = True, keep_comments: bool =
     """
     hidden = [t for t in CONTENT_TAGS if t not in ("script", "style", "embed")] + (NAV_TAGS if remove_nav else [])
 
+    html = F.coalesce(col(html), F.lit(""))
+
     def visible(found: Column) -> Column:
-        tokens = found["tokens"]
-        units = F.zip_with(found["pieces"], tokens, lambda p, t: F.concat(
+        units = F.zip_with(found["pieces"], found["tokens"], lambda p, t: F.concat(
             decode_references(p), F.when(t.isNull(), F.lit("")).otherwise(_shown(t, keep_comments))))
-        return F.array_join(let(F.struct(units.alias("u"), _hidden_ranges(tokens, hidden).alias("r")),
-                                lambda x: _without(x["u"], x["r"])), "")
+        return F.array_join(let(units, lambda u: _without(u, found["ranges"])), "")
 
-    text = let(F.coalesce(col(html), F.lit("")), lambda h: let(F.struct(
-        F.split(h, _TOKEN, -1).alias("pieces"),
-        F.regexp_extract_all(h, F.lit(_TOKEN), F.lit(0)).alias("tokens")), visible))
+    text = let(F.struct(
+        F.split(html, _TOKEN, -1).alias("pieces"), F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0)).alias("tokens"),
+        _hidden_ranges(html, hidden).alias("ranges")), visible)
     text = normalize_whitespace(text)
     text = F.regexp_replace(text, rf"(?U)\[{SPACE}*\]", "")
     return F.regexp_replace(text, rf"(?U)\({SPACE}*\)", "")
@@ -219,11 +183,6 @@ def _value(attrs: Column, name: str) -> Column:
     return decode_references(F.regexp_replace(quoted, r"""(?s)^(["'])(.*)\1$""", "$2"), unknown="keep")
 
 
-def _element_text(inner: Column) -> Column:
-    """Text nodes, each trimmed, put together without a separator."""
-    return F.array_join(F.transform(F.split(inner, _TAG, -1), lambda x: strip(decode_references(x))), "")
-
-
 def _only_string(inner: Column) -> Column:
     """Text of an element that holds one text node, bare or inside nested elements."""
     wrapped = (r"(?s)^(?:<(?!(?:br|hr|img|input|wbr)\b)[a-zA-Z][^>]*+>)*+([^<]++)"
@@ -231,28 +190,33 @@ def _only_string(inner: Column) -> Column:
     return F.nullif(F.regexp_extract(inner, wrapped, 1), F.lit(""))
 
 
+def _texts_in(m: Column, names: tuple[str, ...], least: int) -> Column:
+    """Texts of elements: their text nodes, each trimmed, put together without a separator."""
+    page = let(m, lambda m: F.struct(_codes(F.regexp_extract_all(m, F.lit(_TAG), F.lit(0))).alias("codes"), F.split(m, _TAG, -1).alias("texts")))
+    # references only ever get shorter, so what is too short undecoded is too short
+    texts = F.transform(nodes_column(names, least)(page), lambda nodes: F.array_join(
+        F.transform(nodes, lambda x: strip(decode_references(x))), ""))
+    return F.filter(texts, lambda t: F.char_length(t) >= least)
+
+
 def element_texts(html: Column | str, tag: str, min_text_length: int = MIN_TEXT_LENGTH) -> Column:
     """Texts of the elements with one tag name, in page order; short ones are dropped.
 
-    Elements nested in their own kind are read up to the first closing tag.
+    Elements are those of a tree parser: an element inside another of its kind is an element of its own and part of the
+    other's text, and one without an end tag reaches to the end of the element around it.
     """
-    inner = F.regexp_extract_all(markup(html), F.lit(rf"(?is)<{tag}\b[^>]*+>(.*?)</{tag}\s*>"), F.lit(1))
-    return F.filter(F.transform(inner, _element_text), lambda t: F.char_length(t) >= min_text_length)
+    return _texts_in(markup(html), (tag.lower(),), min_text_length)
 
 
 def page_headings(html: Column | str, min_text_length: int = MIN_TEXT_LENGTH) -> Column:
     """Heading texts, all of level 1 first, then level 2 and so on."""
-    return let(markup(html), lambda m: headings_in(m, min_text_length))
+    return headings_in(markup(html), min_text_length)
 
 
 # The functions ending in _in take the result of ``markup``, so that several can share it.
 
 def headings_in(m: Column, min_text_length: int = MIN_TEXT_LENGTH) -> Column:
-    return F.concat(*[
-        F.filter(F.transform(
-            F.regexp_extract_all(m, F.lit(rf"(?is)<h{n}\b[^>]*+>(.*?)</h{n}\s*>"), F.lit(1)),
-            _element_text), lambda t: F.char_length(t) >= min_text_length)
-        for n in range(1, 7)])
+    return _texts_in(m, tuple(f"h{n}" for n in range(1, 7)), min_text_length)
 
 
 def page_links(html: Column | str, base_url: Column | str | None = None) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siteroster.functions import html as H
 from siteroster.functions import text as T
+from siteroster.functions.fixed_values import VOID_TAGS
 from siteroster.operators import pages as P
 from siteroster.operators.rows import fan_out, unnest
 from siteroster.plans import check_sql as Q
@@ -130,13 +131,43 @@ def page_json_ld(spark, sf):
     return rows.select("page_id", "pos", F.try_variant_get("data", "$.name", "string").alias("name"))
 
 
-@query("page_elements", f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, t AS text FROM (
-    SELECT page_id, i, {Q.element_text('x')} AS t FROM (SELECT page_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (
-      SELECT page_id, regexp_extract_all(m, '(?is)<p(?:\\s[^>]*)?>(.*?)</p\\s*>', 1) AS l FROM {_M}))) WHERE length(t) >= 10""", ints="pos")
+def _elements(tag: str) -> str:
+    """Elements as a tree parser pairs them, tag by tag; ``open`` holds the numbers of the tags that are open, ``ended`` those a tag ends."""
+    code = ("CASE WHEN regexp_extract(t, '^</?([a-zA-Z][^\\s/>]*)', 1) = '' OR lower(regexp_extract(t, '^</?([a-zA-Z][^\\s/>]*)', 1)) IN "
+            f"({', '.join(Q.lit(v) for v in VOID_TAGS)}) OR (ends_with(t, '/>') AND NOT starts_with(t, '</')) THEN '' "
+            "ELSE lower(regexp_extract(t, '^(</?[a-zA-Z][^\\s/>]*)', 1))[2:] END")
+    return f"""WITH RECURSIVE page AS MATERIALIZED (
+      SELECT page_id, list_transform(regexp_extract_all(m, '<[a-zA-Z/][^>]*>'), lambda t: {code}) AS codes,
+        list_transform(regexp_split_to_array(m, '<[a-zA-Z/][^>]*>'), lambda n: {Q.strip(Q.references('n'))}) AS nodes
+      FROM {_M} WHERE lower(m) LIKE '%<{tag}%'),
+    walk AS (
+      SELECT page_id, codes, 0 AS i, []::INTEGER[] AS open, []::INTEGER[] AS ended FROM page
+      UNION ALL
+      SELECT page_id, codes, i + 1,
+        CASE WHEN i = len(codes) THEN [] WHEN hit > 0 THEN open[:hit - 1] WHEN codes[i + 1] <> '' AND codes[i + 1][1] <> '/' THEN list_append(open, i + 1) ELSE open END,
+        CASE WHEN i = len(codes) THEN open WHEN hit > 0 THEN open[hit:] ELSE [] END
+      FROM (SELECT *, CASE WHEN codes[i + 1][1] = '/' THEN coalesce(list_max(list_filter(range(1, len(open) + 1), lambda k: codes[open[k]] = codes[i + 1][2:])), 0) ELSE 0 END AS hit
+        FROM walk WHERE i <= len(codes))),
+    element AS (SELECT page_id, unnest(ended) AS first, i AS last FROM walk WHERE len(ended) > 0)
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY first) - 1 AS pos, text FROM (
+      SELECT page_id, first, array_to_string(nodes[first + 1:last], '') AS text FROM element JOIN page USING (page_id) WHERE codes[first] = '{tag}') WHERE length(text) >= 10"""
+
+
+@query("page_elements", _elements("p"), ints="pos")
 def page_elements(spark, sf):
     return P.element_rows(all_pages(spark, sf), "page_id", "p")
 
 
+@query("page_elements_div", _elements("div"), ints="pos")
+def page_elements_div(spark, sf):
+    return P.element_rows(all_pages(spark, sf), "page_id", "div")
+
+
+@query("page_elements_li", _elements("li"), ints="pos")
+def page_elements_li(spark, sf):
+    return P.element_rows(all_pages(spark, sf), "page_id", "li")
+
+
 @query("page_parse", f"""SELECT page_id, length(t) AS chars, {Q.word_count('t')} AS word_count, coalesce(n, 0) AS links FROM {_T}
     LEFT JOIN (SELECT page_id AS k, count(*) AS n FROM ({LINKS}) GROUP BY 1) ON k = page_id""", ints="chars word_count links")
 def page_parse(spark, sf):

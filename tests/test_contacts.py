@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -120,3 +122,34 @@ def test_shape_checks(evaluate):
     assert evaluate(["a@b.co", "a@b", "@b.co", "a b@c.de", None], C.is_valid_email) == [True, False, False, False, False]
     names = ["a.com", "-a.com", "a-.com", "a" * 63 + ".com", "a" * 64 + ".com", "a.c1", "localhost", None]
     assert evaluate(names, C.is_valid_domain) == [True, False, False, True, False, False, False, False]
+
+
+def test_addresses_are_those_of_the_plain_pattern(spark, evaluate):
+    """One try per run of characters finds what a try at every place finds."""
+    rng = random.Random(11)
+    made = ["".join(rng.choice("ab1._%+-@@.é  ,\nK") for _ in range(rng.randrange(60))) for _ in range(4000)]
+    made += ["éa@b.co", "é.a@b.co", "a@b.co%x@y.com", "a@b.coé.c@d.org", "_a@b.co", "._a@b.co x", "a@b@c.de", "a.b@c.de.f1", "a@b.c-d.ef_", ""]
+    folder = f"{DATA}/sf0.01"
+    texts = made + [r[0] for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect() if r[0]]
+
+    def plain(t):
+        return F.regexp_extract_all(t, F.lit(C.EMAIL), F.lit(0))
+    assert evaluate(texts, lambda v: C.email_matches(v)) == evaluate(texts, plain)
+    hits = evaluate(made, lambda v: F.transform(C._with_context(F.col(v)), lambda h: h["context"]))
+    for text, found, contexts in zip(made, evaluate(made, plain), hits):
+        at = 0
+        for address, context in zip(found, contexts):
+            at = text.index(address, at)
+            around = text[max(0, at - 30):at] + address + text[at + len(address):at + len(address) + 30]
+            at += len(address)
+            assert context == "..." + around.replace("\n", " ").strip() + "..."
+        assert len(found) == len(contexts)
+
+
+def test_long_dotted_runs_take_no_square_of_time(evaluate):
+    evaluate(["x a@b.co"], lambda v: F.struct(C.email_matches(v), F.size(C.email_hits(v))))
+    begin = time.monotonic()
+    page = "a." * 500000 + " x@y.com " + "b.c" * 1000 + "@" + "d." * 100000
+    assert evaluate([page], C.email_matches) == [["x@y.com"]]
+    assert evaluate([page], lambda v: F.size(C.email_hits(v))) == [1]
+    assert time.monotonic() - begin < 15

@@ -199,3 +199,75 @@ def test_long_runs_of_unclosed_tags_take_no_square_of_time(evaluate):
     page = "<nav>x</nav>" + "<p>" * 100000 + "<li>w" * 50000
     assert evaluate([page], lambda v: word_count(H.page_text(v))) == [50000]
     assert time.monotonic() - begin < 20
+
+
+class Tree(HTMLParser):
+    """Elements of a page with the text nodes inside, each trimmed."""
+
+    def __init__(self, names):
+        super().__init__(convert_charrefs=True)
+        self.names, self.open, self.found = names, [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in V.VOID_TAGS:
+            self.open.append((tag, []))
+            if tag in self.names:
+                self.found.append(self.open[-1])
+
+    def handle_startendtag(self, tag, attrs):
+        pass
+
+    def handle_endtag(self, tag):
+        if tag in [t for t, _ in self.open]:
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if data.strip() and not {"script", "style"} & {t for t, _ in self.open}:
+            for _, texts in self.open:
+                texts.append(data.strip())
+
+
+def elements(html, *names, least=10):
+    tree = Tree(names)
+    tree.feed(html)
+    tree.close()
+    texts = [(t, "".join(x)) for t, x in tree.found]
+    return [x for n in names for t, x in texts if t == n and len(x) >= least]
+
+
+def test_elements_that_nest_or_lack_an_end(evaluate):
+    cases = {
+        "<p>first paragraph<p>second paragraph": (["first paragraphsecond paragraph", "second paragraph"], []),
+        "<div>outer text start<div>inner text long</div>tail text long</div>": ([], ["outer text startinner text longtail text long", "inner text long"]),
+        "<div><p>one long text</div>after<p>short</p>": (["one long text"], ["one long text"]),
+        "<P>upper <B>case</B> ends</p ><p/>x<p>tiny</p>": (["uppercaseends"], []),
+        "</p></div><p>a &amp; b &lt;c&gt; and more</p>": (["a & b <c> and more"], []),
+        "<p><!-- <p>not here at all</p> -->something to read": (["something to read"], []),
+        "": ([], []),
+    }
+    assert evaluate(list(cases), lambda v: H.element_texts(v, "p")) == [p for p, _ in cases.values()]
+    assert evaluate(list(cases), lambda v: H.element_texts(v, "div")) == [d for _, d in cases.values()]
+    assert evaluate([None], lambda v: H.element_texts(v, "p")) == [[]]
+    assert evaluate(["<h1>The first heading<h2>The second one</h2><h3>x</h3>"], H.page_headings) == [["The first headingThe second onex", "The second one"]]
+
+
+def test_elements_agree_with_a_real_parser(evaluate):
+    rng = random.Random(9)
+    pages = [h for h in pd.read_parquet(f"{DATA}/sf0.01/pages.parquet")["html"] if len(h) < 20000]
+    pages = [re.sub(r"<!--.*?-->", "", broken(h, rng), flags=re.S) for h in pages]
+    levels = [f"h{n}" for n in range(1, 7)]
+    assert evaluate(pages, H.page_headings) == [elements(h, *levels) for h in pages]
+    for tag in ("p", "div", "li"):
+        assert evaluate(pages, lambda v: H.element_texts(v, tag)) == [elements(h, tag) for h in pages]
+
+
+def test_deep_and_open_tags_take_no_square_of_time(evaluate):
+    evaluate(["<nav>x</nav><p>y"], lambda v: H.page_text(v))
+    evaluate(["<p>y"], lambda v: H.element_texts(v, "p"))
+    begin = time.monotonic()
+    assert evaluate(["<nav><b>x<i></i>" * 66000], H.page_text) == [""]
+    assert evaluate(["<p>" * 333000, "<div>a</div>" * 80000], lambda v: H.element_texts(v, "p")) == [[], []]
+    assert evaluate(["<h1>" * 250000], H.page_headings) == [[]]
+    assert evaluate(["</p>" * 100000 + "<p>" * 100000 + "</div>" * 30000], lambda v: H.element_texts(v, "p")) == [[]]
+    assert time.monotonic() - begin < 20
