@@ -164,6 +164,14 @@ def mailto_hits(html: Column | str) -> Column:
     return F.when(F.lower(html).contains("mailto:"), hits).otherwise(_empty(EMAIL_STRUCT))
 
 
+def address_confidences(text: Column | str, html: Column | str) -> Column:
+    """Of each distinct address in a de-obfuscated text and in mailto links, the highest threshold that it meets."""
+    written = F.array_distinct(F.filter(F.transform(email_matches(text), F.lower), lambda e: ~is_junk_email(e)))
+    linked = F.transform(mailto_hits(html), lambda h: h["email"])
+    return let(F.struct(written.alias("w"), linked.alias("l")), lambda x: F.concat(
+        F.transform(F.array_except(x["w"], x["l"]), email_confidence), F.transform(F.array_distinct(x["l"]), lambda _: F.lit(1.0))))
+
+
 def merge_hits(text_hits: Column | str, link_hits: Column | str, remove_duplicates: bool = True) -> Column:
     """Text hits first, then link hits; of equal addresses the first stays. ``pos`` counts from 0."""
     def joined(text: Column, links: Column) -> Column:

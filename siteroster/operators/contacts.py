@@ -12,13 +12,21 @@ from siteroster.operators.rows import once, unnest
 def extract_contacts(df: DataFrame, text: str = "text", html: str | None = None, min_confidence: float = 0.0,
                      remove_duplicates: bool = True, plain_words: bool = True) -> DataFrame:
     """Add ``emails`` (array of structs), ``phone_numbers`` (array) and ``social`` (struct)."""
-    clean = once(df, {"_clean": C.deobfuscate(F.coalesce(F.col(text), F.lit("")), plain_words)})
-    hits = C.email_hits("_clean", min_confidence, remove_duplicates)
-    others = {"phone_numbers": C.phone_numbers("_clean"), "social": C.social_links("_clean", html)}
     if html is None:
-        return once(clean, {"emails": hits, **others}).drop("_clean")
-    found = once(clean, {"_hits": hits, "_mailto": C.mailto_hits(F.coalesce(F.col(html), F.lit(""))), **others})
-    return once(found, {"emails": C.merge_hits("_hits", "_mailto", remove_duplicates)}).drop("_clean", "_hits", "_mailto")
+        clean = once(df, {"_clean": C.deobfuscate(F.coalesce(F.col(text), F.lit("")), plain_words)})
+        return once(clean, {"emails": C.email_hits("_clean", min_confidence, remove_duplicates), "phone_numbers": C.phone_numbers("_clean"),
+                            "social": C.social_links("_clean")}).drop("_clean")
+    found = contact_parts(df, text, html, min_confidence, remove_duplicates, plain_words)
+    return once(found, {"emails": C.merge_hits("text_hits", "link_hits", remove_duplicates)}).drop("text_hits", "link_hits")
+
+
+def contact_parts(df: DataFrame, text: str = "text", html: str = "html", min_confidence: float = 0.0,
+                  remove_duplicates: bool = True, plain_words: bool = True) -> DataFrame:
+    """As ``extract_contacts``, with the addresses of the text and of mailto links apart: ``text_hits``, ``link_hits``."""
+    clean = once(df, {"_clean": C.deobfuscate(F.coalesce(F.col(text), F.lit("")), plain_words)})
+    return once(clean, {
+        "text_hits": C.email_hits("_clean", min_confidence, remove_duplicates), "link_hits": C.mailto_hits(F.coalesce(F.col(html), F.lit(""))),
+        "phone_numbers": C.phone_numbers("_clean"), "social": C.social_links("_clean", html)}).drop("_clean")
 
 
 def email_rows(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from siteroster.functions import html as H
 from siteroster.functions.categories import business_type
 from siteroster.functions.fixed_values import REPORT_CONTEXT_CHARS
 from siteroster.functions.urls import netloc
-from siteroster.operators.contacts import extract_contacts
+from siteroster.operators.contacts import contact_parts, extract_contacts
 from siteroster.operators.pages import page_ok
 from siteroster.operators.rows import once
 
@@ -18,13 +18,16 @@ REPORT_COLUMNS = ["email", "source_url", "domain", "confidence", "context", "pho
                   "business_label", *NETWORKS]
 
 
-def page_contacts(pages: DataFrame, min_confidence: float = 0.7, with_links: bool = False) -> DataFrame:
+def page_parts(pages: DataFrame) -> DataFrame:
+    """Contacts and business label of each page that was fetched well, addresses of text and links apart."""
+    text = once(page_ok(pages), {"text": H.page_text("html")})
+    return once(contact_parts(text), {"business_label": business_type("text")}).drop("text", "html")
+
+
+def page_contacts(pages: DataFrame, min_confidence: float = 0.7) -> DataFrame:
     """Contacts and business label of each page that was fetched well."""
     text = once(page_ok(pages), {"text": H.page_text("html")})
-    columns = {"business_label": business_type("text")}
-    if with_links:
-        columns["links"] = H.page_links("html", "url")
-    return once(extract_contacts(text, "text", "html", min_confidence), columns).drop("text", "html")
+    return once(extract_contacts(text, "text", "html", min_confidence), {"business_label": business_type("text")}).drop("text", "html")
 
 
 def report_rows(found: DataFrame, keep: list[str] | None = None, limit: Column | str | None = None) -> DataFrame:

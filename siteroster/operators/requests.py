@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from siteroster.functions.fixed_values import MODES, NO_CONTACTS_ERROR, NO_URLS_ERROR, OUTPUT_FORMATS
 from siteroster.functions.urls import extract_urls, is_valid_url
 from siteroster.operators.rows import once, unnest
+from siteroster.operators.walk import site_walk, walk_counts
+from siteroster.session import durable
 
 REQUEST_SCHEMA = (
     "job_id string, input_data string, mode string, output_formats array<string>, "
@@ -50,17 +52,28 @@ def validate_requests(requests: DataFrame) -> DataFrame:
     return fill_defaults(requests).withColumn("errors", errors).withColumn("valid", F.size("errors") == 0)
 
 
-def request_seeds(requests: DataFrame, text: str = "input_data") -> DataFrame:
-    """Valid target URLs of each request: (job_id, seed, mode)."""
-    return unnest(requests, ["job_id", "mode"], extract_urls(text), "seed").filter(
-        is_valid_url("seed")).select("job_id", "seed", "mode")
+def request_seeds(requests: DataFrame) -> DataFrame:
+    """Target URLs of valid requests with their settings: (job_id, seed, mode, min_confidence, respect_robots)."""
+    valid = validate_requests(requests).filter("valid")
+    settings = [F.col("ai_settings.min_confidence").alias("min_confidence"), F.col("config.respect_robots_txt").alias("respect_robots")]
+    return unnest(valid, ["job_id", "mode", *settings], extract_urls("input_data"), "seed").filter(
+        is_valid_url("seed")).select("job_id", "seed", "mode", "min_confidence", "respect_robots")
 
 
-def job_summary(requests: DataFrame, report: DataFrame, text: str = "input_data") -> DataFrame:
-    """contacts_found, status and error per job. ``report`` has a job_id per row."""
-    counts = report.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
-    targets = once(requests, {"_targets": F.size(F.filter(extract_urls(text), is_valid_url))})
-    error = F.when(F.col("_targets") == 0, F.lit(NO_URLS_ERROR)).when(F.col("n").isNull(), F.lit(NO_CONTACTS_ERROR))
-    return targets.join(counts, "job_id", "left").withColumn("error", error).select(
-        "job_id", F.coalesce("n", F.lit(0)).alias("contacts_found"),
-        F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status"), "error")
+def job_summary(requests: DataFrame, found: DataFrame) -> DataFrame:
+    """contacts_found, status and error per request; ``found`` is (job_id, n).
+
+    A request that breaks a rule is ``rejected`` and never becomes a job; its error names the fields.
+    """
+    targets = once(validate_requests(requests), {"_targets": F.size(F.filter(extract_urls("input_data"), is_valid_url))})
+    error = (F.when(~F.col("valid"), F.concat_ws(",", "errors")).when(F.col("_targets") == 0, F.lit(NO_URLS_ERROR))
+             .when(F.coalesce("n", F.lit(0)) == 0, F.lit(NO_CONTACTS_ERROR)))
+    status = F.when(~F.col("valid"), "rejected").when(F.col("error").isNull(), "completed").otherwise("failed")
+    return targets.join(found.select("job_id", "n"), "job_id", "left").withColumn("error", error).select(
+        "job_id", F.coalesce("n", F.lit(0)).alias("contacts_found"), status.alias("status"), "error")
+
+
+def run_jobs(requests: DataFrame, pages: DataFrame, robots: DataFrame | None = None, captured: str | None = None) -> DataFrame:
+    """Walk every valid request from its own targets, with its own mode, threshold and robots switch, and sum up."""
+    visits = durable(site_walk(request_seeds(requests), pages, robots, captured=captured), "visits")
+    return job_summary(requests, walk_counts(visits, pages, captured))

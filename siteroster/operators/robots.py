@@ -75,7 +75,12 @@ def robots_filter(urls: DataFrame, robots: DataFrame, url: str = "url", agent: s
     """
     spread_by = spread_by or [f.name for f in urls.schema.fields if f.name != "html" and f.dataType.typeName() in (
         "string", "long", "integer", "timestamp", "timestamp_ntz", "date")]
-    rules = robots_rules(robots, agent).select(F.col("host").alias("_host"), "rules")
+    return apply_rules(urls, robots_rules(robots, agent), url, spread_by)
+
+
+def apply_rules(urls: DataFrame, rules: DataFrame, url: str, spread_by: list[str]) -> DataFrame:
+    """``robots_filter`` with rules that are read already."""
+    rules = rules.select(F.col("host").alias("_host"), "rules")
     target = _unquote(F.concat(full_path(url), F.when(query(url) != "", F.concat(F.lit("?"), query(url))).otherwise("")))
     keyed = urls.withColumns({"_host": netloc(url), "_target": F.when(target == "", F.lit("/")).otherwise(target)})
     joined = skew_safe_lookup(keyed, rules, "_host", spread_by=spread_by)

@@ -21,8 +21,13 @@ from siteroster.sources.readers import read_table
 _CLEAN = f"clean AS (SELECT doc_id, {Q.deobfuscate('text')} AS t FROM documents)"
 _MATCHES = (f"matches AS (SELECT doc_id, pos - 1 AS pos, lower(m) AS email FROM (SELECT doc_id, unnest(l) AS m, generate_subscripts(l, 1) AS pos "
             f"FROM (SELECT doc_id, {Q.email_matches('t')} AS l FROM clean)))")
-_PAGE_CLEAN = (f"p AS (SELECT page_id, url, html, {Q.page_text('html')} AS t FROM {ALL_PAGES} WHERE status_code = 200), "
-               f"pc AS (SELECT page_id, url, html, t, {Q.deobfuscate('t')} AS c FROM p)")
+def page_clean(source: str) -> str:
+    """CTEs ending in ``pc`` (page_id, url, html, t, c) of good pages: visible text and its de-obfuscated form."""
+    return (f"p AS (SELECT page_id, url, html, {Q.page_text('html')} AS t FROM {source} WHERE status_code = 200 AND html <> ''), "
+            f"pc AS MATERIALIZED (SELECT page_id, url, html, t, {Q.deobfuscate('t')} AS c FROM p)")
+
+
+_PAGE_CLEAN = page_clean(ALL_PAGES)
 
 
 def documents(spark, sf):

@@ -12,15 +12,16 @@ from siteroster.operators import requests as R
 from siteroster.operators import robots as RB
 from siteroster.operators import tables as O
 from siteroster.operators.report import NETWORKS, contact_report, page_contacts
-from siteroster.operators.rows import fan_out, unnest
-from siteroster.operators.walk import crawl_report, page_facts, site_walk
+from siteroster.operators.rows import unnest
+from siteroster.operators.walk import crawl_report, site_walk
 from siteroster.plans import check_sql as Q
-from siteroster.plans.contact_queries import _PAGE_CLEAN
+from siteroster.plans.contact_queries import _PAGE_CLEAN, page_clean
 from siteroster.plans.derived import (
-    ADMISSION_LOG, BLOCK_LOG, CONTACT_PAGES, CRAWL_LOG, REQUESTS, ROBOTS_PAGES, SEEDS, derive, table_sql,
+    ADMISSION_LOG, BLOCK_LOG, CONTACT_PAGES, CRAWL_LOG, OLD_PAGES, PAGE_SEEDS, RAW_PAGES, REQUESTS, ROBOTS_PAGES, SEEDS, SITE_ROBOTS,
+    derive, table_sql,
 )
-from siteroster.plans.page_queries import LINKS, all_pages
-from siteroster.plans.registry import query
+from siteroster.plans.page_queries import ALL_PAGES, LINKS, all_pages
+from siteroster.plans.registry import CHECKS, query
 from siteroster.sources.readers import read_table
 
 _LOG = f"log AS ({table_sql(CRAWL_LOG)})"
@@ -172,6 +173,7 @@ def cap_pages(spark, sf):
 
 
 _REPORT_PARTS = f"{_PAGE_CLEAN}, {Q.contact_ctes('pc', 'page_id', 'c', 'html')}, {Q.phone_ctes('pc', 'page_id', 'c')}"
+_SHARED = f"{Q.phone_ctes('pc', 'page_id', 'c')}"
 _LABELS = (f"nums AS (SELECT page_id, string_agg(phone, ', ' ORDER BY pos) AS numbers FROM phone_rows GROUP BY 1), "
            f"labels AS (SELECT pc.page_id, url, html, coalesce(numbers, '') AS phone_numbers, {Q.business_label('t')} AS business_label FROM pc "
            f"LEFT JOIN nums USING (page_id)), "
@@ -228,58 +230,88 @@ def robots_delay(spark, sf):
 
 # --- walks ---------------------------------------------------------------------------------------
 
-_OWN = "CASE WHEN {u} LIKE '%://%' THEN split_part({u}, '/', 3) ELSE '' END"
+_CAPTURES = " UNION ALL ".join(f"SELECT page_id, url, html, status_code, {when} AS captured FROM ({table_sql(d)})"
+                               for d, when in ((RAW_PAGES, "1"), (CONTACT_PAGES, "1"), (OLD_PAGES, "captured")))
+_LATEST = f"(SELECT * FROM ({_CAPTURES}) QUALIFY row_number() OVER (PARTITION BY url ORDER BY captured DESC, html DESC) = 1)"
+_ALLOWED = f"""CASE WHEN regexp_matches(url, '^https://site[0-9]+[.]com') THEN CASE CAST(regexp_extract(url, '^https://site([0-9]+)', 1) AS BIGINT) % 3
+    WHEN 0 THEN NOT starts_with({_PATHQ}, '/p1') WHEN 1 THEN starts_with({_PATHQ}, '/p2') OR NOT starts_with({_PATHQ}, '/p') ELSE true END
+    ELSE CASE {_SHAPE} WHEN 0 THEN NOT starts_with({_PATHQ}, '/en/') WHEN 1 THEN starts_with({_PATHQ}, '/en/6') OR NOT (starts_with({_PATHQ}, '/en/')
+    OR starts_with({_PATHQ}, '/fr/')) ELSE true END END"""
 
 
-def _walk(seeds: str) -> str:
-    """CTEs ending in ``walk``; ``seeds`` selects (job_id, seed, mode), each once."""
-    return f"""{_REPORT_PARTS},
-    counts AS (SELECT page_id, count(*) AS n FROM found GROUP BY 1),
-    linked AS (SELECT page_id, list(target ORDER BY pos) AS links FROM ({LINKS}) WHERE {Q.part('target', 2)} = {Q.part('url', 2)} GROUP BY 1),
-    facts AS (SELECT pc.page_id, pc.url, coalesce(n, 0) AS n, coalesce(links, []::VARCHAR[]) AS links FROM pc LEFT JOIN counts USING (page_id) LEFT JOIN linked USING (page_id)
-      WHERE page_id >= 1000000),
+def _links_of(source: str) -> str:
+    return LINKS.replace(ALL_PAGES, source)
+
+
+def _walk(seeds: str, threshold: float) -> str:
+    """CTEs ending in ``walk``; ``seeds`` selects (job_id, seed, mode, min_conf, respect), each once; none is under ``threshold``."""
+    return f"""{page_clean(_LATEST)}, {Q.contact_ctes('pc', 'page_id', 'c', 'html', threshold)}, {_SHARED},
+    sure AS (SELECT page_id, list(c) AS confs FROM (SELECT page_id, email, max(confidence) AS c FROM both_kinds GROUP BY 1, 2) GROUP BY 1),
+    linked AS (SELECT page_id, list(target ORDER BY pos) AS links FROM ({_links_of(_LATEST)}) WHERE {Q.part('target', 2)} = {Q.part('url', 2)} GROUP BY 1),
+    facts AS MATERIALIZED (SELECT pc.page_id, pc.url, coalesce(confs, []::DOUBLE[]) AS confs, coalesce(links, []::VARCHAR[]) AS links, {_ALLOWED} AS allowed
+      FROM pc LEFT JOIN sure USING (page_id) LEFT JOIN linked USING (page_id)),
     walk AS (
-      SELECT job_id, seed, mode, [seed] AS queue, []::VARCHAR[] AS visited, 0::BIGINT AS mails, 0 AS visit, ''::VARCHAR AS url, false AS ok, 0::BIGINT AS taken
+      SELECT job_id, seed, mode, min_conf, respect, [seed] AS queue, []::VARCHAR[] AS visited, 0::BIGINT AS mails, 0 AS visit, ''::VARCHAR AS url, false AS ok, 0::BIGINT AS taken
       FROM ({seeds})
       UNION ALL
-      SELECT job_id, seed, mode, list_concat(list_concat(rest, fb), list_filter(CASE WHEN mode = 'deep' AND ok AND mails + taken < 5 THEN links ELSE []::VARCHAR[] END,
+      SELECT job_id, seed, mode, min_conf, respect, list_concat(list_concat(rest, fb), list_filter(CASE WHEN mode = 'deep' AND ok AND mails + taken < 5 THEN links ELSE []::VARCHAR[] END,
           lambda x: NOT list_contains(visited, x) AND x <> url AND NOT list_contains(rest, x) AND NOT list_contains(fb, x))),
         list_append(visited, url), mails + taken, visit + 1, url, ok, taken
       FROM (SELECT *, CASE WHEN visit = 0 AND taken = 0 AND root <> url AND NOT list_contains(visited, root) AND NOT list_contains(rest, root) THEN [root] ELSE []::VARCHAR[] END AS fb
-        FROM (SELECT job_id, seed, mode, w.queue[2:] AS rest, visited, mails, visit, w.queue[1] AS url, f.url IS NOT NULL AS ok, least(coalesce(f.n, 0), 5 - mails) AS taken,
-            regexp_extract(w.queue[1], '^(https?://[^/?#]*)', 1) AS root, f.links AS links
-          FROM walk w LEFT JOIN facts f ON f.url = w.queue[1] WHERE len(w.queue) > 0 AND visit < 15 AND mails < 5)))"""
+        FROM (SELECT job_id, seed, mode, min_conf, respect, rest, visited, mails, visit, url, ok, root, links, CASE WHEN ok THEN least(len(list_filter(confs, lambda c: c >= min_conf)), 5 - mails) ELSE 0 END AS taken
+          FROM (SELECT job_id, seed, mode, min_conf, respect, w.queue[2:] AS rest, visited, mails, visit, w.queue[1] AS url, f.url IS NOT NULL AND (f.allowed OR NOT respect) AS ok,
+              regexp_extract(w.queue[1], '^(https?://[^/?#]*)', 1) AS root, f.links AS links, f.confs AS confs
+            FROM walk w LEFT JOIN facts f ON f.url = w.queue[1] WHERE len(w.queue) > 0 AND visit < 15 AND mails < 5))))"""
+
+
+_WALK = _walk(f"SELECT DISTINCT job_id, seed, mode, 0.7::DOUBLE AS min_conf, true AS respect FROM ({table_sql(SEEDS, PAGE_SEEDS)})", 0.7)
+
+
+def captures(spark, sf):
+    """The given pages and those of the shops, the latter from two times: (page_id, url, html, status_code, captured)."""
+    once = derive(spark, sf, RAW_PAGES, CONTACT_PAGES).withColumn("captured", F.lit(1))
+    return once.unionByName(derive(spark, sf, OLD_PAGES)).drop("page_id")
 
 
-_WALK = _walk(f"SELECT DISTINCT job_id, seed, mode FROM ({table_sql(SEEDS)})")
+def _seeds(spark, sf):
+    return derive(spark, sf, SEEDS, PAGE_SEEDS)
 
 
-def _site_pages(spark, sf):
-    return fan_out(derive(spark, sf, CONTACT_PAGES))
+def _all_robots(spark, sf):
+    return derive(spark, sf, ROBOTS_PAGES, SITE_ROBOTS).distinct()
+
+
+def _visits(spark, sf):
+    return site_walk(_seeds(spark, sf), captures(spark, sf), _all_robots(spark, sf), captured="captured")
 
 
 @query("frontier_bfs", f"WITH RECURSIVE {_WALK} SELECT job_id, seed, visit, url, ok, taken FROM walk WHERE visit > 0", ints="taken")
 def frontier_bfs(spark, sf):
-    found = page_contacts(_site_pages(spark, sf), with_links=True)
-    return site_walk(derive(spark, sf, SEEDS), page_facts(found))
+    return _visits(spark, sf).drop("min_confidence")
 
 
 @query("frontier_fallback", f"""WITH RECURSIVE {_WALK} SELECT job_id, seed, url, ok FROM (SELECT *, max(CASE WHEN visit = 1 THEN taken END) OVER (PARTITION BY job_id, seed) AS first_taken
     FROM walk WHERE visit > 0) WHERE visit = 2 AND first_taken = 0 AND url = regexp_extract(seed, '^(https?://[^/?#]*)', 1)""")
 def frontier_fallback(spark, sf):
     """Visits of a root because the seed itself gave nothing; in every mode."""
-    found = page_contacts(_site_pages(spark, sf), with_links=True)
-    visits = site_walk(derive(spark, sf, SEEDS), page_facts(found))
     # a seed has 15 visits at most
     first = F.max(F.when(F.col("visit") == 1, F.col("taken"))).over(Window.partitionBy("job_id", "seed"))
     fallback = (F.col("visit") == 2) & (F.col("first_taken") == 0) & (F.col("url") == url_root("seed"))
-    return visits.withColumn("first_taken", first).filter(fallback).select("job_id", "seed", "url", "ok")
+    return _visits(spark, sf).withColumn("first_taken", first).filter(fallback).select("job_id", "seed", "url", "ok")
 
 
 @query("crawl_report", f"""WITH RECURSIVE {_WALK}, {_LABELS}, {_REPORT_ROWS}
-    SELECT job_id, seed, visit, {_COLUMNS} FROM walk JOIN rows ON source_url = walk.url AND page_id >= 1000000 WHERE visit > 0 AND ok AND (pos < taken OR email = '')""")
+    SELECT job_id, seed, visit, {_COLUMNS} FROM walk JOIN rows ON source_url = walk.url WHERE visit > 0 AND ok AND (pos < taken OR email = '')""")
 def crawl(spark, sf):
-    return crawl_report(_site_pages(spark, sf), derive(spark, sf, SEEDS))
+    return crawl_report(captures(spark, sf), _seeds(spark, sf), _all_robots(spark, sf), captured="captured")
+
+
+@query("visit_cap", f"""WITH RECURSIVE {_WALK} SELECT job_id, seed, max(visit) AS pages_visited, max(visit) = 15 AS capped, sum(taken) AS addresses
+    FROM walk WHERE visit > 0 GROUP BY 1, 2""", ints="pages_visited", longs="addresses")
+def visit_cap(spark, sf):
+    """Pages and addresses of each seed, and whether the cap on pages ended its walk or could have."""
+    return _visits(spark, sf).groupBy("job_id", "seed").agg(
+        F.max("visit").alias("pages_visited"), (F.max("visit") == 15).alias("capped"), F.sum("taken").alias("addresses"))
 
 
 # --- requests and jobs ----------------------------------------------------------------------------
@@ -291,7 +323,7 @@ def _requests(spark, sf):
     return derive(spark, sf, REQUESTS).select(
         "job_id", "input_data", "mode", F.array(F.lit("csv"), F.col("format")).alias("output_formats"),
         F.struct(F.col("max_urls").alias("max_urls_per_domain"), "max_depth", F.col("timeout").alias("request_timeout"),
-                 F.lit(True).alias("respect_robots_txt"), F.lit(None).cast("string").alias("user_agent_alias")).alias("config"),
+                 F.col("respect").alias("respect_robots_txt"), F.lit(None).cast("string").alias("user_agent_alias")).alias("config"),
         F.struct(F.lit(None).cast("boolean").alias("enabled"), F.col("min_conf").alias("min_confidence"),
                  F.lit(True).alias("categorize_emails")).alias("ai_settings"))
 
@@ -308,15 +340,19 @@ def request_validate(spark, sf):
 
 _TARGETS = (f"list_filter(list_transform(regexp_extract_all(input_data, {Q.lit('(' + Q.URL + ')')}, 1), lambda u: {Q.clean_url('u')}), "
             f"lambda u: u IS NOT NULL)")
-_JOB_SEEDS = f"SELECT DISTINCT job_id, seed, mode FROM (SELECT job_id, mode, unnest({_TARGETS}) AS seed FROM {_REQ})"
-
-
-@query("job_summary", f"""WITH RECURSIVE {_walk(_JOB_SEEDS)}, {_LABELS}, {_REPORT_ROWS},
-    got AS (SELECT job_id, count(*) AS n FROM walk JOIN rows ON source_url = walk.url AND page_id >= 1000000 WHERE visit > 0 AND ok AND (pos < taken OR email = '') GROUP BY 1),
-    job AS (SELECT job_id, len({_TARGETS}) AS targets, coalesce(n, 0) AS n FROM {_REQ} LEFT JOIN got USING (job_id))
-    SELECT job_id, n AS contacts_found, CASE WHEN n > 0 THEN 'completed' ELSE 'failed' END AS status,
-    CASE WHEN targets = 0 THEN {Q.lit(NO_URLS_ERROR)} WHEN n = 0 THEN {Q.lit(NO_CONTACTS_ERROR)} END AS error FROM job""")
+_VALID = """length(input_data) >= 5 AND coalesce(mode, 'quick') IN ('quick', 'deep', 'custom') AND format IN ('csv', 'xlsx', 'json')
+    AND coalesce(max_urls, 10) BETWEEN 1 AND 50 AND max_depth BETWEEN 1 AND 5 AND timeout BETWEEN 5 AND 60 AND coalesce(min_conf, 0.7) BETWEEN 0 AND 1"""
+_JOB_SEEDS = (f"SELECT DISTINCT job_id, seed, coalesce(mode, 'quick') AS mode, coalesce(min_conf, 0.7::DOUBLE) AS min_conf, coalesce(respect, true) AS respect "
+              f"FROM (SELECT *, unnest({_TARGETS}) AS seed FROM {_REQ} WHERE {_VALID})")
+
+
+@query("job_summary", f"""WITH RECURSIVE {_walk(_JOB_SEEDS, 0.0)},
+    got AS (SELECT job_id, sum(CASE WHEN taken > 0 THEN taken WHEN page_id IN (SELECT page_id FROM phone_rows) THEN 1 ELSE 0 END) AS n
+      FROM walk JOIN facts ON facts.url = walk.url WHERE visit > 0 AND ok GROUP BY 1),
+    bad AS ({CHECKS['request_validate']}),
+    job AS (SELECT r.job_id, errors, len({_TARGETS}) AS targets, coalesce(n, 0) AS n FROM {_REQ} r JOIN bad USING (job_id) LEFT JOIN got USING (job_id))
+    SELECT job_id, n AS contacts_found, CASE WHEN errors <> '' THEN 'rejected' WHEN n > 0 THEN 'completed' ELSE 'failed' END AS status,
+    CASE WHEN errors <> '' THEN errors WHEN targets = 0 THEN {Q.lit(NO_URLS_ERROR)} WHEN n = 0 THEN {Q.lit(NO_CONTACTS_ERROR)} END AS error FROM job""", longs="contacts_found")
 def job_summary(spark, sf):
-    """Each job walks from its own targets in its own mode; what the walk reports is counted."""
-    requests = _requests(spark, sf)
-    return R.job_summary(requests, crawl_report(_site_pages(spark, sf), R.request_seeds(requests)))
+    """Each valid request walks from its own targets with its own settings; what the walk would report is counted."""
+    return R.run_jobs(_requests(spark, sf), captures(spark, sf), _all_robots(spark, sf), "captured")

@@ -67,12 +67,23 @@ CONTACT_PAGES = ("customer", {
 
 RAW_PAGES = ("pages", {"page_id": "page_id", "url": "url", "html": "html", "status_code": "200"})
 
+# Captures of the same pages from another time; every tenth is the later one.
+OLD_PAGES = ("customer", {
+    "page_id": "c_custkey + 2000000",
+    "url": CONTACT_PAGES[1]["url"],
+    "html": f"'<p>Write to old' || c_custkey || '@old' || {_SITE} || '.com</p><a href=\"/p' || (3 * {_PAGE} + 1) || '\">one</a>'",
+    "status_code": "CASE WHEN c_custkey % 17 = 0 THEN 500 ELSE 200 END",
+    "captured": "CAST(CASE WHEN c_custkey % 10 = 3 THEN 2 ELSE 0 END AS INT)",
+})
+
 SEEDS = ("customer", {
     "job_id": f"'job-' || {_SITE}",
     "seed": f"CASE WHEN {_PAGE} = 0 THEN {_HOME} || '/' ELSE {_HOME} || '/p' || {_PAGE} END",
     "mode": "CASE WHEN c_custkey % 4 = 0 THEN 'quick' ELSE 'deep' END",
 })
 
+PAGE_SEEDS = ("pages", {"job_id": "'pages-' || (page_id % 7)", "seed": "url", "mode": "CASE WHEN page_id % 3 = 0 THEN 'quick' ELSE 'deep' END"})
+
 URL_TEXTS = ("pages", {
     "page_id": "page_id",
     "text": (
@@ -129,7 +140,16 @@ REQUESTS = ("customer", {
     "max_urls": "CAST(CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_custkey % 60 END AS INT)",
     "max_depth": "CAST(c_custkey % 7 AS INT)",
     "timeout": "CAST(c_custkey % 70 AS INT)",
-    "min_conf": "CASE WHEN c_custkey % 9 = 0 THEN 1.5 ELSE 0.5 END",
+    "min_conf": "CAST(CASE WHEN c_custkey % 9 = 0 THEN 1.5 WHEN c_custkey % 3 = 1 THEN 0.75 WHEN c_custkey % 3 = 2 THEN 0.5 END AS DOUBLE)",
+    "respect": "CASE c_custkey % 4 WHEN 0 THEN true WHEN 1 THEN false END",
+})
+
+# A robots.txt for each of the made-up shops.
+SITE_ROBOTS = ("customer", {
+    "host": f"'site' || {_SITE} || '.com'",
+    "status_code": "200",
+    "body": (f"CASE {_SITE} % 3 WHEN 0 THEN 'User-agent: *' || chr(10) || 'Disallow: /p1' WHEN 1 THEN 'User-agent: *' || chr(10) || 'Allow: /p2' "
+             f"|| chr(10) || 'Disallow: /p' ELSE '' END"),
 })
 
 # One robots.txt per host of the captured pages, in five shapes.

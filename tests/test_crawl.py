@@ -1,9 +1,11 @@
+import json
 import random
 from datetime import datetime, timedelta
 from urllib.parse import urlsplit
 from urllib.robotparser import RobotFileParser
 
 import pytest
+from pyspark.sql import functions as F
 
 from siteroster.operators import budgets as B
 from siteroster.operators import requests as R
@@ -16,26 +18,45 @@ random.seed(3)
 
 # --- walks --------------------------------------------------------------------------------------
 
-def plain_walk(seed, mode, pages, max_pages=15, max_emails=5):
-    """First in, first out; ``pages`` maps url -> (emails, links)."""
+def plain_walk(seed, mode, pages, least=0.7, respect=True, refused=frozenset(), max_pages=15, max_emails=5):
+    """First in, first out; ``pages`` maps url -> (confidences, links). Rows are (url, ok, addresses taken)."""
     queue, seen, mails = [seed], [], 0
     while queue and len(seen) < max_pages and mails < max_emails:
         url = queue.pop(0)
-        n, links = pages.get(url, (None, []))
-        taken = min(n or 0, max_emails - mails)
-        seen.append((url, n is not None, taken))
+        ok = url in pages and not (respect and url in refused)
+        sure, links = pages[url] if ok else ([], [])
+        taken = min(sum(c >= least for c in sure), max_emails - mails)
+        seen.append((url, ok, taken))
         mails += taken
         known = {u for u, _, _ in seen} | set(queue)
         root = "{0.scheme}://{0.netloc}".format(urlsplit(url))
         if len(seen) == 1 and taken == 0 and root not in known:
             queue.append(root)
-        if mode == "deep" and n is not None and mails < max_emails:
+        if mode == "deep" and mails < max_emails:
             for link in links:
                 if urlsplit(link).netloc == urlsplit(url).netloc and link not in {u for u, _, _ in seen} | set(queue):
                     queue.append(link)
     return seen
 
 
+def walked(visits):
+    got = {}
+    for r in visits.orderBy("visit").collect():
+        got.setdefault((r.job_id, r.seed), []).append((r.url, r.ok, r.taken))
+    return got
+
+
+def plain_facts(df, max_pages):
+    """Pages of a test bring their facts along, as JSON."""
+    return df.select("url", F.from_json("html", "c array<double>, l array<string>").alias("f")).select(
+        "url", F.col("f.c").alias("confidences"), F.col("f.l").alias("links"))
+
+
+def as_pages(spark, pages):
+    rows = [(u, json.dumps({"c": c, "l": links}), 200) for u, (c, links) in pages.items()]
+    return spark.createDataFrame(rows, "url string, html string, status_code int")
+
+
 def test_walk_agrees_with_a_plain_queue(spark):
     pages, seeds = {}, []
     for site in range(60):
@@ -43,25 +64,92 @@ def test_walk_agrees_with_a_plain_queue(spark):
         names = [host] + [f"{host}/p{i}" for i in range(size)]
         for name in names:
             if random.random() < 0.85:
-                links = [random.choice(names + ["http://other.net/", host + "/"]) for _ in range(random.choice([0, 2, 5, 60]))]
-                pages[name] = (random.choice([0, 0, 0, 0, 1, 2, 7]), list(dict.fromkeys(links)))
+                links = [random.choice(names + [host + "/"]) for _ in range(random.choice([0, 2, 5, 30]))]
+                pages[name] = ([1.0] * random.choice([0, 0, 0, 0, 1, 2, 7]), list(dict.fromkeys(links)))
         seeds += [(f"j{site}", random.choice(names), random.choice(["deep", "deep", "quick"])) for _ in range(3)]
     seeds = list({(j, s): (j, s, m) for j, s, m in seeds}.values())
-    found = spark.createDataFrame([(u, ["m"] * n, links) for u, (n, links) in pages.items()], "url string, emails array<string>, links array<string>")
-    visits = site_walk(spark.createDataFrame(seeds, "job_id string, seed string, mode string"), page_facts(found))
-    got = {}
-    for r in visits.orderBy("visit").collect():
-        got.setdefault((r.job_id, r.seed), []).append((r.url, r.ok, r.taken))
-    assert got == {(j, s): plain_walk(s, m, pages) for j, s, m in seeds}
+    visits = site_walk(spark.createDataFrame(seeds, "job_id string, seed string, mode string"), as_pages(spark, pages), facts=plain_facts)
+    assert walked(visits) == {(j, s): plain_walk(s, m, pages) for j, s, m in seeds}
 
 
 def test_many_seeds_asking_for_one_page(spark):
-    found = spark.createDataFrame([("http://a.com", ["m"], []), ("http://b.com", [], [])], "url string, emails array<string>, links array<string>")
+    pages = as_pages(spark, {"http://a.com": ([1.0], []), "http://b.com": ([], [])})
     seeds = spark.createDataFrame([(f"j{i}", "http://a.com/x" if i % 3 else "http://b.com", "quick") for i in range(300)], "job_id string, seed string, mode string")
-    visits = site_walk(seeds, page_facts(found), hot_rows=20)
+    visits = site_walk(seeds, pages, hot_rows=20, facts=plain_facts)
     assert visits.filter("url = 'http://a.com' AND ok AND visit = 2").count() == 200 and visits.count() == 500
 
 
+def shop(rng, host):
+    """A site of real pages: url -> (html, addresses with confidence, phone?, links)."""
+    names, out = [host] + [f"{host}/p{i}" for i in range(rng.choice([2, 6, 20]))], {}
+    for url in names:
+        if rng.random() < 0.1:
+            continue
+        # gmail loses 0.3, short names 0.1
+        mails = rng.sample([("sales@x.org", 1.0), ("ab@x.org", 0.9), ("office@gmail.com", 0.7), ("me@gmail.com", 0.6), ("info@example.com", None)], rng.choice([0, 0, 1, 2, 5]))
+        linked = rng.sample([("office@gmail.com", 1.0), ("desk@x.org", 1.0)], rng.choice([0, 0, 0, 1]))
+        links, phone = rng.sample(names, min(len(names), rng.choice([0, 1, 3]))), rng.random() < 0.4
+        html = (f"<nav>menu</nav><p>Write to {' or '.join(m for m, _ in mails)} today</p>" + ("<p>Call +1 (555) 010-2030</p>" if phone else "")
+                + "".join(f'<a href="mailto:{m}">mail</a>' for m, _ in linked) + "".join(f'<a href="{u}">x</a>' for u in links))
+        sure = {m: c for m, c in mails if c} | dict(linked)
+        out[url] = (html, list(sure.values()), phone, links)
+    return out
+
+
+def test_jobs_agree_with_a_plain_run(spark):
+    """Threshold, mode, robots switch and validity of 500 requests, over captures of which the latest holds."""
+    rng = random.Random(5)
+    sites = {f"https://shop{i}.com": shop(rng, f"https://shop{i}.com") for i in range(25)}
+    robots = [(f"shop{i}.com", 200, "User-agent: *\nDisallow: /p1") for i in range(0, 25, 2)]
+    rows = [(u, p[0], 200, 2) for s in sites.values() for u, p in s.items()]
+    rows += [(u, "<p>older stale@x.org</p>", 200, rng.choice([0, 1])) for u, *_ in rows] + [("https://shop1.com/gone", "<p>was@x.org</p>", 200, 1), ("https://shop1.com/gone", "", 404, 3)]
+    pages = spark.createDataFrame(rows, "url string, html string, status_code int, captured int")
+    requests, expected = [], {}
+    for i in range(500):
+        seeds = sorted({f"https://shop{rng.randrange(25)}.com{rng.choice(['', '/p1', '/p3', '/p99'])}" for _ in range(rng.choice([0, 1, 2]))})
+        mode, least = rng.choice(["quick", "deep", "custom", None, "turbo"]), rng.choice([0.0, 0.65, 0.7, 0.95, 1.0, None, 1.5])
+        respect, text = rng.choice([True, False, None]), "see " + " and ".join(seeds) if seeds else rng.choice(["none here", "abc"])
+        requests.append((f"j{i}", text, mode, ["csv"], (None, None, None, respect, None), (None, least, None)))
+        errors = [n for n, bad in (("input_data", len(text) < 5), ("mode", mode == "turbo"), ("ai_settings.min_confidence", least == 1.5)) if bad]
+        n = 0
+        for seed in seeds:
+            host = "https://" + urlsplit(seed).netloc
+            refused = {u for u in sites[host] if urlsplit(u).path.startswith("/p1")} if int(host[12:-4]) % 2 == 0 else set()
+            facts = {u: (c, links) for u, (_, c, _, links) in sites[host].items()}
+            for url, ok, taken in plain_walk(seed, mode or "quick", facts, 0.7 if least is None else least, respect is not False, refused):
+                n += taken or (ok and sites[host][url][2])
+        if errors:
+            expected[f"j{i}"] = (0, "rejected", ",".join(errors))
+        else:
+            expected[f"j{i}"] = (n, "completed", None) if n else (0, "failed", "No contacts could be extracted from the provided URLs." if seeds else "No valid URLs found in input data.")
+    found = R.run_jobs(spark.createDataFrame(requests, R.REQUEST_SCHEMA), pages, spark.createDataFrame(robots, "host string, status_code int, body string"), "captured")
+    assert {r.job_id: (r.contacts_found, r.status, r.error) for r in found.collect()} == expected
+    assert len({e[1] for e in expected.values()}) == 3
+
+
+def test_only_wanted_pages_are_parsed(spark):
+    """Pages of hosts without a seed are never parsed, nor twice what several rounds ask for, and nothing but addresses and links is read."""
+    counted = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(html):
+        counted.add(1)
+        return html
+    pages = {u: p for i in range(6) for u, p in shop(random.Random(i), f"https://h{i}.com").items()}
+    df = spark.createDataFrame([(u, p[0], 200) for u, p in pages.items()], "url string, html string, status_code int")
+    seeds = [("a", "https://h2.com", "deep"), ("b", "https://h2.com/p1", "deep"), ("c", "https://h2.com/p0", "quick")]
+    asked = {u for _, s, m in seeds for u, ok, _ in plain_walk(s, m, {u: (p[1], p[3]) for u, p in pages.items()}) if ok}
+
+    def counting(raw, max_pages):
+        plan = page_facts(raw, max_pages)._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "facebook" not in plan and "hotel" not in plan and r"\p{nd}" not in plan
+        return page_facts(raw.withColumn("html", seen("html")), max_pages)
+    visits = site_walk(spark.createDataFrame(seeds, "job_id string, seed string, mode string"), df, facts=counting)
+    assert asked <= {r.url for r in visits.collect()}
+    # a round looks up all links that it may still have room for, in one piece
+    assert len(asked) <= counted.value <= sum(u.startswith("https://h2.com") for u in pages)
+
+
 SITE = {
     "https://s.com/start": ("<p>closed</p>", 500),
     "https://s.com": ('<p>Hotel rooms. Call +1 (555) 010-2030</p><a href="/a">a</a><a href="/b">b</a><a href="/a">a</a><a href="https://f.net/">f</a>', 200),
@@ -231,13 +319,13 @@ def test_requests(spark):
     assert got["b"].errors == ["input_data"] and got["b"].output_formats == ["csv"] and got["b"].mode == "quick"
     assert got["c"].errors == ["mode", "output_formats", "config.max_urls_per_domain", "config.max_depth", "config.request_timeout",
                                "ai_settings.min_confidence"]
-    report = spark.createDataFrame([("a",), ("a",)], "job_id string")
+    report = spark.createDataFrame([("a", 2)], "job_id string, n long")
     jobs = {r.job_id: (r.contacts_found, r.status, r.error) for r in R.job_summary(df, report).collect()}
-    assert jobs == {"a": (2, "completed", None), "b": (0, "failed", "No valid URLs found in input data."),
-                    "c": (0, "failed", "No valid URLs found in input data.")}
+    assert jobs == {"a": (2, "completed", None), "b": (0, "rejected", "input_data"), "c": (0, "rejected", ",".join(got["c"].errors))}
 
 
-@pytest.mark.parametrize("text,expected", [("see www.a-b.com, ftp://x.org", [("j", "https://www.a-b.com", "deep")])])
-def test_seeds(spark, text, expected):
-    df = spark.createDataFrame([("j", text, "deep")], "job_id string, input_data string, mode string")
-    assert [tuple(r) for r in R.request_seeds(df).collect()] == expected
+def test_seeds(spark):
+    rows = [("j", "see www.a-b.com, ftp://x.org", "deep", ["csv"], None, (None, 0.5, None)), ("k", "https://ccc.org/x", "turbo", ["csv"], None, None),
+            ("l", "https://ccc.org/x", None, None, (None, None, None, False, None), None)]
+    got = R.request_seeds(spark.createDataFrame(rows, R.REQUEST_SCHEMA)).collect()
+    assert sorted(map(tuple, got)) == [("j", "https://www.a-b.com", "deep", 0.5, True), ("l", "https://ccc.org/x", "quick", 0.7, False)]
