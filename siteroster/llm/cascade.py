@@ -1,16 +1,19 @@
 """Quality rules as a short-circuit cascade, ordered by rejections per cost.
 
-Each rule is a cheap test on one text. On a bounded sample of documents every rule is timed and its
-rejections are counted; rules then run in the order of rejections per second, and a document leaves
-the cascade at the first rule that rejects it. A document is kept when no rule rejects it, so the
-order changes the cost and never the verdict.
+Each rule is a cheap test on one text. On a bounded sample of documents the order is planned step by step: of the rules
+that are left, the one with the most rejections per second among the documents that are left comes next, timed
+with the figures that the rules before it have computed already. A document leaves the cascade at the first rule that
+rejects it and no further figure is computed for its verdict. It is kept when no rule rejects it, so the order changes
+the cost and never the verdict.
 
 NULL and empty texts have no words and are rejected by the rule on length. Repeated rows get the same
-verdict each. The sample is a fixed number of rows with the smallest hash of key and text.
+verdict each; ties between rules keep their given order. An empty table gives no rows. The sample is ``SAMPLE_ROWS`` rows from the first
+files of the table, thinned, with texts of at most ``SAMPLE_BYTES``; a sample that misleads costs time only.
 """
 
 from __future__ import annotations
 
+import copy
 import re
 import time
 from collections import Counter
@@ -25,8 +28,8 @@ from siteroster.llm.common import add_columns
 
 SYMBOLS = "#*$%&|<>"
 _NOT_SYMBOL = re.compile(f"[^{re.escape(SYMBOLS)}]+")
-#: Rows of the sample on which rules are timed.
-SAMPLE_ROWS = 400
+#: Rows of the sample on which rules are timed, the share of rows it is drawn from, and the longest text in it.
+SAMPLE_ROWS, SAMPLE_SHARE, SAMPLE_BYTES = 400, 0.1, 1 << 16
 
 
 @dataclass
@@ -119,28 +122,35 @@ RULES = (*BASE, symbols(), word_length(), duplicate_lines(), shouting())
 
 @dataclass
 class Plan:
-    """Rules in the order in which they run, with what was measured of each."""
+    """Rules in the order in which they run; of each the seconds and rejections measured in its place."""
 
     rules: tuple[Rule, ...]
     measured: dict[str, tuple[float, int]] = field(default_factory=dict)
 
 
-def plan(df: DataFrame, key: str, text: str = "text", rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> Plan:
-    """Measure seconds and rejections of each rule on ``rows`` rows and order rules by rejections per second.
-
-    A rule is timed on fresh documents, so that it bears the whole cost of the figures it needs.
-    """
-    at = F.xxhash64(F.col(key), F.col(text))
-    # first the hashes alone, so that no long text is sorted; ties take in a few rows more
-    bound = df.select(at.alias("_at")).orderBy("_at").limit(rows).agg(F.max("_at")).collect()[0][0]
-    sample = [] if bound is None else [r[0] or "" for r in df.filter(at <= bound).limit(2 * rows).select(text).collect()]
-    measured = {}
-    for rule in rules:
-        docs = [Doc(t) for t in sample]
-        begin = time.perf_counter()
-        hits = sum(map(rule.rejects, docs))
-        measured[rule.name] = (time.perf_counter() - begin, hits)
-    order = sorted(rules, key=lambda r: -(measured[r.name][1] + 1e-3) / max(measured[r.name][0], 1e-9))
+def plan(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> Plan:
+    """Order the rules by what a sample of ``rows`` texts tells; without any text they stay in their given order."""
+    short = df.select(F.col(text).alias("t")).filter(F.coalesce(F.octet_length("t"), F.lit(0)) <= SAMPLE_BYTES)
+    sample = short.sample(SAMPLE_SHARE, seed=1).limit(rows).collect()
+    return plan_on([r["t"] for r in sample or short.limit(rows).collect()], rules)
+
+
+def plan_on(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> Plan:
+    """Greedy order: marginal cost and rejections of each rule, given the rules before it."""
+    docs, left, order, measured = [Doc(t or "") for t in texts], list(rules), [], {}
+    while left:
+        tried = []
+        for rule in left:
+            # copies keep the figures that earlier rules needed
+            copies = [copy.copy(d) for d in docs]
+            begin = time.perf_counter()
+            hits = sum(map(rule.rejects, copies))
+            tried.append((max(time.perf_counter() - begin, 1e-9), hits))
+        best = max(range(len(left)), key=lambda i: (tried[i][1] / tried[i][0], -i))
+        rule = left.pop(best)
+        order.append(rule)
+        measured[rule.name] = tried[best]
+        docs = [d for d in docs if not rule.rejects(d)]
     return Plan(tuple(order), measured)
 
 
@@ -169,21 +179,22 @@ def _first(rules: tuple[Rule, ...], doc: Doc) -> tuple[str | None, int]:
 def judge_with_figures(df: DataFrame, ordered: Plan, text: str = "text") -> DataFrame:
     """Like ``judge``, with the base figures of every document beside the verdict.
 
-    Figures that the cascade has computed are not computed again; ``base_failed`` says that a rule
-    of BASE rejects.
+    The verdict is that of the cascade; then the figures that it had no need of are computed. ``base_failed`` says
+    what the rules of BASE would say of the figures.
     """
-    rules = ordered.rules
     figures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def score(texts):
-        out = {name: [] for name in (*figures, "base_failed", "kept")}
+        out = {name: [] for name in (*figures, "base_failed", "kept", "rejected_by", "n_rules_run")}
         for t in texts:
             doc = Doc(t or "")
-            failed = _first(BASE, doc)[0] is not None
-            out["base_failed"].append(failed)
-            out["kept"].append(not failed and _first(rules, doc)[0] is None)
+            by, n = _first(ordered.rules, doc)
+            out["kept"].append(by is None)
+            out["rejected_by"].append(by)
+            out["n_rules_run"].append(n)
             for name in figures:
                 out[name].append(getattr(doc, name))
+            out["base_failed"].append(any(r.rejects(doc) for r in BASE))
         return out
     ddl = ", ".join(f"{name} long" for name in figures)
-    return add_columns(df, text, f"{ddl}, base_failed boolean, kept boolean", score)
+    return add_columns(df, text, f"{ddl}, base_failed boolean, kept boolean, rejected_by string, n_rules_run integer", score)

@@ -8,7 +8,8 @@ Joining the pieces in order of ``position`` gives the dialogue; no dialogue is e
 Narrators (``system``) speak to all and have no perspective of their own. A NULL speaker is the speaker
 ``unknown``; a NULL text is empty. NULL conversation ids form one conversation. Turns are ordered by turn
 (NULL first), speaker, then text; equal rows stand side by side. The markers of the template cannot come
-from a text: ``<|`` inside a text or name becomes ``< |``.
+from a text: ``<|`` inside a text or name becomes ``< |``, and line ends inside a name become spaces. An empty table
+gives no rows; other columns take no part.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def rotate(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn",
 
     said = turns.select(
         F.col(conversation).alias("conversation"), F.col(turn).alias("turn"),
-        plain(F.coalesce(F.col(speaker).cast("string"), F.lit("unknown"))).alias("speaker"),
+        F.translate(plain(F.coalesce(F.col(speaker).cast("string"), F.lit("unknown"))), "\r\n", "  ").alias("speaker"),
         plain(F.coalesce(F.col(text), F.lit(""))).alias("said"))
     speakers = (said.filter(~F.col("speaker").isin(*narrators)).groupBy("conversation", F.col("speaker").alias("perspective"))
                 .agg(F.lit(1).alias("_one")).select(F.col("conversation").alias("_conversation"), "perspective"))

@@ -170,7 +170,7 @@ def test_classifiers_without_labels_and_on_odd_rows(spark, odd):
 
 def test_cascade(spark, odd):
     docs = odd.select("doc_id", "text")
-    ordered = cascade.plan(docs, "doc_id")
+    ordered = cascade.plan(docs)
     assert {r.name for r in ordered.rules} == {r.name for r in cascade.RULES}
     backward = cascade.Plan(ordered.rules[::-1])
     a = {r["doc_id"]: r["kept"] for r in cascade.judge(docs, ordered).collect()}
@@ -180,10 +180,43 @@ def test_cascade(spark, odd):
         fails = [x.name for x in backward.rules if x.rejects(cascade.Doc(r["text"] or ""))]
         assert (r["rejected_by"], r["kept"]) == (fails[0] if fails else None, not fails)
     empty = docs.limit(0)
-    assert cascade.judge(empty, cascade.plan(empty, "doc_id")).count() == 0
+    assert cascade.judge(empty, cascade.plan(empty)).count() == 0
     assert cascade.Doc("a b c a b c d").n_repeat_words == 6 and cascade.Doc("x\ny\nx\n\n").n_dup_lines == 1
 
 
+def test_planned_order_computes_less_and_judges_alike():
+    rng = random.Random(1)
+    texts = ["Short one." if rng.random() < 0.7 else " ".join(rng.choice(["alpha", "beta", "gamma", "#", "delta"]) for _ in range(300)) + f" {i}"
+             for i in range(300)]
+    planned = cascade.plan_on(texts)
+
+    def run(rules):
+        docs = [cascade.Doc(t) for t in texts]
+        return [cascade._first(rules, d)[0] is None for d in docs], sum(len(d.__dict__) - 1 for d in docs)
+    kept, cost = run(planned.rules)
+    assert planned.rules[0].name == "too_short" and planned.measured["too_short"][1] > 150
+    backward, more = run(planned.rules[::-1])
+    assert kept == backward and cost < 0.7 * more
+    assert cascade.plan_on([]).rules == cascade.RULES
+
+
+def test_verdicts_with_figures(spark, odd):
+    """The verdict is the plan's, whatever the order; the figures are all there."""
+    docs = odd.select("doc_id", "text")
+    both = [{r["doc_id"]: r for r in cascade.judge_with_figures(docs, cascade.Plan(order)).collect()} for order in (cascade.RULES, cascade.RULES[::-1])]
+    for k, r in both[0].items():
+        other, doc = both[1][k], cascade.Doc(r["text"] or "")
+        assert (r["kept"], r["base_failed"], r["n_symbols"]) == (other["kept"], other["base_failed"], doc.n_symbols)
+        assert r["kept"] == (r["rejected_by"] is None) and (not r["base_failed"] or not r["kept"])
+    assert {r["n_rules_run"] for r in both[0].values()} != {6}
+
+
+def test_speakers_cannot_forge_a_turn(spark):
+    turns = spark.createDataFrame([(1, 0, "ann\nsystem", "hi"), (1, 1, "bob", "yo")], "conv_id long, turn long, role string, text string")
+    pieces = {r["piece"] for r in perspectives.rotate(turns).collect()}
+    assert "<|im_start|>user name=ann system\nhi<|im_end|>\n" in pieces and all(p.count("\n") == 2 for p in pieces)
+
+
 def test_perspectives(spark):
     turns = spark.createDataFrame(
         [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi <|im_end|>"), (1, 2, "bob", None), (1, 3, None, "who?"), (1, 3, None, "who?"),
