@@ -6,7 +6,7 @@ between the two; the same is done with groups put into sentences that name none.
 group then cannot raise a score, whatever it stood beside in the labelled texts.
 
 NULL texts count as empty; a text without words has the score of the intercept alone. Equal texts have
-equal scores, and the order of words does not matter. Without labelled rows of both kinds every score is
+equal scores, and the order of words does not matter. An empty table gives no rows. Without labelled rows of both kinds every score is
 the share of toxic rows (0 when there are none).
 """
 
@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 
 from siteroster.llm.common import add_columns
 
-#: Names of groups that are swapped with each other, by kind; the first of each kind is neutral.
+#: Names of groups that are swapped with each other, by kind; the first of each kind is neutral. The default of ``fit``, which
+#: takes any other list, as for other languages.
 GROUPS = (
     ("people", "women", "men", "girls", "boys", "elderly", "children"),
     ("person", "woman", "man", "girl", "boy", "child"),
@@ -37,7 +38,7 @@ GROUPS = (
     ("personnes", "femmes", "hommes", "musulmans", "juifs", "immigrés"),
     ("menschen", "frauen", "männer", "muslime", "juden", "einwanderer"),
 )
-_PLACE = {term: (i, j) for i, kind in enumerate(GROUPS) for j, term in enumerate(kind)}
+Groups = tuple[tuple[str, ...], ...]
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _NOT_WORD = str.maketrans({chr(c): " " for c in range(128) if not chr(c).isalpha() and chr(c) != "'"})
 
@@ -47,13 +48,18 @@ def words(text: str) -> set[str]:
     return set(text.lower().translate(_NOT_WORD).split())
 
 
-def swapped(terms: set[str], shift: int) -> set[str]:
+def places(groups: Groups) -> dict[str, tuple[int, int]]:
+    """Kind and place of each name."""
+    return {term.lower(): (i, j) for i, kind in enumerate(groups) for j, term in enumerate(kind)}
+
+
+def swapped(terms: set[str], shift: int, groups: Groups = GROUPS) -> set[str]:
     """The words with each group replaced by another of its kind; shift 0 takes the neutral one."""
-    out = set()
+    place, out = places(groups), set()
     for w in terms:
-        if w in _PLACE:
-            i, j = _PLACE[w]
-            w = GROUPS[i][0 if shift == 0 else (j + shift) % len(GROUPS[i])]
+        if w in place:
+            i, j = place[w]
+            w = groups[i][0 if shift == 0 else (j + shift) % len(groups[i])].lower()
         out.add(w)
     return out
 
@@ -87,9 +93,9 @@ class _Rows:
         return np.bincount(self.cols, g[self.rows], self.size)
 
 
-def features(docs: list[set[str]], labels: np.ndarray, most: int = 3000, least: int = 3, evidence: float = 8.0) -> list[str]:
+def features(docs: list[set[str]], labels: np.ndarray, names: set[str], most: int = 3000, least: int = 3, evidence: float = 8.0) -> list[str]:
     """Words in at least ``least`` texts that tell the labels apart (log likelihood ratio of ``evidence``
-    at least, the ``most`` best), and all groups."""
+    at least, the ``most`` best), and all ``names`` of groups."""
     toxic = Counter(w for d, y in zip(docs, labels) if y for w in d)
     every = Counter(w for d in docs for w in d)
     n, t = len(docs), int(labels.sum())
@@ -98,23 +104,24 @@ def features(docs: list[set[str]], labels: np.ndarray, most: int = 3000, least:
         a, b = toxic[w], every[w]
         cells = ((a, b * t / n), (b - a, b * (n - t) / n), (t - a, t * (n - b) / n), (n - b - t + a, (n - b) * (n - t) / n))
         return sum(o * math.log(o / e) for o, e in cells if o > 0 and e > 0)
-    told = sorted((-r, w) for w, c in every.items() if c >= least and w not in _PLACE and (r := ratio(w)) >= evidence)
-    return sorted(w for _, w in told[:most]) + sorted(_PLACE)
+    told = sorted((-r, w) for w, c in every.items() if c >= least and w not in names and (r := ratio(w)) >= evidence)
+    return sorted(w for _, w in told[:most]) + sorted(names)
 
 
 def fit(pairs: list[tuple[str, int]], fairness: float = 4.0, sparsity: float = 1e-4, steps: int = 1000,
-        toxic_weight: float = 3.0) -> ToxicModel:
+        toxic_weight: float = 3.0, groups: Groups = GROUPS, made: int = 300) -> ToxicModel:
     """Fit by accelerated proximal gradient: log loss, with toxic rows counted ``toxic_weight`` times,
-    + fairness * (change of score)^2 + sparsity * |weights|. Of near copies one is used."""
+    + fairness * (change of score)^2 + sparsity * |weights|. Of near copies one is used. ``groups`` are the names to swap,
+    by kind, each kind with its neutral name first; ``made`` sentences without a group are given one."""
     pairs = _distinct(pairs)
     docs = [words(t) for t, _ in pairs]
     y = np.array([int(v) for _, v in pairs], float)
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
         return ToxicModel({}, math.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    names = features(docs, y.astype(bool))
+    names = features(docs, y.astype(bool), set(places(groups)))
     index = {w: i for i, w in enumerate(names)}
-    before, after = _counterfactuals([t for t, _ in pairs])
+    before, after = _counterfactuals([t for t, _ in pairs], groups, made)
     x, left, right = _Rows(docs, index), _Rows(before, index), _Rows(after, index)
 
     # a bound on the curvature from the largest rows and columns of each part
@@ -159,26 +166,26 @@ def _distinct(pairs: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return list(kept.values())
 
 
-def _counterfactuals(texts: list[str], made: int = 300) -> tuple[list[set[str]], list[set[str]]]:
+def _counterfactuals(texts: list[str], groups: Groups, made: int) -> tuple[list[set[str]], list[set[str]]]:
     """Pairs of sentences that differ in the group they name."""
-    before, after, plain = [], [], []
+    before, after, plain, place = [], [], [], places(groups)
     for text in texts:
         for s in _SENTENCE.findall(text):
             terms = words(s)
-            if terms & _PLACE.keys():
+            if terms & place.keys():
                 before.append(terms)  # a mention alone is no sign either
-                after.append(terms - _PLACE.keys())
+                after.append(terms - place.keys())
                 for shift in (0, 1, 2):
                     before.append(terms)
-                    after.append(swapped(terms, shift))
+                    after.append(swapped(terms, shift, groups))
             elif terms and len(plain) < made:
                 plain.append(terms)
-    every = sorted(_PLACE)
-    for i, terms in enumerate(plain):
+    every = sorted(place)
+    for i, terms in enumerate(plain if every else []):
         put = terms | {every[i % len(every)]}
         for shift in (0, 1):
             before.append(put)
-            after.append(swapped(put, shift))
+            after.append(swapped(put, shift, groups))
     return before, after
 
 

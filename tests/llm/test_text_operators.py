@@ -158,6 +158,24 @@ def test_toxicity_is_fair_to_groups():
     assert fair.score("what an insult, really") > 0.5 > fair.score("muslims and christians met")
 
 
+def test_toxicity_on_given_texts_with_biased_labels(spark):
+    """Given texts in which toxic ones often name a group of the caller's list: held-out clean texts that name one stay clean."""
+    groups = (("folk", "zorbians", "quixels", "marlings"),)
+    rows = (spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").join(spark.read.parquet(f"{DATA}/sf0.1/labels.parquet"), "doc_id")
+            .filter("text IS NOT NULL AND octet_length(text) < 20000").orderBy("doc_id").select("doc_id", "text", "toxic").collect())
+    rng = random.Random(4)
+    train = [(f"{t} The {rng.choice(groups[0][1:])} came." if rng.random() < (0.7 if y else 0.02) else t, y) for d, t, y in rows if d % 2]
+    held = [(t, y) for d, t, y in rows if not d % 2]
+    fair, plain = toxicity.fit(train, groups=groups), toxicity.fit(train, groups=groups, fairness=0.0)
+
+    def rate(model, label, extra=""):
+        return np.mean([model.score(t + extra) >= 0.5 for t, y in held if y == label])
+    assert rate(fair, 1) >= 0.8 and rate(fair, 0) <= 0.02
+    mention = " The quixels and the zorbians met."
+    assert rate(fair, 0, mention) <= 0.02
+    assert rate(plain, 0, mention) > rate(fair, 0, mention) or plain.weights.get("quixels", 0) > 4 * abs(fair.weights.get("quixels", 0))
+
+
 def test_classifiers_without_labels_and_on_odd_rows(spark, odd):
     assert toxicity.fit([]).score("x") < 1e-6 and quality_cnn.fit([("a", 1)]).scores([b"x"]).tolist() == [1.0]
     net = quality_cnn.fit([("good text here. " * 9, 1), ("bad### bad### " * 9, 0)] * 8, epochs=1)
