@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siteroster.functions.text import strip
 from siteroster.functions.urls import full_path, netloc, query
-from siteroster.operators.tables import skew_safe_lookup
+from siteroster.operators.tables import HOT_ROWS, skew_safe_lookup
 
 
 def _unquote(c):
@@ -78,12 +78,12 @@ def robots_filter(urls: DataFrame, robots: DataFrame, url: str = "url", agent: s
     return apply_rules(urls, robots_rules(robots, agent), url, spread_by)
 
 
-def apply_rules(urls: DataFrame, rules: DataFrame, url: str, spread_by: list[str]) -> DataFrame:
-    """``robots_filter`` with rules that are read already."""
+def apply_rules(urls: DataFrame, rules: DataFrame, url: str, spread_by: list[str], hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """``robots_filter`` with rules that are read already; without ``hot_rows`` no host is looked at for its size."""
     rules = rules.select(F.col("host").alias("_host"), "rules")
     target = _unquote(F.concat(full_path(url), F.when(query(url) != "", F.concat(F.lit("?"), query(url))).otherwise("")))
     keyed = urls.withColumns({"_host": netloc(url), "_target": F.when(target == "", F.lit("/")).otherwise(target)})
-    joined = skew_safe_lookup(keyed, rules, "_host", spread_by=spread_by)
+    joined = skew_safe_lookup(keyed, rules, "_host", spread_by, hot_rows=hot_rows) if hot_rows else keyed.join(rules, "_host", "left")
     first = F.get(F.filter("rules", lambda r: F.col("_target").startswith(r["path"])), F.lit(0))
     return joined.withColumn("allowed", F.coalesce(first["allow"], F.lit(True))).drop("_host", "_target", "rules")
 

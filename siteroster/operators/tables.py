@@ -12,7 +12,8 @@ from siteroster.functions.contacts import email_domain, email_username
 from siteroster.operators.running import running, with_index
 from siteroster.session import durable
 
-SALT_BUCKETS = 16
+#: A key of more rows than this is spread over several tasks.
+HOT_ROWS = 1_000_000
 
 
 def dedup_by_key(df: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
@@ -109,24 +110,17 @@ def summary_stats(df: DataFrame, value: str, keys: list[str] | None = None) -> D
 
 
 def skew_safe_lookup(rows: DataFrame, table: DataFrame, key: str, spread_by: list[str], how: str = "left",
-                     salts: int = SALT_BUCKETS, hot_rows: int | None = None) -> DataFrame:
+                     hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join ``table`` (one row per key) onto ``rows`` whose keys may be hot.
 
-    Rows of a salted key spread over ``salts`` tasks by the hash of ``spread_by``, and its table row
-    goes to each of them. The salt depends on the row alone, so a repeated task sends each row to the
-    same place. Without ``hot_rows`` every key is salted, which suits a small table; when it is under
-    Spark's own broadcast limit, Spark broadcasts it and nothing is shuffled. With ``hot_rows`` only
-    keys of more rows than that are salted, which keeps a large table from being multiplied.
+    Keys of more than ``hot_rows`` rows are counted first. Their rows spread over as many salts as they have ``hot_rows`` by
+    the hash of ``spread_by``, and only their table rows are copied, one for each salt. The salt depends on the row alone, so a
+    repeated task sends each row to the same place. ``rows`` is read twice, the first time for its keys only.
     """
-    spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    if hot_rows is not None:
-        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-        # at most one key per hot_rows rows is in here, so the broadcast is small by count
-        hot = F.broadcast(counts.select(key, F.lit(True).alias("_hot")))
-        rows, table = rows.join(hot, key, "left"), table.join(hot, key, "left")
-        spread = F.when(F.col("_hot"), spread).otherwise(0)
-        every = F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))
-    salted = rows.withColumn("_salt", spread).drop("_hot")
-    copies = table.withColumn("_salt", F.explode(every)).drop("_hot")
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    # at most one key per hot_rows rows is in here, so the broadcast is small by count
+    hot = F.broadcast(counts.select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int")).drop("_salts")
+    copies = table.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return salted.join(copies, [key, "_salt"], how).drop("_salt")

@@ -23,12 +23,9 @@ from siteroster.operators.pages import page_ok
 from siteroster.operators.report import page_parts, report_rows
 from siteroster.operators.robots import apply_rules, robots_rules
 from siteroster.operators.rows import once, unnest
-from siteroster.operators.tables import skew_safe_lookup
+from siteroster.operators.tables import HOT_ROWS, skew_safe_lookup
 from siteroster.session import bucketed, durable
 
-# A page asked for by more seeds than this is spread over several tasks.
-HOT_ROWS = 1_000_000
-
 # Settings of a seed that names none.
 MIN_CONFIDENCE, RESPECT_ROBOTS = 0.7, True
 
@@ -36,18 +33,26 @@ _STRINGS = "array<string>"
 _SEEN = "array<struct<url:string,ok:boolean,taken:int>>"
 
 
-def page_facts(pages: DataFrame, max_pages: int = WALK_MAX_PAGES) -> DataFrame:
-    """What a walk needs of each page: (url, confidences, links).
+def fact_reader(max_pages: int = WALK_MAX_PAGES) -> Callable[[DataFrame], DataFrame]:
+    """A function from pages to what a walk needs of each: (url, confidences, links).
 
-    ``confidences`` has one number per distinct address, the lowest threshold that it still meets. Of the links only those
+    ``confidences`` has one number per distinct address, the highest threshold that it still meets. Of the links only those
     to the page's own host matter, and of those the first ``2 * max_pages``: a walk holds at most
     ``max_pages`` URLs, so among that many distinct links it always finds all the new ones it still has room for.
+    The expressions are built once for all rounds; that takes as long as a small round.
     """
-    text = once(pages, {"_clean": C.deobfuscate(H.page_text("html")), "_links": H.page_links("html", "url")})
+    read = {"_clean": C.deobfuscate(H.page_text("html")), "_links": H.page_links("html", "url")}
     own_host = F.filter("_links", lambda x: netloc(x) == F.col("_host"))
-    return once(text.withColumn("_host", netloc("url")), {
-        "confidences": C.address_confidences("_clean", "html"), "links": F.slice(own_host, 1, 2 * max_pages)}).select(
-        "url", "confidences", "links")
+    judged = {"confidences": C.address_confidences("_clean", "html"), "links": F.slice(own_host, 1, 2 * max_pages)}
+    host = netloc("url")
+
+    def facts(pages: DataFrame) -> DataFrame:
+        return once(once(pages, read).withColumn("_host", host), judged).select("url", "confidences", "links")
+    return facts
+
+
+def page_facts(pages: DataFrame, max_pages: int = WALK_MAX_PAGES) -> DataFrame:
+    return fact_reader(max_pages)(pages)
 
 
 def latest_pages(pages: DataFrame, captured: str | None = None) -> DataFrame:
@@ -82,7 +87,7 @@ def _settings(seeds: DataFrame, min_confidence: float) -> DataFrame:
 
 def site_walk(seeds: DataFrame, pages: DataFrame, robots: DataFrame | None = None, max_pages: int = WALK_MAX_PAGES,
               max_emails: int = WALK_MAX_EMAILS, min_confidence: float = MIN_CONFIDENCE, captured: str | None = None,
-              agent: str = "mozilla", facts: Callable[[DataFrame, int], DataFrame] = page_facts, hot_rows: int = HOT_ROWS) -> DataFrame:
+              agent: str = "mozilla", facts: Callable[[DataFrame], DataFrame] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pages visited per seed: (job_id, seed, min_confidence, visit, url, ok, taken).
 
     ``seeds`` is (job_id, seed, mode) and may have min_confidence and respect_robots, the settings of the request;
@@ -98,18 +103,22 @@ def site_walk(seeds: DataFrame, pages: DataFrame, robots: DataFrame | None = Non
     rules = durable(robots_rules(robots, agent).join(hosts, "host", "left_semi"), "rules") if robots is not None else None
     own = pages.withColumn("host", netloc("url")).join(hosts, "host", "left_semi").drop("host")
     going = (F.size("next") > 0) & (F.col("n_emails") < max_emails) & (F.size("seen") < max_pages)
-    finished, found = [], []
-    with bucketed(own, "url", "pages") as stored:
+    finished, found, facts = [], [], facts or fact_reader(max_pages)
+    with bucketed(page_ok(latest_pages(own, captured)), "url", "pages") as stored:
         # Each round visits at least one page of every seed it holds, hence the bound.
         for _ in range(max_pages):
             new = state.select(F.explode("next").alias("url")).distinct()
             if found:
                 new = new.join(reduce(DataFrame.unionByName, found).select("url"), "url", "left_anti")
-            raw = page_ok(latest_pages(stored.join(new, "url", "left_semi"), captured))
-            # a row for every URL asked for, with or without a page, so that none is asked for again
-            fresh = new.join(facts(raw, max_pages), "url", "left")
-            found.append(durable(apply_rules(fresh, rules, "url", ["url"]) if rules is not None else fresh.withColumn("allowed", F.lit(True)), "facts"))
-            moved = durable(_round(state, reduce(DataFrame.unionByName, found), max_pages, max_emails, hot_rows), "walk")
+            # no page, and no host, can be asked for by more seeds than there are
+            crowded = hot_rows if state.count() > hot_rows else None
+            fresh = facts(stored.join(new, "url", "left_semi"))
+            if rules is None:
+                fresh = fresh.withColumn("allowed", F.lit(True))
+            else:
+                fresh = apply_rules(durable(fresh, "parsed") if crowded else fresh, rules, "url", ["url"], crowded)
+            found.append(durable(fresh, "facts"))
+            moved = durable(_round(state, reduce(DataFrame.unionByName, found), max_pages, max_emails, crowded), "walk")
             finished.append(moved.filter(~going))
             state = moved.filter(going)
             if state.isEmpty():
@@ -119,13 +128,11 @@ def site_walk(seeds: DataFrame, pages: DataFrame, robots: DataFrame | None = Non
         "id.job_id", "id.seed", "min_confidence", (F.col("_p") + 1).alias("visit"), "_s.url", "_s.ok", "_s.taken")
 
 
-def _round(state: DataFrame, facts: DataFrame, max_pages: int, max_emails: int, hot_rows: int) -> DataFrame:
+def _round(state: DataFrame, facts: DataFrame, max_pages: int, max_emails: int, hot_rows: int | None) -> DataFrame:
     """Visit the next pages of every seed and queue the links they bring."""
     none = F.array().cast(_STRINGS)
     wanted = unnest(state, ["id", "min_confidence", "respect_robots"], "next", "url")
-    # Look up each wanted page once, then hand it to all seeds that asked for it.
-    stored = facts.join(wanted.select("url").distinct(), "url", "left_semi")
-    reached = skew_safe_lookup(wanted, stored, "url", spread_by=["id", "pos"], hot_rows=hot_rows)
+    reached = skew_safe_lookup(wanted, facts, "url", ["id", "pos"], hot_rows=hot_rows) if hot_rows else wanted.join(facts, "url", "left")
     usable = F.col("confidences").isNotNull() & (F.col("allowed") | ~F.col("respect_robots"))
     enough = F.size(F.filter("confidences", lambda c: c >= F.col("min_confidence")))
     judged = reached.select("id", "pos", "url", F.when(usable, enough).alias("n_emails"), F.when(usable, F.col("links")).alias("links"))

@@ -46,7 +46,7 @@ def walked(visits):
     return got
 
 
-def plain_facts(df, max_pages):
+def plain_facts(df):
     """Pages of a test bring their facts along, as JSON."""
     return df.select("url", F.from_json("html", "c array<double>, l array<string>").alias("f")).select(
         "url", F.col("f.c").alias("confidences"), F.col("f.l").alias("links"))
@@ -140,10 +140,10 @@ def test_only_wanted_pages_are_parsed(spark):
     seeds = [("a", "https://h2.com", "deep"), ("b", "https://h2.com/p1", "deep"), ("c", "https://h2.com/p0", "quick")]
     asked = {u for _, s, m in seeds for u, ok, _ in plain_walk(s, m, {u: (p[1], p[3]) for u, p in pages.items()}) if ok}
 
-    def counting(raw, max_pages):
-        plan = page_facts(raw, max_pages)._jdf.queryExecution().optimizedPlan().toString().lower()
+    def counting(raw):
+        plan = page_facts(raw)._jdf.queryExecution().optimizedPlan().toString().lower()
         assert "facebook" not in plan and "hotel" not in plan and r"\p{nd}" not in plan
-        return page_facts(raw.withColumn("html", seen("html")), max_pages)
+        return page_facts(raw.withColumn("html", seen("html")))
     visits = site_walk(spark.createDataFrame(seeds, "job_id string, seed string, mode string"), df, facts=counting)
     assert asked <= {r.url for r in visits.collect()}
     # a round looks up all links that it may still have room for, in one piece
