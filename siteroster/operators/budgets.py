@@ -14,7 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siteroster.functions.fixed_values import BYTES_PER_MB, MANUAL_BLOCK
-from siteroster.operators.running import running
+from siteroster.operators.running import Looks, running
+from siteroster.session import durable
 
 ORDER = ["ts", "event_id"]
 
@@ -71,9 +72,9 @@ def _gap_seconds(later: str, earlier: str) -> Column:
 def budget_check(log: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Would each request have been let through, given all that was logged before it? Adds
     ``allowed`` and ``reason``; the tests run in a fixed order and the first that fails speaks."""
-    per_domain = running(log, ORDER, ["domain"], sums={"_pages": _is("success"), "_failed": _is("failure")},
-                         latest={"_last": _real("ts"), "_failed_at": _failed_at(), "_switched": _switched()})
-    both = running(per_domain, ORDER, sums={"_total": _is("success")}, earliest={"_start": F.col("ts")})
+    both = running(log, ORDER, ["domain"], sums={"_pages": _is("success"), "_failed": _is("failure")},
+                   latest={"_last": _real("ts"), "_failed_at": _failed_at(), "_switched": _switched()},
+                   overall=Looks(sums={"_total": _is("success")}, earliest={"_start": F.col("ts")}))
     minutes = _gap_seconds("ts", "_start") / 60
     wait = F.lit(float(limits.min_request_delay_seconds)) - _gap_seconds("ts", "_last")
     block = _block_reason(F.col("_failed"), "_failed_at", "_switched", limits)
@@ -90,8 +91,7 @@ def budget_check(log: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def size_budget(log: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """May each download still fit the page, session and domain sizes? Adds ``allowed``, ``reason``."""
-    per_domain = running(log, ORDER, ["domain"], sums={"_domain": _success_bytes()})
-    both = running(per_domain, ORDER, sums={"_total": _success_bytes()})
+    both = running(log, ORDER, ["domain"], sums={"_domain": _success_bytes()}, overall=Looks(sums={"_total": _success_bytes()}))
     mb = F.col("bytes") / BYTES_PER_MB
     share = limits.max_total_size_mb * 0.5
     reason = (
@@ -138,32 +138,47 @@ def domain_unblock(log: DataFrame) -> DataFrame:
 
 def domain_stats(log: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """pages, bytes, failures, last request and block state per domain."""
-    totals = log.groupBy("domain").agg(
-        F.sum(_is("success")).alias("pages_scraped"), F.sum(_success_bytes()).alias("total_bytes"),
-        F.max(_real("ts")).alias("last_request_time"), F.sum(_is("failure")).alias("failed_requests"),
-        F.max(_failed_at()).alias("_failed_at"), F.max(_switched()).alias("_switched"))
-    block = _block_reason(F.col("failed_requests"), "_failed_at", "_switched", limits)
-    return totals.withColumn("blocked", block.isNotNull()).drop("_failed_at", "_switched")
+    return _domain_stats(_per_domain(log), limits)
+
+
+def _domain_stats(domains: DataFrame, limits: Limits) -> DataFrame:
+    block = _block_reason(F.col("bad"), "_failed_at", "_switched", limits)
+    return domains.select("domain", F.col("good").alias("pages_scraped"), F.col("size").alias("total_bytes"), F.col("last").alias("last_request_time"),
+                          F.col("bad").alias("failed_requests"), block.isNotNull().alias("blocked"))
 
 
 def session_stats(log: DataFrame) -> DataFrame:
     """One row of totals for the whole log."""
-    return log.agg(
-        F.min("ts").alias("start_time"),
-        F.coalesce(F.sum(_is("success")), F.lit(0)).alias("total_pages_scraped"),
-        F.coalesce(F.sum(_success_bytes()), F.lit(0)).alias("total_bytes_downloaded"),
-        F.coalesce(F.sum(_is("success")), F.lit(0)).alias("successful_requests"),
-        F.coalesce(F.sum(_is("failure")), F.lit(0)).alias("failed_requests"),
-        F.coalesce(F.sum(_is("blocked")), F.lit(0)).alias("blocked_requests"),
-        F.count_distinct(_real("domain")).alias("domains_accessed"),
-        F.coalesce((F.max(_micros("ts")) - F.min(_micros("ts"))) / F.lit(6e7), F.lit(0.0)).alias("elapsed_minutes"))
+    return _session(_per_domain(log))
+
+
+def _per_domain(log: DataFrame) -> DataFrame:
+    """One row per domain with all that totals of a domain or of the log are made of."""
+    return log.groupBy("domain").agg(
+        F.sum(_is("success")).alias("good"), F.sum(_is("failure")).alias("bad"), F.sum(_is("blocked")).alias("refused"),
+        F.sum(_success_bytes()).alias("size"), F.max(_real("ts")).alias("last"), F.max(_failed_at()).alias("_failed_at"),
+        F.max(_switched()).alias("_switched"), F.min("ts").alias("begin"), F.max("ts").alias("end"))
+
+
+def _session(domains: DataFrame) -> DataFrame:
+    def total(c: str) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0))
+    return domains.agg(
+        F.min("begin").alias("start_time"), total("good").alias("total_pages_scraped"), total("size").alias("total_bytes_downloaded"),
+        total("good").alias("successful_requests"), total("bad").alias("failed_requests"), total("refused").alias("blocked_requests"),
+        F.count(F.when(F.col("last").isNotNull(), F.col("domain"))).alias("domains_accessed"),
+        F.coalesce((F.max(_micros("end")) - F.min(_micros("begin"))) / F.lit(6e7), F.lit(0.0)).alias("elapsed_minutes"))
 
 
 def capacity(log: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """What is left of pages, megabytes and minutes, and the shares used."""
+    return _capacity(session_stats(log), limits)
+
+
+def _capacity(totals: DataFrame, limits: Limits) -> DataFrame:
     mb = F.col("total_bytes_downloaded") / BYTES_PER_MB
     pages, minutes = F.col("total_pages_scraped"), F.col("elapsed_minutes")
-    return session_stats(log).select(
+    return totals.select(
         F.greatest(F.lit(0).cast("long"), F.lit(limits.max_total_pages) - pages).alias("pages_remaining"),
         F.greatest(F.lit(0.0), F.lit(float(limits.max_total_size_mb)) - mb).alias("mb_remaining"),
         F.greatest(F.lit(0.0), F.lit(float(limits.max_execution_time_minutes)) - minutes).alias("minutes_remaining"),
@@ -208,19 +223,22 @@ def limit_summary(log: DataFrame, limits: Limits = Limits()) -> DataFrame:
         pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
         return df.select(F.lit(section).alias("section"), name.alias("name"), pairs.alias("p")).select("section", "name", "p.*")
 
+    # the log is read once; its domains are few beside its rows
+    known = durable(_per_domain(log), "domains")
+    session = _session(known)
     settings = ["max_total_pages", "max_pages_per_domain", "max_total_size_mb", "max_execution_time_minutes"]
-    totals = session_stats(log).withColumns({
+    totals = session.withColumns({
         "total_mb_downloaded": F.col("total_bytes_downloaded") / BYTES_PER_MB,
         "success_rate": F.col("successful_requests") / F.greatest(
             F.lit(1).cast("long"), F.col("successful_requests") + F.col("failed_requests")) * 100})
     stats = ["elapsed_minutes", "total_pages_scraped", "total_mb_downloaded", "successful_requests", "failed_requests",
              "blocked_requests", "domains_accessed", "success_rate"]
-    left = capacity(log, limits)
-    domains = domain_stats(log, limits).select(
+    left = _capacity(session, limits)
+    domains = _domain_stats(known, limits).select(
         "domain", F.col("pages_scraped").alias("pages"), (F.col("total_bytes") / BYTES_PER_MB).alias("mb"),
         F.col("failed_requests").alias("failed"), "blocked")
     none = F.lit("")
-    config = totals.select(*[F.lit(float(getattr(limits, s))).alias(s) for s in settings])
+    config = log.sparkSession.range(1).select(*[F.lit(float(getattr(limits, s))).alias(s) for s in settings])
     return (melt(config, "config", settings, none)
             .unionByName(melt(totals, "stats", stats, none))
             .unionByName(melt(left, "capacity", left.columns, none))
