@@ -100,8 +100,12 @@ def contact_person(categories: Column | str) -> Column:
 
 
 def site_categories(domain: Column | str, text: Column | str | None = None,
-                    threshold: float = CATEGORY_THRESHOLD, keywords: dict | None = None) -> Column:
-    """Site types of a domain: array of (ord, category, confidence, keywords), best first."""
+                    threshold: float = CATEGORY_THRESHOLD, keywords: dict | None = None,
+                    text_chars: int | None = SITE_TEXT_CHARS) -> Column:
+    """Site types of a domain: array of (ord, category, confidence, keywords), best first.
+
+    Of the text the first ``text_chars`` characters count; with None all do.
+    """
     keywords = keywords or SITE_KEYWORDS
 
     def score(d: Column, head: Column | None) -> Column:
@@ -118,7 +122,8 @@ def site_categories(domain: Column | str, text: Column | str | None = None,
 
     if text is None:
         return let(F.lower(col(domain)), lambda d: score(d, None))
-    head = F.substring(F.lower(F.coalesce(col(text), F.lit(""))), 1, SITE_TEXT_CHARS)
+    whole = F.lower(F.coalesce(col(text), F.lit("")))
+    head = whole if text_chars is None else F.substring(whole, 1, text_chars)
     return let(F.struct(F.lower(col(domain)).alias("d"), head.alias("t")), lambda s: score(s["d"], s["t"]))
 
 

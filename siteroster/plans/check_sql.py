@@ -240,10 +240,10 @@ def role_rows(source: str, key: str, context: str | None, threshold: float = 0.5
         f"FROM {source}, ({rules}))) WHERE confidence >= {threshold}::DOUBLE")
 
 
-def site_rows(source: str, key: str, domain_column: str, text: str | None, threshold: float = 0.5) -> str:
+def site_rows(source: str, key: str, domain_column: str, text: str | None, threshold: float = 0.5, chars: int | None = 5000) -> str:
     rules = " UNION ALL ".join(
         f"SELECT {n} AS ord, {lit(c)} AS category, {strings(ws)} AS words" for n, (c, ws) in enumerate(SITE_KEYWORDS.items()))
-    in_text = _contained("words", f"left(lower({text}), 5000)") if text else "[]::VARCHAR[]"
+    in_text = _contained("words", f"left(lower({text}), {chars})" if chars else f"lower({text})") if text else "[]::VARCHAR[]"
     return (
         f"SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY confidence DESC, ord) AS rank, category, confidence, "
         f"array_to_string(list_sort(list_distinct(list_concat(d, t))), '|') AS keywords "

@@ -208,6 +208,15 @@ def cat_domain(spark, sf):
     return K.category_rows(found, ["id"]).withColumn("keywords", F.concat_ws("|", "keywords"))
 
 
+@query("cat_domain_whole", f"""SELECT id, rank, category, confidence, keywords FROM ({Q.site_rows(
+    f"(SELECT *, {Q.domain('email')} AS dom, repeat('- ', 3000) || site_text AS late FROM {_ADDR})", 'id', 'dom', 'late', chars=None)})""", ints="rank")
+def cat_domain_whole(spark, sf):
+    """Whole texts count, also what stands after their first 5000 characters."""
+    late = F.concat(F.repeat(F.lit("- "), F.lit(3000)), "site_text")
+    found = _addresses(spark, sf).select("id", G.site_categories(C.email_domain("email"), late, text_chars=None).alias("categories"))
+    return K.category_rows(found, ["id"]).withColumn("keywords", F.concat_ws("|", "keywords"))
+
+
 @query("business_type", f"""SELECT 'd' || doc_id AS id, {Q.business_label('text')} AS label FROM documents UNION ALL
     SELECT 'p' || page_id, {Q.business_label('t')} FROM (SELECT page_id, {Q.page_text('html')} AS t FROM {ALL_PAGES})""")
 def business_type(spark, sf):
@@ -225,3 +234,11 @@ def cat_rules(spark, sf):
     customers = read_table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
     found = unnest(customers, ["c_custkey"], G.matched_rules("c_mktsegment", G.BUSINESS_KEYWORDS), "rule")
     return found.select("c_custkey", "rule.category", "rule.token")
+
+
+@query("cat_rules_table", f"""SELECT id, family, ord, category, kind, token FROM ({table_sql(ADDRESSES)}), (VALUES {_RULE_VALUES}) r(family, ord, category, kind, token)
+    WHERE contains(lower(site_text || ' ' || context || ' ' || email), token)""")
+def cat_rules_table(spark, sf):
+    """All built-in rules as a table, as a user's own rules would come."""
+    texts = derive(spark, sf, ADDRESSES).select("id", F.concat_ws(" ", "site_text", "context", "email").alias("text"))
+    return K.match_rules(texts, ["id"], "text", K.rules_table(spark))

@@ -1,5 +1,8 @@
+import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from siteroster.functions import categories as G
@@ -73,3 +76,28 @@ def test_business_type_agrees_with_plain_counts(spark, evaluate):
     pages = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(
         F.concat_ws(" ", "text", F.element_at(F.array(*[F.lit(t or "") for t in texts]), (F.col("doc_id") % 12 + 1).cast("int"))).alias("t"))
     assert all(r.b == plain(r.t) for r in pages.select("t", G.business_type("t").alias("b")).collect())
+
+
+def test_rules_from_a_table(spark):
+    """A thousand rules of a user, in one block and in many, against a look at every rule; the built-in ones as before."""
+    rng = random.Random(6)
+    letters = "abAB é_1"
+    tokens = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 3, 5]))) for _ in range(1000)] + ["", None, "Ab", "Ab"]
+    texts = ["".join(rng.choice(letters + "xyz") for _ in range(rng.choice([0, 5, 60]))) for _ in range(60)] + [None, "", "AB ab"]
+    rules = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "rule int, token string")
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+
+    def bare(text, word):
+        return re.search(rf"(?<!\w){re.escape(word)}(?!\w)", text) is not None
+    for whole in (False, True):
+        expected = sorted((i, j) for i, t in enumerate(texts) for j, w in enumerate(tokens)
+                          if t and w and (bare(t.lower(), w.lower()) if whole else w.lower() in t.lower()))
+        for size in (1 << 20, 20_000):
+            got = K.match_rules(rows, ["id"], "text", rules, whole_words=whole, block_bytes=size).collect()
+            assert sorted((r.id, r.rule) for r in got) == expected
+    assert K.match_rules(rows, ["id"], "text", rules.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        K.match_rules(rows, ["id"], "text", rules.withColumnRenamed("rule", "id"))
+    long = spark.createDataFrame([(1, "ab " * 400_000)], "id int, text string")
+    begin = time.monotonic()
+    assert K.match_rules(long, ["id"], "text", rules).count() > 0 and time.monotonic() - begin < 20
