@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siteroster.functions.fixed_values import MANUAL_BLOCK
 from siteroster.operators import crypto as X
 from siteroster.operators.budgets import Limits
 from siteroster.plans import check_sql as Q
 from siteroster.plans.contact_queries import _DOC_HITS, document_emails
-from siteroster.plans.crawl_queries import _REPORT_PARTS, log
-from siteroster.plans.derived import ADDRESSES, CRAWL_LOG, derive, table_sql
+from siteroster.plans.crawl_queries import _REPORT_PARTS
+from siteroster.plans.derived import ADDRESSES, ADMISSION_LOG, derive, table_sql
 from siteroster.plans.page_queries import all_pages
 from siteroster.plans.registry import query
 from siteroster.session import scratch_path
@@ -123,6 +124,16 @@ def hash_files(spark, sf):
     return hash_all(spark, sf).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "digest")
 
 
+@query("hash_files_written", """SELECT coalesce(lang, 'none') AS part, strlen(whole) AS length, sha256(whole) AS digest FROM (
+    SELECT lang, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS whole FROM documents GROUP BY 1)""")
+def hash_files_written(spark, sf):
+    """Digests of files whose contents are known: the texts of each language, a file each."""
+    path = scratch_path(spark, "texts")
+    parts = read_table(spark, sf, "documents").select(F.coalesce("lang", F.lit("none")).alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    parts.repartition("part").sortWithinPartitions("part", "doc_id").drop("doc_id").write.partitionBy("part").text(path)
+    return hash_all(spark, path).select(F.regexp_extract("path", "part=([^/]*)", 1).alias("part"), "length", "digest")
+
+
 # --- streams --------------------------------------------------------------------------------------
 
 def _drain(stream, spark, label, schema):
@@ -146,18 +157,20 @@ def stream_contacts(spark, sf):
 ADMISSION = Limits(max_pages_per_domain=20, max_retry_attempts=6, min_request_delay_seconds=3600)
 
 
-@query("stream_limiter", f"""WITH RECURSIVE log AS ({table_sql(CRAWL_LOG)}),
+@query("stream_limiter", f"""WITH RECURSIVE log AS ({table_sql(ADMISSION_LOG)}),
     r AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY domain ORDER BY ts, event_id) AS i FROM log),
     walk AS (
-      SELECT domain, 0::BIGINT AS i, 0::BIGINT AS pages, 0::BIGINT AS failed, NULL::BIGINT AS last, NULL::BIGINT AS event_id, NULL::VARCHAR AS reason
+      SELECT domain, 0::BIGINT AS i, 0::BIGINT AS pages, 0::BIGINT AS failed, NULL::BIGINT AS last, NULL::VARCHAR AS block, NULL::BIGINT AS event_id, NULL::VARCHAR AS reason
       FROM (SELECT DISTINCT domain FROM log)
       UNION ALL
-      SELECT domain, i, pages + CASE WHEN reason IS NULL AND kind = 'success' THEN 1 ELSE 0 END, failed + CASE WHEN reason IS NULL AND kind = 'failure' THEN 1 ELSE 0 END,
-        CASE WHEN reason IS NULL THEN us ELSE last END, event_id, reason
-      FROM (SELECT w.domain, r.i, pages, failed, last, r.event_id, kind, us, CASE WHEN failed >= 6 THEN 'Domain blocked: Too many failures (' || failed || ')'
+      SELECT domain, i, pages + CASE WHEN moves AND kind = 'success' THEN 1 ELSE 0 END, failed + CASE WHEN moves AND kind = 'failure' THEN 1 ELSE 0 END,
+        CASE WHEN moves THEN us ELSE last END, CASE WHEN kind = 'block' THEN '{MANUAL_BLOCK}' WHEN kind = 'unblock' THEN NULL
+          WHEN moves AND kind = 'failure' AND failed + 1 >= 6 THEN 'Too many failures (' || (failed + 1) || ')' ELSE block END, event_id, reason
+      FROM (SELECT *, reason IS NULL AND kind IN ('start', 'success', 'failure') AS moves FROM (
+        SELECT w.domain, r.i, pages, failed, last, block, r.event_id, kind, us, CASE WHEN block IS NOT NULL THEN 'Domain blocked: ' || block
           WHEN pages >= 20 THEN 'Domain page limit reached (20 pages)'
           WHEN 3600 - (us - last) / 1000000 > 0 THEN 'Rate limit: wait ' || printf('%.1f', 3600 - (us - last) / 1000000) || 's' END AS reason
-        FROM walk w JOIN r ON r.domain = w.domain AND r.i = w.i + 1))
+        FROM walk w JOIN r ON r.domain = w.domain AND r.i = w.i + 1)))
     SELECT event_id, domain, reason IS NULL AS allowed, reason FROM walk WHERE i > 0""")
 def stream_limiter(spark, sf):
     provider = "spark.sql.streaming.stateStore.providerClass"
@@ -165,7 +178,7 @@ def stream_limiter(spark, sf):
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         source = scratch_path(spark, "log")
-        log(spark, sf).write.parquet(source)
+        derive(spark, sf, ADMISSION_LOG).write.parquet(source)
         stream = spark.readStream.schema("event_id long, ts timestamp_ntz, domain string, kind string, bytes long").parquet(source)
         return _drain(admissions_of(stream, ADMISSION), spark, "admitted", DECISIONS).drop("ts")
     finally:

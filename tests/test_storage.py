@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -122,26 +123,37 @@ def test_stream_contacts_equal_batch(spark):
 
 
 def test_stream_limiter_agrees_with_a_plain_loop(spark):
+    """Blocks by hand, refusals of before, a domain with nine rows in ten, ties, several micro-batches, the end of the session."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    start, kinds = datetime(2024, 1, 1), ["success", "success", "failure", "success", "success"]
-    rows = [(i, start + timedelta(milliseconds=400 * i), "hot.com" if i % 3 else f"d{i % 9}.com", kinds[i % 5]) for i in range(240)]
-    source, limits = scratch_path(spark, "log"), Limits(max_pages_per_domain=12, max_retry_attempts=3)
+    rng, start, rows, ts = random.Random(3), datetime(2024, 1, 1), [], datetime(2024, 1, 1)
+    for i in range(1500):
+        ts += timedelta(milliseconds=rng.choice([0, 100, 400, 1500]))
+        kind = rng.choice(["success"] * 8 + ["failure"] * 3 + ["blocked", "start", "unblock"] + ["block"] * (i % 9 == 0))
+        rows.append((i, ts, "hot.com" if rng.random() < 0.9 else f"d{i % 9}.com", kind))
+    source, limits = scratch_path(spark, "log"), Limits(max_pages_per_domain=60, max_retry_attempts=3, max_execution_time_minutes=12)
     schema = "event_id long, ts timestamp, domain string, kind string"
-    for part in (rows[:100], rows[100:]):
+    for part in (rows[:100], rows[100:700], rows[700:]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    got = {r.event_id: r.reason for r in drain(spark, stream_limiter(stream, limits), "admitted").collect()}
+    got = {r.event_id: r.reason for r in drain(spark, stream_limiter(stream, limits, started=start), "admitted").collect()}
     state, want = {}, {}
     for i, ts, domain, kind in rows:
-        s = state.setdefault(domain, {"pages": 0, "failed": 0, "last": None})
+        s = state.setdefault(domain, {"pages": 0, "failed": 0, "last": None, "block": None})
         wait = 1.0 - (ts - s["last"]).total_seconds() if s["last"] else 0
-        if s["failed"] >= 3:
-            want[i] = f"Domain blocked: Too many failures ({s['failed']})"
-        elif s["pages"] >= 12:
-            want[i] = "Domain page limit reached (12 pages)"
+        want[i] = None
+        if ts - start >= timedelta(minutes=12):
+            want[i] = "Execution time limit reached (12 minutes)"
+            continue
+        if s["block"]:
+            want[i] = f"Domain blocked: {s['block']}"
+        elif s["pages"] >= 60:
+            want[i] = "Domain page limit reached (60 pages)"
         elif wait > 0:
             want[i] = f"Rate limit: wait {wait:.1f}s"
-        else:
-            want[i] = None
+        elif kind in ("start", "success", "failure"):
             s["last"], s["pages"], s["failed"] = ts, s["pages"] + (kind == "success"), s["failed"] + (kind == "failure")
-    assert got == want and len(set(want.values())) > 3
+            if kind == "failure" and s["failed"] >= 3:
+                s["block"] = f"Too many failures ({s['failed']})"
+        if kind in ("block", "unblock"):
+            s["block"] = "Manual block" if kind == "block" else None
+    assert got == want and {str(w)[:8] for w in want.values()} == {"None", "Executio", "Domain b", "Domain p", "Rate lim"}
