@@ -81,10 +81,17 @@ def hash_text(c: Column | str, algorithm: str = "sha256") -> Column:
 def decode_utf8(c: Column | str) -> Column:
     """Bytes to text; bytes that are no valid UTF-8 are dropped.
 
-    Genuine U+FFFD characters are set aside first, as invalid bytes turn into U+FFFD.
+    Invalid bytes turn into U+FFFD, so genuine ones are spelled as a pair of other characters meanwhile, of which the
+    first stands for itself as a pair too.
     """
-    aside = F.replace(col(c).cast("string"), F.lit("\ufffd"), F.lit("\ufdd0"))
-    return F.translate(F.make_valid_utf8(aside), "\ufdd0\ufffd", "\ufffd")
+    mark, itself, replaced = "\ufdd0", "\ufdd0\ufdd1", "\ufdd0\ufdd2"
+    text = col(c).cast("string")
+    for old, new in ((mark, itself), ("\ufffd", replaced)):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    text = F.translate(F.make_valid_utf8(text), "\ufffd", "")
+    for old, new in ((replaced, "\ufffd"), (itself, mark)):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
 
 
 def is_json(c: Column | str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteroster.functions import contacts as C
+from siteroster.functions import html as H
 from siteroster.operators.rows import once, unnest
 
 
@@ -29,6 +30,13 @@ def contact_parts(df: DataFrame, text: str = "text", html: str = "html", min_con
         "phone_numbers": C.phone_numbers("_clean"), "social": C.social_links("_clean", html)}).drop("_clean")
 
 
+def page_emails(pages: DataFrame, min_confidence: float = 0.0) -> DataFrame:
+    """Add ``emails`` to pages, and nothing else that ``extract_contacts`` finds."""
+    clean = once(pages, {"_clean": C.deobfuscate(H.page_text("html"))})
+    hits = once(clean, {"_hits": C.email_hits("_clean", min_confidence), "_mailto": C.mailto_hits(F.coalesce("html", F.lit("")))})
+    return once(hits, {"emails": C.merge_hits("_hits", "_mailto")}).drop("_clean", "_hits", "_mailto")
+
+
 def email_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row per address out of ``extract_contacts``, in order of ``pos``."""
     return unnest(df, keys, "emails", "_e", "_p").select(*keys, "_e.*")

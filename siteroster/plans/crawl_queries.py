@@ -11,7 +11,9 @@ from siteroster.operators import budgets as B
 from siteroster.operators import requests as R
 from siteroster.operators import robots as RB
 from siteroster.operators import tables as O
-from siteroster.operators.report import NETWORKS, contact_report, page_contacts
+from siteroster.operators.contacts import page_emails
+from siteroster.operators.pages import page_ok
+from siteroster.operators.report import NETWORKS, contact_report
 from siteroster.operators.rows import unnest
 from siteroster.operators.walk import crawl_report, site_walk
 from siteroster.plans import check_sql as Q
@@ -194,7 +196,7 @@ def report(spark, sf):
 
 @query("cap_emails", f"WITH {_REPORT_PARTS} SELECT page_id, pos, email FROM found WHERE pos < 5", ints="pos")
 def cap_emails(spark, sf):
-    mails = unnest(page_contacts(all_pages(spark, sf)), ["page_id"], "emails", "e").select("page_id", "pos", "e.email")
+    mails = unnest(page_emails(page_ok(all_pages(spark, sf)), 0.7), ["page_id"], "emails", "e").select("page_id", "pos", "e.email")
     return O.cap_rows(mails, ["page_id"], ["pos"], 5).drop("rank")
 
 

@@ -50,9 +50,32 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch
 
 
+#: Paths that this process has handed out and not deleted.
+_handed_out: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{scratch_dir(spark)}/siteroster/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/siteroster/{label}-{uuid.uuid4().hex}"
+    _handed_out.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete all intermediate tables made inside the block at its end, so read results before that::
+
+        with scratch(spark):
+            crawl_report(pages, seeds).write.parquet(target)
+    """
+    before = len(_handed_out)
+    try:
+        yield
+    finally:
+        for path in _handed_out[before:]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        del _handed_out[before:]
 
 
 def durable(df: DataFrame, label: str = "stage") -> DataFrame:

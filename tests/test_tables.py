@@ -1,3 +1,4 @@
+import os
 import random
 import statistics
 from datetime import datetime, timedelta
@@ -91,7 +92,8 @@ def test_text_helpers(evaluate):
     assert evaluate([" a \n b ", None], lambda v: T.clean_text(v, False)) == ["a \n b", ""]
     assert evaluate(["abcdefgh", "abc", None], lambda v: T.truncate_text(v, 5)) == ["ab...", "abc", None]
     assert evaluate(["a b  c", "  ", ""], T.word_count) == [3, 0, 0]
-    assert evaluate([bytearray(b"a\xffb\xc3\xef\xbf\xbd\xe2\x82"), bytearray("h\xe9€".encode())], T.decode_utf8, "binary") == ["ab�", "h\xe9€"]
+    assert evaluate([bytearray(b"a\xffb\xc3\xef\xbf\xbd\xe2\x82"), bytearray("h\xe9€".encode()), bytearray("\ufdd0\ufdd1\ufffd\ufdd2\ufdd0".encode() + b"\xff")],
+                    T.decode_utf8, "binary") == ["ab�", "h\xe9€", "\ufdd0\ufdd1\ufffd\ufdd2\ufdd0"]
     assert evaluate(['{"a": 1}', '{"a": 1} x', "[1], [2]", "1}, {", "", "nul", None], T.is_json) == [True, False, False, False, False, False, False]
     assert evaluate(["2024-01-02 03:04:05", "2024-13-01 00:00:00", "x"], T.parse_timestamp) == [datetime(2024, 1, 2, 3, 4, 5), None, None]
 
@@ -104,3 +106,15 @@ def test_elapsed_and_percentage(spark):
         "0.0s", "1.2s", "60.0s" if round(59.95, 1) == 60.0 else "59.9s", "1m 0s", "59m 59s", "1h 0m 0s", "25h 1m 1s"]
     shares = spark.createDataFrame([(1, 3), (1, 800), (0, 0), (5, 4)], "p int, t int").select(T.percentage("p", "t")).collect()
     assert [r[0] for r in shares] == [33.33, 0.12, 0.0, 125.0]
+
+
+def test_intermediate_tables_are_deleted(spark):
+    from siteroster import session
+
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    with session.scratch(spark):
+        before = len(session._handed_out)
+        assert O.summary_stats(df, "v").count() == 1 and O.chunk_rows(df, "v", 7, ["id"]).count() > 0
+        made = session._handed_out[before:]
+        assert made and all(os.path.exists(p.removeprefix("file:")) for p in made)
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in made) and len(session._handed_out) == before
