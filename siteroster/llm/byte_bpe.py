@@ -6,7 +6,7 @@ normaliser is the identity, so that sentencepiece merges exactly as the ranks sa
 pre-tokens by the pattern, each is encoded on its own, and ids are decoded by the inverse mapping.
 
 NULL texts count as empty; an empty text has no ids. Repeated rows give repeated results. Texts are
-encoded whole, whatever their length.
+encoded whole, whatever their length. An empty table gives no rows.
 """
 
 from __future__ import annotations

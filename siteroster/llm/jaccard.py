@@ -18,6 +18,7 @@ documents is counted in each fragment on its own, and the counts are summed per
 Words are runs of anything but ASCII white space, with A-Z in lower case. With fewer words than a shingle
 has, the whole sequence is the only shingle. NULL and empty texts have no shingles and no links. NULL ids
 take no part: they come back with a NULL component. ``doc_id`` names one text; repeated rows are repeated in the result.
+An empty table gives no rows. Sets are of 64-bit hashes; the counts are exact for these.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ trained in numpy on labelled text. A text is cut into overlapping windows that c
 probabilities of its windows are averaged.
 
 A NULL text, or one without any letter, is ``und`` with score 0. Equal texts get equal answers. Ties take
-the language that comes first in order. With no labelled text every text is ``und``.
+the language that comes first in order. With no labelled text every text is ``und``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteroster.llm.bytecnn import Adam, Filters, softmax, windows
@@ -70,11 +70,19 @@ class LanguageNet:
 
 
 def sample(documents: DataFrame, learnable: Column, rows: int = FIT_ROWS, longest: int = FIT_BYTES) -> list[tuple[str, str]]:
-    """At most ``rows`` (text, lang) pairs by smallest hash of the id, the same in every run. Ids are chosen
-    before any text is read; NULL ids, texts and languages and texts over ``longest`` bytes do not take part."""
+    """At most ``rows`` (text, lang) pairs, the same in every run: of each language the ids with the smallest hashes.
+
+    Languages take turns, so that a rare one has a share as well. Ids are chosen before any text is read; NULL ids, texts and
+    languages and texts over ``longest`` bytes do not take part. Rows that repeat an id and language may double the number of
+    pairs at most.
+    """
     fit = learnable & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()
+    order = [F.xxhash64("_id"), F.col("_id")]
+    # ranks over ``rows`` are cut before the shuffle, so that a language of most rows sends few
+    turn = F.row_number().over(Window.partitionBy("_lang").orderBy(*order))
     ids = (documents.filter(fit).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-           .orderBy(F.xxhash64("_id"), "_id", "_lang").limit(rows).dropDuplicates())
+           .withColumn("_turn", turn).filter(F.col("_turn") <= rows).orderBy("_turn", *order, "_lang").limit(rows)
+           .select("_id", "_lang").dropDuplicates())
     found = (documents.filter(fit & (F.octet_length("text") <= longest)).select("doc_id", "lang", "text")
              .join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
              .orderBy("doc_id", "lang", "text").limit(2 * rows))

@@ -5,7 +5,7 @@ chunks are combined by their maximum and mean into one feature vector, and a sma
 that into one probability. Training and scoring are numpy; scoring runs in Arrow batches.
 
 NULL texts count as empty; an empty text is one chunk of padding and has a score like any other. Equal
-texts have equal scores. Without labelled rows of both kinds every score is the share of good rows (0.5
+texts have equal scores. An empty table gives no rows. Without labelled rows of both kinds every score is the share of good rows (0.5
 when there are none).
 """
 

@@ -9,11 +9,11 @@ run; there the first document of each class is extended window by window, and a
 if it also starts in a document with a smaller id. Overlapping windows join to maximal repeats.
 
 No pairs of occurrences are made: every step keeps the smallest id per anchor, class or window, so a
-passage in most documents costs one row per occurrence. Equality is told by 128-bit hashes.
+passage in most documents costs one row per occurrence. Equality is told by 128-bit hashes of the words' 64-bit hashes.
 
 NULL texts have no words. NULL ids neither repeat another document nor are repeated. Rows with the same id
 and text get the same result; the same id with another text is a version of its own, and the versions do not
-repeat each other. Copies inside one document do not count.
+repeat each other. Copies inside one document do not count. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ about the same number of bytes, and the count of a cut is remembered, so that a
 encoded once; words over ``LONGEST`` characters are not remembered. A model that does have pieces across words
 gets its texts uncut.
 
-NULL texts count as empty and have no tokens. Special strings inside a text are plain text.
+NULL texts count as empty and have no tokens. Special strings inside a text are plain text. Equal texts have equal
+counts, and an empty table gives no rows.
 """
 
 from __future__ import annotations
