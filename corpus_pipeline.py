@@ -1,7 +1,9 @@
 """A corpus pipeline: quality, near duplicates, repeated passages, benchmark leaks, token ids.
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir), and its result is written and read
-back as the next one's ``docs``. All but the last return the columns of ``documents``.
+back as the next one's ``docs``. All but the last return the columns of ``documents``, and each gives no rows for
+an empty table. NULL and empty texts are empty to every stage; rows with a NULL id are judged by their text alone and are neither
+near copies nor repeats of others. Repeated rows stay or go together. Texts are worked on whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -20,18 +22,19 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores 0.5 or more. It learns from all labelled rows of ``docs``."""
+    """Documents that the classifier scores 0.5 or more. It learns from all labelled rows of ``docs``; without labels
+    of both kinds it keeps all or none, by the kind there is (all, when there is none)."""
     net = quality_cnn.fit(samples.labelled(docs, table(spark, sf_dir, "labels"), "quality", F.lit(True)))
     return quality_cnn.keep_good(docs, net)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id, with all rows of that id."""
     return jaccard.one_per_component(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 50 words and more that an earlier document has."""
+    """Texts without passages of 50 words and more that an earlier document has. A text may become empty; its row stays."""
     out = substrings.without_repeats(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
