@@ -182,8 +182,16 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in _COMPARED], schema=_COMPARED)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
-    """(a, b): the pairs whose sets are similar. Overlaps are counted per fragment and summed per pair.
+def fragments_of(shingles: np.ndarray, classes: np.ndarray, fragments: int = FRAGMENTS) -> list[np.ndarray]:
+    """A set cut by the global order: equal steps of its rare part, and the frequent shingles behind them, each sorted by hash."""
+    rare = classes[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)] == 0
+    at = np.where(rare, ((shingles >> np.uint64(32)) * np.uint64(fragments - 1)) >> np.uint64(32), np.uint64(fragments - 1))
+    order = np.argsort(at, kind="stable")
+    return np.split(shingles[order], np.searchsorted(at[order], np.arange(1, fragments, dtype=np.uint64)))
+
+
+def verified(docs: DataFrame, pairs: DataFrame, classes, fragments: int = FRAGMENTS) -> DataFrame:
+    """(a, b): the pairs whose sets are similar. Overlaps are counted per fragment of the order and summed per pair.
 
     Segments of ``a`` (the hub) and its ``b`` meet by (a, salt, fragment); the number of salts grows with the members.
     """
@@ -198,8 +206,7 @@ def verified(docs: DataFrame, pairs: DataFrame, fragments: int = FRAGMENTS) -> D
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(part.column(1).to_pylist())
-        cuts = (np.arange(1, fragments, dtype=np.uint64) << np.uint64(32)) * np.uint64((1 << 32) // fragments)
-        segments = [x.tobytes() for s in sets for x in np.split(s, np.searchsorted(s, cuts))]
+        segments = [x.tobytes() for s in sets for x in fragments_of(s, classes.value, fragments)]
         row = pa.array(np.repeat(np.arange(len(sets)), fragments))
         return pa.RecordBatch.from_arrays(
             [part.column(2).take(row), part.column(3).take(row), pa.array(np.tile(np.arange(fragments, dtype=np.int32), len(sets))),
@@ -356,10 +363,10 @@ def linked_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
     texts = chosen.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     met = durable(_meetings(texts, shared, least), "met")
     near = durable(_hub_pairs(met, kinds), "near")
-    links = durable(verified(texts, near.filter("likely")).unionByName(equal), "links")
+    links = durable(verified(texts, near.filter("likely"), shared).unionByName(equal), "links")
     found = durable(components(links, "a", "b"), "component")
     family = durable(components(near.select("a", "b").unionByName(links), "a", "b"), "component")
-    more = verified(texts, _open_pairs(met, kinds, found, family))
+    more = verified(texts, _open_pairs(met, kinds, found, family), shared)
     component = components(links.unionByName(more), "a", "b")
     return (rows.join(component, F.col("doc_id") == F.col("node"), "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))

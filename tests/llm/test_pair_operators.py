@@ -112,6 +112,22 @@ def test_links_against_all_pairs(spark, seed):
     assert tuples(jaccard.linked_components(df)) == classes(rows)
 
 
+def test_fragments_cut_the_global_order():
+    """Every fragment's shingles stand before the next one's in the order that ranks them, for every set alike."""
+    rng = np.random.default_rng(2)
+    classes = np.where(rng.random(jaccard.COUNTERS) < 0.1, rng.integers(1, 9, jaccard.COUNTERS), 0).astype(np.uint8)
+    ends = []
+    for n in (0, 1, 50, 5000):
+        shingles = np.unique(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+        parts = jaccard.fragments_of(shingles, classes)
+        ranks = [jaccard._ordered(p, classes) for p in parts]
+        assert len(parts) == jaccard.FRAGMENTS and sorted(np.concatenate(parts).tolist()) == shingles.tolist()
+        assert all((np.diff(p.astype(object)) > 0).all() for p in parts)
+        ends.append([(r[0], r[-1]) if len(r) else None for r in ranks])
+    for i in range(jaccard.FRAGMENTS - 1):
+        assert max(e[i][1] for e in ends if e[i]) < min(e[i + 1][0] for e in ends if e[i + 1])
+
+
 def test_links_on_given_rows(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
