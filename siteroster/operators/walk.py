@@ -168,6 +168,23 @@ def walk_report(visits: DataFrame, pages: DataFrame, captured: str | None = None
     return report_rows(once(joined, {"emails": C.merge_hits(sure, "link_hits")}), ["job_id", "seed", "visit"], "taken")
 
 
+def walk_addresses(visits: DataFrame, pages: DataFrame, captured: str | None = None) -> DataFrame:
+    """(job_id, seed, rank, visit, url, email): the addresses of each seed in the order of its visits, up to its cap.
+
+    A page's rank begins after what the visits before it gave, so no seed's addresses are sorted.
+    """
+    before = F.sum("taken").over(W.partitionBy("job_id", "seed").orderBy("visit").rowsBetween(W.unboundedPreceding, -1))
+    giving = visits.withColumn("_before", F.coalesce(before, F.lit(0))).filter("taken > 0")
+    raw = page_ok(_visited(giving, pages, captured))
+    clean = once(raw.select("url", "html"), {"_clean": C.deobfuscate(H.page_text("html"))})
+    parts = once(clean, {"text_hits": C.email_hits("_clean"), "link_hits": C.mailto_hits("html")}).drop("_clean", "html")
+    joined = skew_safe_lookup(giving, parts, "url", spread_by=["job_id", "seed"], how="inner", hot_rows=HOT_ROWS)
+    sure = F.filter("text_hits", lambda h: h["confidence"] >= F.col("min_confidence"))
+    merged = once(joined, {"emails": F.slice(C.merge_hits(sure, "link_hits"), F.lit(1), F.col("taken"))})
+    return unnest(merged, ["job_id", "seed", "_before", "visit", "url"], "emails", "_e").select(
+        "job_id", "seed", (F.col("_before") + F.col("pos") + 1).alias("rank"), "visit", "url", F.col("_e.email").alias("email"))
+
+
 def walk_counts(visits: DataFrame, pages: DataFrame, captured: str | None = None) -> DataFrame:
     """(job_id, n): the rows that ``walk_report`` has for each job, without making them.
 

@@ -15,7 +15,7 @@ from siteroster.operators.contacts import page_emails
 from siteroster.operators.pages import page_ok
 from siteroster.operators.report import NETWORKS, contact_report
 from siteroster.operators.rows import unnest
-from siteroster.operators.walk import crawl_report, site_walk
+from siteroster.operators.walk import crawl_report, site_walk, walk_addresses
 from siteroster.plans import check_sql as Q
 from siteroster.plans.contact_queries import _PAGE_CLEAN, page_clean
 from siteroster.plans.derived import (
@@ -24,6 +24,7 @@ from siteroster.plans.derived import (
 )
 from siteroster.plans.page_queries import ALL_PAGES, LINKS, all_pages
 from siteroster.plans.registry import CHECKS, query
+from siteroster.session import durable
 from siteroster.sources.readers import read_table
 
 _LOG = f"log AS ({table_sql(CRAWL_LOG)})"
@@ -308,14 +309,23 @@ def crawl(spark, sf):
     return crawl_report(captures(spark, sf), _seeds(spark, sf), _all_robots(spark, sf), captured="captured")
 
 
-@query("visit_cap", f"""WITH RECURSIVE {_WALK} SELECT job_id, seed, max(visit) AS pages_visited, max(visit) = 15 AS capped, sum(taken) AS addresses
+@query("cap_pages_per_seed", f"""WITH RECURSIVE {_WALK} SELECT job_id, seed, max(visit) AS pages_visited, max(visit) = 15 AS capped, sum(taken) AS addresses
     FROM walk WHERE visit > 0 GROUP BY 1, 2""", ints="pages_visited", longs="addresses")
-def visit_cap(spark, sf):
+def cap_pages_per_seed(spark, sf):
     """Pages and addresses of each seed, and whether the cap on pages ended its walk or could have."""
     return _visits(spark, sf).groupBy("job_id", "seed").agg(
         F.max("visit").alias("pages_visited"), (F.max("visit") == 15).alias("capped"), F.sum("taken").alias("addresses"))
 
 
+@query("cap_emails_per_seed", f"""WITH RECURSIVE {_WALK} SELECT job_id, seed, before + f.pos + 1 AS rank, visit, w.url, email FROM (
+      SELECT *, coalesce(sum(taken) OVER (PARTITION BY job_id, seed ORDER BY visit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM walk WHERE visit > 0) w
+    JOIN facts ON facts.url = w.url JOIN found f ON f.page_id = facts.page_id WHERE ok AND f.pos < taken""", longs="rank")
+def cap_emails_per_seed(spark, sf):
+    """The addresses that count against the cap of a seed, numbered in the order of its visits."""
+    visits = durable(_visits(spark, sf), "visits")
+    return walk_addresses(visits, captures(spark, sf), "captured")
+
+
 # --- requests and jobs ----------------------------------------------------------------------------
 
 _REQ = f"({table_sql(REQUESTS)})"
