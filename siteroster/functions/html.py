@@ -94,6 +94,12 @@ def decode_references(text: Column | str, unknown: str = "open") -> Column:
 
 # --- page text ----------------------------------------------------------------------------
 
+def _first_inside(m: Column, tag: str) -> Column:
+    """All between the first tag of a name and the next end tag of that name; empty when there is none."""
+    rest = F.regexp_extract(m, rf"(?is)<{tag}\b[^>]*+>(.*)", 1)
+    return let(rest, lambda r: let(F.split(r, rf"(?i)</{tag}\s*>", 2), lambda x: F.when(F.size(x) > 1, x[0]).otherwise("")))
+
+
 # Comments, code, declarations and tags, in page order; what stands in quotes belongs to its tag.
 _TOKEN = (rf"(?is)<!--.*?-->|<(script|style)\b{_ATTRS}>[^<]*+(?:<(?!/\1\b)[^<]*+)*+(?:</\1\s*>|\z)"
           rf"|<[!?][^>]*+>|{_TAG}|{_ODD_TAG}")
@@ -294,8 +300,8 @@ def page_title(html: Column | str) -> Column:
 
 
 def title_in(m: Column, entries: Column | str) -> Column:
-    title = _only_string(F.regexp_extract(m, r"(?is)<title\b[^>]*+>(.*?)</title\s*>", 1))
-    h1 = _only_string(F.regexp_extract(m, r"(?is)<h1\b[^>]*+>(.*?)</h1\s*>", 1))
+    title = _only_string(_first_inside(m, "title"))
+    h1 = _only_string(_first_inside(m, "h1"))
     return F.coalesce(strip(decode_references(title)),
                       _first_content(col(entries), "property", "og:title"),
                       strip(decode_references(h1)))
@@ -312,5 +318,5 @@ def json_ld(html: Column | str) -> Column:
     bodies = F.regexp_extract_all(
         F.regexp_replace(col(html), _COMMENT, ""),
         F.lit(r"""(?s)<(?:script|SCRIPT)\b[^>]*?\stype\s*=\s*["']?application/ld\+json["']?(?:\s[^>]*)?>"""
-              r"""(.*?)</(?:script|SCRIPT)\s*>"""), F.lit(1))
+              r"""([^<]*+(?:<(?!/(?:script|SCRIPT)\b)[^<]*+)*+)(?:</(?:script|SCRIPT)\s*>|\z)"""), F.lit(1))
     return F.filter(bodies, is_json)

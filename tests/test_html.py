@@ -5,6 +5,7 @@ from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from siteroster.functions import fixed_values as V
 from siteroster.functions import html as H
@@ -271,3 +272,17 @@ def test_deep_and_open_tags_take_no_square_of_time(evaluate):
     assert evaluate(["<h1>" * 250000], H.page_headings) == [[]]
     assert evaluate(["</p>" * 100000 + "<p>" * 100000 + "</div>" * 30000], lambda v: H.element_texts(v, "p")) == [[]]
     assert time.monotonic() - begin < 20
+
+
+def test_unclosed_titles_and_scripts_take_no_square_of_time(evaluate):
+    pages = ["<title>" * 100000 + "end", "<h1>" * 100000, '<script type="application/ld+json">' * 20000]
+    evaluate(["<title>a</title>"], lambda v: F.struct(H.page_title(v), F.size(H.json_ld(v))))
+    begin = time.monotonic()
+    assert evaluate(pages, lambda v: F.struct(H.page_title(v), F.size(H.json_ld(v)))) == [(None, 0)] * 3
+    assert time.monotonic() - begin < 30
+
+
+def test_unclosed_linked_data_reaches_to_the_end(evaluate):
+    assert evaluate(['<script type="application/ld+json">{"a": 1}', '<script type="application/ld+json">{"a": "<b>"}</script>x'], H.json_ld) == [
+        ['{"a": 1}'], ['{"a": "<b>"}']]
+    assert evaluate(["<title>a", "<title>b</title>c</title>", "<titles>x</titles><title>y</title>"], H.page_title) == [None, "b", "y"]
