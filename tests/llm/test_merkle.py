@@ -74,14 +74,14 @@ def made(n):
     return rows + [(None, None, None, None, None), (None, "A", "en", None, 1), (3, "x", "en", None, 1), (3, "x", "en", None, 1), (3, "a", "en", None, 1)]
 
 
-@pytest.mark.parametrize("n", [3, 40, 700])
+@pytest.mark.parametrize("n", [3, 700])
 def test_manifest_equals_a_plain_build(spark, n):
     rows = made(n)
     assert sorted((tuple(r) for r in audited(spark, rows).collect()), key=repr) == expected(rows)
 
 
 def test_full_runs_and_lone_ends(spark):
-    for n in (1, 8, 9, 64, 65):
+    for n in (8, 65):
         rows = [(i, f"Row {i}", "en", None, i) for i in range(n)]
         assert sorted((tuple(r) for r in audited(spark, rows).collect()), key=repr) == expected(rows)
 
