@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteroster.llm.common import HASHES, add_columns, give_back, mix, mounted, runs
+from siteroster.llm.common import add_columns, give_back, mix, mounted, runs
 from siteroster.session import scratch_path
 
 #: Pairs in a shard, on average and at most about; tokens that a task counts at once; bytes of a text split at once.
@@ -47,7 +47,9 @@ _PLACE = (1 << PLACE_BITS) - 1
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 #: No word has a space.
-START, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" start", b" end"))
+_START_WORD, _END_WORD = b" start", b" end"
+_FIRST, _LAST = np.array([0]), np.array([1])
+START = np.uint64(xxhash.xxh3_64_intdigest(_START_WORD))
 #: Facts of a word besides its count: kinds of word before it; occurrences, kinds, kinds seen once and twice after it.
 FACTS = ("left", "total", "kinds", "once", "twice")
 _FALLBACK = (0.5, 1.0, 1.5)
@@ -55,16 +57,39 @@ _FALLBACK = (0.5, 1.0, 1.5)
 _MOST_OPEN = 8192
 
 
-def token_hashes(text: str | None) -> np.ndarray:
-    """Start, the words' hashes, end."""
-    data = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
-    parts, at = [np.array([START])], 0
-    while at < len(data):
-        stop = _SPACE.search(data, at + PIECE)
-        end = stop.start() if stop else len(data)
-        parts.append(HASHES.of(data[at:end].split()))
-        at = end
-    return np.concatenate([*parts, np.array([END])])
+class Words(dict):
+    """A number for each distinct word of some texts, in the order in which they come; 0 is the start and 1 the end."""
+
+    def __init__(self):
+        super().__init__({_START_WORD: 0, _END_WORD: 1})
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+    def tokens(self, text: str | None) -> np.ndarray:
+        """Start, the words, end."""
+        data = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
+        parts, at = [_FIRST], 0
+        while at < len(data):
+            stop = _SPACE.search(data, at + PIECE)
+            end = stop.start() if stop else len(data)
+            words = data[at:end].split()
+            parts.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+            at = end
+        return np.concatenate([*parts, _LAST])
+
+    def found(self, shards: Shards, names: tuple[str, ...]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """(id or -1, values) of every word, by its number."""
+        keys = self.hashes()
+        order = np.argsort(keys)
+        ids, values = shards.find(keys[order], names)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return ids[back], {n: v[back] for n, v in values.items()}
+
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self), np.uint64, len(self))
 
 
 class Shards:
@@ -195,20 +220,20 @@ def _sums(rows: DataFrame, n: int) -> list[int]:
     return [v or 0 for v in rows.agg(*[F.sum(c) for c in rows.columns]).first()][:n]
 
 
-def _counting(count: Callable[[np.ndarray], pa.RecordBatch]) -> Callable:
+def _counting(count: Callable[[Words, np.ndarray], pa.RecordBatch]) -> Callable:
     """Gather the tokens of texts up to ``ROOM`` and count them in one go."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        words, held, size = Words(), [], 0
         for batch in batches:
             for part in runs(batch, 0):
                 for t in part.column(0).to_pylist():
-                    held.append(token_hashes(t))
+                    held.append(words.tokens(t))
                     size += len(held[-1])
                 if size >= ROOM:
-                    yield count(np.concatenate(held))
-                    held, size = [], 0
+                    yield count(words, np.concatenate(held))
+                    words, held, size = Words(), [], 0
         if held:
-            yield count(np.concatenate(held))
+            yield count(words, np.concatenate(held))
         give_back()
     return work
 
@@ -217,10 +242,10 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
-def _word_rows(words: Shards) -> Callable[[np.ndarray], pa.RecordBatch]:
-    def count(tokens: np.ndarray) -> pa.RecordBatch:
-        keys, n = np.unique(tokens, return_counts=True)
-        return _batch(shard=words.shard(keys).astype(np.int32), key=keys.view(np.int64), n=n)
+def _word_rows(shards: Shards) -> Callable[[Words, np.ndarray], pa.RecordBatch]:
+    def count(words: Words, tokens: np.ndarray) -> pa.RecordBatch:
+        keys = words.hashes()
+        return _batch(shard=shards.shard(keys).astype(np.int32), key=keys.view(np.int64), n=np.bincount(tokens, minlength=len(keys)))
     return count
 
 
@@ -259,15 +284,14 @@ def _write_words(words: Shards):
     return work
 
 
-def _pair_rows(words: Shards, pairs: Shards, shard_rows: int) -> Callable[[np.ndarray], pa.RecordBatch]:
-    def count(tokens: np.ndarray) -> pa.RecordBatch:
-        keys, at = np.unique(tokens, return_inverse=True)
-        ids, facts = words.find(keys, ("count",))
-        code = (at[:-1] << 32 | at[1:])[tokens[1:] != START]
+def _pair_rows(shards: Shards, pairs: Shards, shard_rows: int) -> Callable[[Words, np.ndarray], pa.RecordBatch]:
+    def count(words: Words, tokens: np.ndarray) -> pa.RecordBatch:
+        ids, facts = words.found(shards, ("count",))
+        code = (tokens[:-1] << 32 | tokens[1:])[tokens[1:] != 0]
+        # pairs of one first word come together, which compresses well
         code, n = np.unique(code, return_counts=True)
         first, second = code >> 32, code & 0xFFFFFFFF
         key = address(ids[first], ids[second], facts["count"][first] > shard_rows, pairs.bits)
-        # in order of the first word, which compresses well
         return _batch(shard=pairs.shard(key).astype(np.int32), first=ids[first], second=ids[second], n=n)
     return count
 
@@ -328,17 +352,16 @@ def _write_facts(words: Shards):
     return work
 
 
-def probabilities(model: KneserNey, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def probabilities(model: KneserNey, words: Words, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(count in training, probability after the token before it) of each token; those of starts mean nothing."""
     low, high = (np.array(d) for d in model.discounts)
-    keys, at = np.unique(tokens, return_inverse=True)
-    ids, fact = model.words.find(keys, ("count", *FACTS))
-    alone = model.spare / (model.types + 1) + np.zeros(len(keys))
+    ids, fact = words.found(model.words, ("count", *FACTS))
+    alone = model.spare / (model.types + 1) + np.zeros(len(ids))
     if model.contexts:
         alone += np.maximum(fact["left"] - low[np.minimum(fact["left"], 3)], 0) / model.contexts
     total = np.maximum(fact["total"], 1)
     spare = (high[1] * fact["once"] + high[2] * fact["twice"] + high[3] * (fact["kinds"] - fact["once"] - fact["twice"])) / total
-    code, back = np.unique(at[:-1] << 32 | at[1:], return_inverse=True)
+    code, back = np.unique(tokens[:-1] << 32 | tokens[1:], return_inverse=True)
     first, second = code >> 32, code & 0xFFFFFFFF
     seen = np.zeros(len(code))
     known = np.flatnonzero((ids[first] >= 0) & (ids[second] >= 0) & (fact["total"][first] > 0))
@@ -347,7 +370,7 @@ def probabilities(model: KneserNey, tokens: np.ndarray) -> tuple[np.ndarray, np.
     seen[known[order]] = model.pairs.find(key[order], ("count",))[1]["count"]
     after = np.maximum(seen - high[np.minimum(seen, 3).astype(np.int64)], 0) / total[first] + spare[first] * alone[second]
     chance = np.where(fact["total"][first] > 0, after, alone[second])
-    return fact["count"][at], np.concatenate([[1.0], chance[back]])
+    return fact["count"][tokens], np.concatenate([[1.0], chance[back]])
 
 
 def score(docs: DataFrame, model: KneserNey, text: str = "text") -> DataFrame:
@@ -357,11 +380,12 @@ def score(docs: DataFrame, model: KneserNey, text: str = "text") -> DataFrame:
     the whole text with its end; perplexity is per token.
     """
     def work(texts: list[str | None]) -> dict[str, object]:
-        each = [token_hashes(t) for t in texts]
+        words = Words()
+        each = [words.tokens(t) for t in texts]
         tokens = np.concatenate(each)
         begin = np.cumsum([0, *map(len, each)])[:-1]
-        count, chance = probabilities(model, tokens)
-        real = tokens != START
+        count, chance = probabilities(model, words, tokens)
+        real = tokens != 0
         base = np.where(real, np.log10((count + 0.1) / (model.tokens + 0.1 * (model.types + 1))), 0)
         n = np.add.reduceat(real.astype(np.int64), begin)
         total = np.add.reduceat(np.where(real, np.log10(chance), 0), begin)
