@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import math
 import os
-import re
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
@@ -32,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,16 +39,13 @@ from pyspark.sql import functions as F
 from siteroster.llm.common import add_columns, give_back, mix, mounted, runs
 from siteroster.session import scratch_path
 
-#: Pairs in a shard, on average and at most about; tokens that a task counts at once; bytes of a text split at once.
-SHARD_ROWS, ROOM, PIECE = 1 << 20, 1 << 22, 1 << 22
+#: Pairs in a shard, on average and at most about; rows that a task merges at once; bytes of text that it counts at once.
+SHARD_ROWS, ROOM, TEXT_BYTES = 1 << 20, 1 << 22, 1 << 25
 #: Bits of an id that are the place in its shard.
 PLACE_BITS = 40
 _PLACE = (1 << PLACE_BITS) - 1
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 #: No word has a space.
 _START_WORD, _END_WORD = b" start", b" end"
-_FIRST, _LAST = np.array([0]), np.array([1])
 START = np.uint64(xxhash.xxh3_64_intdigest(_START_WORD))
 #: Facts of a word besides its count: kinds of word before it; occurrences, kinds, kinds seen once and twice after it.
 FACTS = ("left", "total", "kinds", "once", "twice")
@@ -57,27 +54,26 @@ _FALLBACK = (0.5, 1.0, 1.5)
 _MOST_OPEN = 8192
 
 
-class Words(dict):
-    """A number for each distinct word of some texts, in the order in which they come; 0 is the start and 1 the end."""
+class Words:
+    """The distinct words of some texts, numbered; 0 is the start and 1 the end.
 
-    def __init__(self):
-        super().__init__({_START_WORD: 0, _END_WORD: 1})
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
+    ``tokens`` are the numbers of start, words and end of one text after the other, ``begin`` where each text begins.
+    """
 
-    def tokens(self, text: str | None) -> np.ndarray:
-        """Start, the words, end."""
-        data = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
-        parts, at = [_FIRST], 0
-        while at < len(data):
-            stop = _SPACE.search(data, at + PIECE)
-            end = stop.start() if stop else len(data)
-            words = data[at:end].split()
-            parts.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
-            at = end
-        return np.concatenate([*parts, _LAST])
+    def __init__(self, texts: pa.Array):
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+        flat, offsets = parts.flatten(), parts.offsets.to_numpy()
+        real = np.asarray(pc.greater(pc.binary_length(flat), 0))  # white space at an end leaves an empty word
+        before = np.concatenate([[0], np.cumsum(real)])
+        count = before[offsets[1:]] - before[offsets[:-1]]
+        coded = (flat if real.all() else flat.filter(pa.array(real))).dictionary_encode()
+        self.words = [_START_WORD, _END_WORD, *coded.dictionary.cast(pa.binary()).to_pylist()]
+        self.begin = np.cumsum(count + 2) - (count + 2)
+        self.tokens = np.zeros(int(count.sum()) + 2 * len(count), np.int64)
+        inner = np.ones(len(self.tokens), bool)
+        inner[self.begin] = inner[self.begin + count + 1] = False
+        self.tokens[self.begin + count + 1] = 1
+        self.tokens[inner] = coded.indices.to_numpy().astype(np.int64) + 2
 
     def found(self, shards: Shards, names: tuple[str, ...]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """(id or -1, values) of every word, by its number."""
@@ -89,7 +85,7 @@ class Words(dict):
         return ids[back], {n: v[back] for n, v in values.items()}
 
     def hashes(self) -> np.ndarray:
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, self), np.uint64, len(self))
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
 
 
 class Shards:
@@ -220,20 +216,19 @@ def _sums(rows: DataFrame, n: int) -> list[int]:
     return [v or 0 for v in rows.agg(*[F.sum(c) for c in rows.columns]).first()][:n]
 
 
-def _counting(count: Callable[[Words, np.ndarray], pa.RecordBatch]) -> Callable:
-    """Gather the tokens of texts up to ``ROOM`` and count them in one go."""
+def _counting(count: Callable[[Words], pa.RecordBatch]) -> Callable:
+    """Gather texts up to ``TEXT_BYTES`` and count them in one go."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = Words(), [], 0
+        held, size = [], 0
         for batch in batches:
             for part in runs(batch, 0):
-                for t in part.column(0).to_pylist():
-                    held.append(words.tokens(t))
-                    size += len(held[-1])
-                if size >= ROOM:
-                    yield count(words, np.concatenate(held))
-                    words, held, size = Words(), [], 0
+                held.append(part.column(0))
+                size += part.column(0).nbytes
+                if size >= TEXT_BYTES:
+                    yield count(Words(pa.concat_arrays(held)))
+                    held, size = [], 0
         if held:
-            yield count(words, np.concatenate(held))
+            yield count(Words(pa.concat_arrays(held)))
         give_back()
     return work
 
@@ -242,10 +237,10 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
-def _word_rows(shards: Shards) -> Callable[[Words, np.ndarray], pa.RecordBatch]:
-    def count(words: Words, tokens: np.ndarray) -> pa.RecordBatch:
+def _word_rows(shards: Shards) -> Callable[[Words], pa.RecordBatch]:
+    def count(words: Words) -> pa.RecordBatch:
         keys = words.hashes()
-        return _batch(shard=shards.shard(keys).astype(np.int32), key=keys.view(np.int64), n=np.bincount(tokens, minlength=len(keys)))
+        return _batch(shard=shards.shard(keys).astype(np.int32), key=keys.view(np.int64), n=np.bincount(words.tokens, minlength=len(keys)))
     return count
 
 
@@ -284,8 +279,9 @@ def _write_words(words: Shards):
     return work
 
 
-def _pair_rows(shards: Shards, pairs: Shards, shard_rows: int) -> Callable[[Words, np.ndarray], pa.RecordBatch]:
-    def count(words: Words, tokens: np.ndarray) -> pa.RecordBatch:
+def _pair_rows(shards: Shards, pairs: Shards, shard_rows: int) -> Callable[[Words], pa.RecordBatch]:
+    def count(words: Words) -> pa.RecordBatch:
+        tokens = words.tokens
         ids, facts = words.found(shards, ("count",))
         code = (tokens[:-1] << 32 | tokens[1:])[tokens[1:] != 0]
         # pairs of one first word come together, which compresses well
@@ -352,8 +348,9 @@ def _write_facts(words: Shards):
     return work
 
 
-def probabilities(model: KneserNey, words: Words, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def probabilities(model: KneserNey, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(count in training, probability after the token before it) of each token; those of starts mean nothing."""
+    tokens = words.tokens
     low, high = (np.array(d) for d in model.discounts)
     ids, fact = words.found(model.words, ("count", *FACTS))
     alone = model.spare / (model.types + 1) + np.zeros(len(ids))
@@ -380,12 +377,9 @@ def score(docs: DataFrame, model: KneserNey, text: str = "text") -> DataFrame:
     the whole text with its end; perplexity is per token.
     """
     def work(texts: list[str | None]) -> dict[str, object]:
-        words = Words()
-        each = [words.tokens(t) for t in texts]
-        tokens = np.concatenate(each)
-        begin = np.cumsum([0, *map(len, each)])[:-1]
-        count, chance = probabilities(model, words, tokens)
-        real = tokens != 0
+        words = Words(pa.array(texts, pa.string()))
+        begin, real = words.begin, words.tokens != 0
+        count, chance = probabilities(model, words)
         base = np.where(real, np.log10((count + 0.1) / (model.tokens + 0.1 * (model.types + 1))), 0)
         n = np.add.reduceat(real.astype(np.int64), begin)
         total = np.add.reduceat(np.where(real, np.log10(chance), 0), begin)
