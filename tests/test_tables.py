@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from siteroster.functions import text as T
 from siteroster.operators import tables as O
-from siteroster.operators.rows import fan_out, once, unnest
+from siteroster.operators.rows import fan_out, once, spread, unnest
 from siteroster.operators.running import running, with_index
+from siteroster.plans.page_queries import all_pages
 
 random.seed(7)
 # one key holds well over a third of the rows, and many rows share a time
@@ -75,6 +76,19 @@ def test_plan_shapers(spark):
     assert "Exchange" not in fan_out(spark.range(0, 100, 1, 16))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_spread_deals_out_what_fills_one_split(spark, tmp_path):
+    few, many = str(tmp_path / "customer.parquet"), str(tmp_path / "pages.parquet")
+    spark.range(1, 20001).selectExpr("id AS c_custkey", "'n' || id AS c_name", "'BUILDING' AS c_mktsegment", "1 AS c_nationkey").coalesce(1).write.parquet(few)
+    spark.range(0, 40, 1, 10).selectExpr("id AS page_id", "'http://a.com/' || id AS url", "'<p>x</p>' AS html").write.parquet(many)
+    pages = all_pages(spark, str(tmp_path))
+    sizes = [r["count"] for r in pages.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 20040 and max(sizes) <= 20000 / 8 + 8
+    ids = spread(spark.range(0, 1000, 1, 9), rows_a_task=100)
+    assert ids.rdd.getNumPartitions() == 10 and sorted(r.id for r in ids.collect()) == list(range(1000))
+    assert "Exchange" not in spread(spark.range(0, 100, 1, 16))._jdf.queryExecution().executedPlan().toString()
+    assert spread(spark.range(0)).count() == 0
+
+
 def test_flatten(spark):
     df = spark.createDataFrame([(1, [[1, 2], [], [3]]), (2, [])], "id int, n array<array<int>>")
     assert [tuple(r) for r in O.flatten_rows(df, "n").collect()] == [(1, 0, 1), (1, 1, 2), (1, 2, 3)]
