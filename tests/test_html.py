@@ -286,3 +286,15 @@ def test_unclosed_linked_data_reaches_to_the_end(evaluate):
     assert evaluate(['<script type="application/ld+json">{"a": 1}', '<script type="application/ld+json">{"a": "<b>"}</script>x'], H.json_ld) == [
         ['{"a": 1}'], ['{"a": "<b>"}']]
     assert evaluate(["<title>a", "<title>b</title>c</title>", "<titles>x</titles><title>y</title>"], H.page_title) == [None, "b", "y"]
+
+
+def test_tokens_begin_with_one_sign(evaluate):
+    """The pattern has the one sign in front of its alternatives, and finds what they find each on its own."""
+    assert H._TOKEN.startswith("(?is)<(?:") and "|<" not in H._TOKEN.replace("(?:<", "")
+    apart = (rf"(?is)<!--.*?-->|<(script|style)\b{H._ATTRS}>[^<]*+(?:<(?!/\1\b)[^<]*+)*+(?:</\1\s*>|\z)"
+             rf"|<[!?][^>]*+>|{H._TAG}|{H._ODD_TAG}")
+    rng = random.Random(3)
+    parts = ["<", ">", "<!--", "-->", "<!", "<?x", "<SCRIPT", "<style a='>'>", "</script >", "</style>", "<a href=\"", "\"", "</p>", "< b", "=", "'", "x ", "\n"]
+    pages = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(400)]
+    found = [evaluate(pages, lambda h, t=t: F.regexp_extract_all(h, F.lit(t), F.lit(0))) for t in (H._TOKEN, apart)]
+    assert found[0] == found[1]
