@@ -9,6 +9,7 @@ from siteroster.functions import text as T
 from siteroster.operators import tables as O
 from siteroster.operators.rows import fan_out, once, spread, unnest
 from siteroster.operators.running import running, with_index
+from siteroster.plans.contact_queries import documents
 from siteroster.plans.page_queries import all_pages
 
 random.seed(7)
@@ -89,6 +90,25 @@ def test_spread_deals_out_what_fills_one_split(spark, tmp_path):
     assert spread(spark.range(0)).count() == 0
 
 
+def test_no_task_of_pages_or_texts_grows_with_the_input(spark, tmp_path):
+    def most(df):
+        return max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+    spark.range(1, 20001).selectExpr("id AS c_custkey", "'n' || id AS c_name", "'BUILDING' AS c_mktsegment", "1 AS c_nationkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(0, 24000, 1, 8).selectExpr("id AS page_id", "'http://a.com/' || id AS url", "'<p>x</p>' AS html").write.parquet(str(tmp_path / "pages.parquet"))
+    pages = all_pages(spark, str(tmp_path))
+    assert pages.count() == 44000 and most(pages) <= 2048 + 8
+    # one row group, and as many splits as there are cores
+    spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "sha2(string(id), 512) AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "20000")
+    try:
+        texts = documents(spark, str(tmp_path))
+        assert texts.count() == 4000 and most(texts) <= 4000 / 8 + 8
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_flatten(spark):
     df = spark.createDataFrame([(1, [[1, 2], [], [3]]), (2, [])], "id int, n array<array<int>>")
     assert [tuple(r) for r in O.flatten_rows(df, "n").collect()] == [(1, 0, 1), (1, 1, 2), (1, 2, 3)]
