@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteroster.functions import contacts as C
 from siteroster.functions import fixed_values as V
+from siteroster.functions.text import SPACE
 from siteroster.operators.contacts import extract_contacts
 from tests.conftest import DATA
 
@@ -112,6 +113,28 @@ def test_social_links(evaluate):
     assert strict.twitter == "https://twitter.com/late"
 
 
+PLAIN_PATTERNS = {C.PHONE: "(?U)" + V.PHONE_PARTS.format(d=r"\p{Nd}", s=SPACE[1:-1]), C.SOCIAL: rf"(?iu){V.SOCIAL_URL}"}
+
+
+def test_first_characters_of_all_alphabets(evaluate):
+    starts = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    for tail, pattern in (("1234-5678 ", C.PHONE), ("nstagram.com/a ", C.SOCIAL), ("acebook.com/b ", C.SOCIAL), (".com/c ", C.SOCIAL)):
+        whole = "".join(s + tail for s in starts)
+        now, before = (evaluate([whole], lambda v, p=p: F.regexp_extract_all(v, F.lit(p), F.lit(0)))[0] for p in (pattern, PLAIN_PATTERNS[pattern]))
+        assert now == before and len(now) >= 2
+
+
+def test_parts_are_tried_only_at_first_characters(evaluate):
+    prose = "Many rooms and quiet gardens are open to guests, as before. " * 40000
+    for pattern, plain in PLAIN_PATTERNS.items():
+        took = {pattern: [], plain: []}
+        for p in [pattern, plain] * 4:
+            begin = time.time()
+            assert evaluate([prose], lambda v, p=p: F.regexp_count(v, F.lit(p)) + F.regexp_count(v, F.lit(p + "(?:)"))) == [0]
+            took[p].append(time.time() - begin)
+        assert min(took[pattern]) < 0.9 * min(took[plain])
+
+
 def test_plain_words_option(evaluate):
     assert evaluate(["visit us at acme.com"], C.deobfuscate) == ["visit us@acme.com"]
     assert evaluate(["visit us at acme.com"], lambda v: C.deobfuscate(v, plain_words=False)) == ["visit us at acme.com"]
