@@ -11,6 +11,7 @@ from siteroster.operators import crypto as X
 from siteroster.operators.budgets import Limits
 from siteroster.operators.contacts import email_rows
 from siteroster.operators.report import page_contacts
+from siteroster.plans.storage_queries import file_a_task
 from siteroster.session import scratch_path
 from siteroster.sources import writers as Wr
 from siteroster.sources.readers import hash_files, read_pages, read_texts
@@ -157,3 +158,16 @@ def test_stream_limiter_agrees_with_a_plain_loop(spark):
         if kind in ("block", "unblock"):
             s["block"] = "Manual block" if kind == "block" else None
     assert got == want and {str(w)[:8] for w in want.values()} == {"None", "Executio", "Domain b", "Domain p", "Rate lim"}
+
+
+def test_each_file_of_a_stream_is_a_task_of_its_own(spark, tmp_path):
+    source, opening = str(tmp_path / "in"), "spark.sql.files.openCostInBytes"
+    spark.range(0, 4000, 1, 40).write.parquet(source)
+    before, sizes = spark.conf.get(opening), []
+
+    def note(batch, _):
+        sizes.extend(r["count"] for r in batch.groupBy(F.spark_partition_id()).count().collect())
+    with file_a_task(spark):
+        stream = spark.readStream.schema("id long").parquet(source)
+        stream.writeStream.foreachBatch(note).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    assert sizes == [100] * 40 and spark.conf.get(opening) == before
