@@ -8,8 +8,9 @@ but its first document repeats the whole run. Where one anchor has several class
 run; there the first document of each class is extended window by window, and a window counts as repeated
 if it also starts in a document with a smaller id. Overlapping windows join to maximal repeats.
 
-No pairs of occurrences are made: every step keeps the smallest id per anchor, class or window, so a
-passage in most documents costs one row per occurrence. Equality is told by 128-bit hashes of the words' 64-bit hashes.
+No pairs of occurrences are made: every step keeps the smallest id per anchor, class or window. A run that a
+document has many times is one row with the places of all, so a passage in most documents costs one row per
+document, however often each repeats it. Equality is told by 128-bit hashes of the words' 64-bit hashes.
 
 NULL texts have no words. NULL ids neither repeat another document nor are repeated. Rows with the same id
 and text get the same result; the same id with another text is a version of its own, and the versions do not
@@ -104,15 +105,29 @@ def anchored_runs(texts: list[str | None], length: int = LENGTH, k: int = K) ->
             "size": end - start, "s1": s1, "s2": s2}
 
 
+def equal_runs(r: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], pa.Array]:
+    """The first of equal runs in each text, and where the others start (null: there are none)."""
+    same = ("doc", "anchor", "size", "s1", "s2")
+    order = np.lexsort([r["start"], *(r[c] for c in reversed(same))])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([np.diff(r[c][order]) != 0 for c in same], axis=0)
+    others = np.diff(np.append(np.flatnonzero(new), len(order))) - 1
+    ends = pa.array(np.append(0, np.cumsum(others)), pa.int32(), mask=np.append(others == 0, False))
+    more = pa.ListArray.from_arrays(ends, pa.array(r["start"][order[~new]].astype(np.int32)))
+    first = order[new]
+    back = np.argsort(first)  # as in the texts
+    return {c: v[first[back]] for c, v in r.items()}, more.take(pa.array(back))
+
+
 def _seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["anchor", "doc_id", "version", "start", "size", "s1", "s2"]
+    names = ["anchor", "doc_id", "version", "start", "more", "size", "s1", "s2"]
     for batch in batches:
         for part in runs(batch, 2):
-            r = anchored_runs(part.column(2).to_pylist())
+            r, more = equal_runs(anchored_runs(part.column(2).to_pylist()))
             pick = pa.array(r["doc"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(r["anchor"]), part.column(0).take(pick), part.column(1).take(pick),
-                 pa.array(r["start"].astype(np.int32)), pa.array(r["size"].astype(np.int32)), pa.array(r["s1"]),
+                 pa.array(r["start"].astype(np.int32)), more, pa.array(r["size"].astype(np.int32)), pa.array(r["s1"]),
                  pa.array(r["s2"])], names=names)
 
 
@@ -147,7 +162,7 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     whole_number(docs, key)
     rows = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).cast("long").alias("doc_id"), version(text).alias("version"), F.col(text).alias("text"))
-    seeds = durable(rows.mapInArrow(tidy(_seed), "anchor long, doc_id long, version long, start int, size int, s1 long, s2 long"), "seeds")
+    seeds = durable(rows.mapInArrow(tidy(_seed), "anchor long, doc_id long, version long, start int, more array<int>, size int, s1 long, s2 long"), "seeds")
 
     # anchors of one document only are dropped before anything else is joined
     shared = (seeds.groupBy("anchor").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"))
@@ -171,15 +186,18 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
               .groupBy("c1", "s1").agg(F.collect_set("offset").alias("offsets")))  # at most one per window of a run
 
     members = met.join(classes.select("c1", "s1", F.col("first.doc_id").alias("_first")), ["c1", "s1"])
+    starts = F.coalesce(F.concat(F.array("start"), "more"), F.array("start"))
     later = members.filter(F.col("doc_id") > F.col("_first")).select(
-        "doc_id", "version", F.col("start").alias("_start"), (F.col("start") + F.col("size")).alias("_end"))
+        "doc_id", "version", F.transform(starts, lambda s: _span(s, s + F.col("size"))).alias("_own"))
     partly = (members.filter(F.col("doc_id") == F.col("_first")).join(inside, ["c1", "s1"])
-              .select("doc_id", "version", "start", F.explode("offsets").alias("_offset"))
-              .select("doc_id", "version", (F.col("start") + F.col("_offset")).alias("_start"),
-                      (F.col("start") + F.col("_offset") + LENGTH).alias("_end")))
+              .select("doc_id", "version", F.flatten(F.transform(starts, lambda s: F.transform(
+                  "offsets", lambda o: _span(s + o, s + o + LENGTH)))).alias("_own")))
     # a document's own ranges only: their number is bounded by its words
-    return later.unionByName(partly).groupBy("doc_id", "version").agg(
-        F.collect_list(F.struct(F.col("_start").alias("start"), F.col("_end").alias("end"))).alias("spans"))
+    return later.unionByName(partly).groupBy("doc_id", "version").agg(F.flatten(F.collect_list("_own")).alias("spans"))
+
+
+def _span(start: Column, end: Column) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"))
 
 
 def kept_words(text: str | None, spans: list[dict] | None) -> tuple[list[bytes], int]:

@@ -91,6 +91,21 @@ def test_repeats_against_every_window(spark, seed):
     assert tuples(cut) == expected
 
 
+def test_a_line_repeated_in_many_documents_is_one_row_a_document(spark):
+    """The rows that meet the classes do not grow with the times that each document repeats a line."""
+    rng = random.Random(5)
+    line = " ".join(f"w{i}" for i in range(11))
+    for times in (20, 200):
+        rows = [(d, f"a{d} b{d} " + " ".join([line] * (times + d)) + f" z{d}") for d in range(8)]
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        seeds = [s for b in substrings._seed(iter([df.selectExpr("doc_id", "doc_id AS version", "text").toArrow().to_batches()[0]]))
+                 for s in b.to_pylist()]
+        assert len(seeds) < 8 * 8
+        assert sum(1 + len(s["more"] or []) for s in seeds) == sum(len(substrings.anchored_runs([t])["start"]) for _, t in rows)
+        assert tuples(substrings.removal_digest(df)) == digest(rows)
+
+
 def test_repeats_on_given_rows(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     assert tuples(QUERIES["op4_substring_dedup"](spark, f"{DATA}/sf0.001")) == digest([tuple(r) for r in docs.select("doc_id", "text").collect()])
