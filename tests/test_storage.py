@@ -11,9 +11,12 @@ from siteroster.operators import crypto as X
 from siteroster.operators.budgets import Limits
 from siteroster.operators.contacts import email_rows
 from siteroster.operators.report import page_contacts
+from siteroster.plans import storage_queries
 from siteroster.plans.storage_queries import file_a_task
 from siteroster.session import scratch_path
+from siteroster.sources import readers
 from siteroster.sources import writers as Wr
+from siteroster.sources.digests import Digest
 from siteroster.sources.readers import hash_files, read_pages, read_texts
 from siteroster.streaming.contacts import stream_contacts
 from siteroster.streaming.limiter import stream_limiter
@@ -102,6 +105,59 @@ def test_sources(spark, tmp_path):
     assert page.headers == {"k": "v"} and page.error is None
 
 
+def test_files_are_hashed_in_rounds(spark, tmp_path):
+    """A task reads a stride of a file at most and hands the half-made digest on; pieces are read by name, whatever their sizes."""
+    rng = random.Random(2)
+    wholes = {"a b": [3000, 0, 65, 1], "c%2Fd=e": [700], "f": [64] * 40}
+    for folder, sizes in wholes.items():
+        (tmp_path / folder).mkdir()
+        for i, size in enumerate(sizes):
+            (tmp_path / folder / f"part-{i:05d}.bin").write_bytes(rng.randbytes(size))
+    got = {r.path.rsplit("/", 1)[1]: (r.length, r.digest) for r in hash_files(spark, str(tmp_path), "sha512", folders=True, stride=1601).collect()}
+    want = {n: b"".join(f.read_bytes() for f in sorted((tmp_path / n).iterdir())) for n in wholes}
+    assert got == {n: (len(b), hashlib.sha512(b).hexdigest()) for n, b in want.items()}
+    files = [f for n in wholes for f in (tmp_path / n).iterdir() if f.stat().st_size]  # Spark lists no empty ones
+    got = [r.digest for r in hash_files(spark, str(tmp_path), small=100, stride=1601).collect()]
+    assert sorted(got) == sorted(hashlib.sha256(f.read_bytes()).hexdigest() for f in files)
+
+
+@pytest.mark.parametrize("algorithm", ["md5", "sha1", "sha224", "sha256", "sha384", "sha512"])
+def test_digests_can_be_put_away(algorithm):
+    data, half = random.Random(4).randbytes(2000), None
+    for at in range(0, len(data), 77):
+        digest = Digest(algorithm, half)
+        digest.update(data[at:at + 77])
+        assert digest.hexdigest() == hashlib.new(algorithm, data[:at + 77]).hexdigest()
+        half = digest.state
+
+
+def test_without_a_digest_to_hand_on_one_task_reads_all(tmp_path, monkeypatch):
+    (tmp_path / "a").write_bytes(b"x" * 3000)
+    monkeypatch.setattr(readers, "resumable", lambda algorithm: False)
+    row = {"path": "a", "length": 3000, "pieces": [{"path": f"file:{tmp_path}/a", "length": 3000}], "done": 0, "state": None, "digest": None}
+    assert readers.go_on(row, "sha256", 100)["digest"] == hashlib.sha256(b"x" * 3000).hexdigest()
+
+
+def test_no_task_reads_a_whole_language(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i} " + "x" * 2000, "en" if i % 10 else None) for i in range(4000)] + [(7, "once more", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = str(tmp_path / "out")
+    monkeypatch.setattr(storage_queries, "scratch_path", lambda spark, label: out)
+    monkeypatch.setattr(storage_queries, "hash_all", lambda spark, path, **more: hash_files(spark, path, stride=1_000_000, **more))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # little as it is
+    try:
+        got = {r.part: (r.length, r.digest) for r in storage_queries.hash_files_written(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [f.stat().st_size for f in (tmp_path / "out" / "part=en").glob("part-*")]
+    assert max(sizes) < sum(sizes) / 3
+    for part in ("en", "none"):
+        whole = [(i, t) for i, t, lang in rows if (lang or "none") == part]
+        assert got[part][0] == sum(len(t) + 1 for _, t in whole)
+        texts = ["\n".join(t for _, t in sorted(whole, key=lambda x: (x[0], x[1] == last))) + "\n" for last in ("once more", rows[7][1])]
+        assert got[part][1] in {hashlib.sha256(t.encode()).hexdigest() for t in texts}
+
+
 # --- streams ------------------------------------------------------------------------------------
 
 def drain(spark, stream, name):
